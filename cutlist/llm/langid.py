@@ -3,10 +3,11 @@
 Each language has a probability for every piece of a fixed public vocabulary. A word's
 likelihood is the sum over all its segmentations into pieces of the product of their
 probabilities, computed by a forward recursion; pieces never cross white space, so a
-text's log-likelihood is the sum over its words, and equal words are computed once a
-task. The probabilities start from the public tokenizer's own segmentation counts and
-are refined by expectation maximisation, whose expected counts come from the same
-forward recursion and its backward twin. All counts are taken over every training row.
+text's log-likelihood is the sum over its words, and equal words are computed once.
+The probabilities start from the public tokenizer's own segmentation counts and are
+refined by expectation maximisation, whose expected counts come from the same forward
+recursion and its backward twin. Words are counted over every training row, with
+partial counts before the shuffle; the recursions then run over different words only.
 """
 
 from __future__ import annotations
@@ -17,21 +18,40 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from ._text import materialised
+
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words whose results a task keeps, and the longest stretch of a word computed in one go.
-MOST_WORDS, LONGEST, LONGEST_PIECE = 200_000, 48, 16
+#: Words whose results a task keeps; the longest stretch of a word taken in one go (its
+#: probabilities stay far above the smallest double); the longest piece used.
+MOST_WORDS, LONGEST, LONGEST_PIECE = 200_000, 24, 16
 _LETTER = regex.compile(r"\p{L}")
 _MARK = "▁"
+_STEP, _SPREAD = np.uint64(0x5851F42D4C957F2D), np.uint64(0x9E3779B97F4A7C15)
 
 
-@dataclass(frozen=True)
 class Vocabulary:
-    """Pieces of printable text; characters that no piece spells have a piece of their own, at the end."""
-
-    ids: dict[str, int]
+    """Pieces by the hash of their characters; a character that no piece spells is the piece `other`."""
+
+    def __init__(self, pieces: dict[str, int]):
+        self.other = max(pieces.values(), default=-1) + 1
+        self.size = self.other + 1
+        keys = np.array([self._hash(p) for p in pieces], np.uint64)
+        o = np.argsort(keys)
+        self.keys, self.ids = keys[o], np.array(list(pieces.values()), np.int64)[o]
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[(self.keys * _SPREAD >> np.uint64(44)).astype(np.int64)] = True
+        self.longest = min(LONGEST_PIECE, max(map(len, pieces), default=1))
+
+    @staticmethod
+    def _hash(piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * int(_STEP) + ord(c) + 1) % 2**64
+        return h
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -40,154 +60,160 @@ class Vocabulary:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         return cls({p: i for i in range(sp.get_piece_size()) if len(p := sp.id_to_piece(i)) <= LONGEST_PIECE and not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))})
 
-    @property
-    def size(self) -> int:
-        return max(self.ids.values(), default=0) + 2
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Piece of each hash, or -1."""
+        out = np.full(h.shape, -1, np.int64)
+        at = np.flatnonzero(self.seen[(h * _SPREAD >> np.uint64(44)).astype(np.int64)])
+        if len(at):
+            k = np.minimum(np.searchsorted(self.keys, h.ravel()[at]), len(self.keys) - 1)
+            out.ravel()[at] = np.where(self.keys[k] == h.ravel()[at], self.ids[k], -1)
+        return out
 
-    @property
-    def other(self) -> int:
-        return self.size - 1
+    def arcs(self, codes: np.ndarray) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
+        """For words of one length, by end: (begin, rows, pieces) of every piece that spells a stretch."""
+        n = codes.shape[1]
+        out: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(n + 1)]
+        h = np.zeros((len(codes), n + 1), np.uint64)
+        for size in range(1, min(n, self.longest) + 1):
+            h = h[:, : n - size + 1] * _STEP + codes[:, size - 1 :] + np.uint64(1)
+            ids = self.find(np.ascontiguousarray(h.T))
+            if size == 1:
+                ids[ids < 0] = self.other
+            for i in range(n - size + 1):
+                rows = np.flatnonzero(ids[i] >= 0)
+                if len(rows):
+                    out[i + size].append((i, rows, ids[i][rows]))
+        return out
 
 
 @dataclass(frozen=True)
 class Model:
     vocabulary: Vocabulary
     languages: list[str]
-    logs: np.ndarray  # (pieces, languages)
+    probs: np.ndarray  # (pieces, languages)
     prior: np.ndarray  # log share of each language
 
 
-def _parts(word: str) -> list[str]:
-    """The word with its mark, in stretches of bounded length."""
+def parts(word: str) -> list[str]:
+    """The word behind its mark, in stretches of bounded length."""
     w = _MARK + word
-    return [w[i : i + LONGEST] for i in range(0, len(w), LONGEST)]
-
-
-def lattice(parts: list[str], voc: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All arcs (part, begin, end, piece) of the parts' segmentation lattices, ordered by end; and lengths."""
-    part, begin, end, piece = [], [], [], []
-    ids, other = voc.ids, voc.other
-    for k, w in enumerate(parts):
-        n = len(w)
-        for i in range(n):
-            for j in range(i + 1, min(n, i + LONGEST_PIECE) + 1):
-                p = ids.get(w[i:j])
-                if p is None:
-                    if j > i + 1:
-                        continue
-                    p = other
-                part.append(k), begin.append(i), end.append(j), piece.append(p)
-    return np.array(part, np.int64), np.array(begin, np.int64), np.array(end, np.int64), np.array(piece, np.int64), np.array([len(w) for w in parts], np.int64)
+    return [w] if len(w) <= LONGEST else [w[i : i + LONGEST] for i in range(0, len(w), LONGEST)]
+
+
+def by_length(stretches: list[str], most: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, characters) of stretches of equal length, in groups of bounded size."""
+    size = np.fromiter(map(len, stretches), np.int64, len(stretches))
+    for n in np.unique(size).tolist():
+        at = np.flatnonzero(size == n)
+        for k in range(0, len(at), most):
+            own = at[k : k + most]
+            raw = "".join([stretches[i] for i in own.tolist()]).encode("utf-32-le", "surrogatepass")
+            yield own, np.frombuffer(raw, np.uint32).reshape(len(own), n).astype(np.uint64)
+
+
+def forward(arcs, n_rows: int, probs: np.ndarray) -> list[np.ndarray]:
+    """By position: the sum over all segmentations of a stretch's first characters, a column a language."""
+    alpha = [np.ones((n_rows, probs.shape[1]))]
+    for ending in arcs[1:]:
+        v = np.zeros((n_rows, probs.shape[1]))
+        for begin, rows, pieces in ending:
+            v[rows] += alpha[begin][rows] * probs[pieces]
+        alpha.append(v)
+    return alpha
+
+
+def stretch_logs(stretches: list[str], model: Model) -> np.ndarray:
+    """Log-likelihood of each stretch in each language."""
+    out = np.zeros((len(stretches), len(model.languages)))
+    for at, codes in by_length(stretches):
+        out[at] = np.log(forward(model.vocabulary.arcs(codes), len(codes), model.probs)[-1])
+    return out
 
 
-def forward(arcs, probs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Forward sums by part, position and language, scaled so that a position's largest is 1, and the log scales.
+def word_logs(new: list[str], model: Model) -> np.ndarray:
+    cut = [parts(w) for w in new]
+    logs = stretch_logs([x for p in cut for x in p], model)
+    return np.add.reduceat(logs, np.cumsum([0, *map(len, cut[:-1])]), axis=0) if new else logs
+
+
+def expected_counts(stretches: list[str], times: np.ndarray, voc: Vocabulary, probs: np.ndarray) -> np.ndarray:
+    """Expected piece counts of stretches with multiplicities, under one language's probabilities."""
+    out = np.zeros(voc.size)
+    for at, codes in by_length(stretches):
+        arcs = voc.arcs(codes)
+        n = len(codes)
+        alpha = forward(arcs, n, probs[:, None])
+        beta = [np.zeros(n) for _ in arcs]
+        beta[-1] = times[at] / alpha[-1][:, 0]
+        for end in range(len(arcs) - 1, 0, -1):
+            for begin, rows, pieces in arcs[end]:
+                v = probs[pieces] * beta[end][rows]
+                beta[begin][rows] += v
+                out += np.bincount(pieces, alpha[begin][rows, 0] * v, len(out))
+    return out
 
-    Parts are of bounded length, but a product of many small probabilities still underflows
-    without scaling; each position keeps its own logarithm.
-    """
-    part, begin, end, piece, size = arcs
-    n, m = (len(size), int(size.max()) if len(size) else 0)
-    alpha = np.full((n, m + 1, probs.shape[1]), -np.inf)
-    alpha[:, 0] = 0
-    order = np.argsort(end, kind="stable")
-    cuts = np.searchsorted(end[order], np.arange(m + 2))
-    for j in range(1, m + 1):
-        o = order[cuts[j] : cuts[j + 1]]
-        if len(o):
-            # arcs of one end stand by part, then by begin
-            v = alpha[part[o], begin[o]] + probs[piece[o]]
-            head = np.flatnonzero(np.r_[True, part[o][1:] != part[o][:-1]])
-            top = np.maximum.reduceat(v, head, axis=0)
-            count = np.diff(np.append(head, len(o)))
-            alpha[part[o][head], j] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, count, axis=0)), head, axis=0))
-    return alpha, order, cuts
 
+def count_words(docs: DataFrame) -> DataFrame:
+    """(lang, part, n) over all rows with text and lang: word stretches and how often each occurs.
 
-def word_logs(new: list[str], model: Model) -> np.ndarray:
-    """Log-likelihood of each word in each language, summed over all segmentations."""
-    parts, owner = [], []
-    for k, w in enumerate(new):
-        p = _parts(w)
-        parts += p
-        owner += [k] * len(p)
-    arcs = lattice(parts, model.vocabulary)
-    alpha, _, _ = forward(arcs, model.logs)
-    total = alpha[np.arange(len(parts)), arcs[4]]
-    out = np.zeros((len(new), len(model.languages)))
-    np.add.at(out, np.array(owner, np.int64), total)
-    return out
+    Tasks count before the shuffle and hand on what they have whenever it grows over a bound.
+    """
+    schema = "lang string, part string, n long"
+
+    def rows(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, c in counts.items():
+            short = [w for w in c if len(w) < LONGEST]
+            names, n = [_MARK + w for w in short], [c[w] for w in short]
+            for w in c:
+                if len(w) >= LONGEST:
+                    for p in parts(w):
+                        names.append(p), n.append(c[w])
+            for k in range(0, len(names), 50_000):
+                m = len(names[k : k + 50_000])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * m), pa.array(names[k : k + 50_000]), pa.array(n[k : k + 50_000], pa.int64())], ["lang", "part", "n"])
 
+    def run(batches):
+        counts: dict[str, Counter] = {}
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                for text, lang in zip(b.column("text").slice(k, 256).to_pylist(), b.column("lang").slice(k, 256).to_pylist()):
+                    counts.setdefault(lang, Counter()).update(text.split())
+                if sum(map(len, counts.values())) > MOST_WORDS:
+                    yield from rows(counts)
+                    counts = {}
+        yield from rows(counts)
 
-def expected_counts(counted: dict[str, float], column: int, model: Model) -> np.ndarray:
-    """Expected piece counts of words with multiplicities under one language's probabilities."""
-    out = np.zeros(model.vocabulary.size)
-    todo = list(counted.items())
-    for at in range(0, len(todo), 4096):
-        parts, times = [], []
-        for w, c in todo[at : at + 4096]:
-            p = _parts(w)
-            parts += p
-            times += [c] * len(p)
-        arcs = lattice(parts, model.vocabulary)
-        part, begin, end, piece, size = arcs
-        logs = model.logs[:, column : column + 1]
-        alpha, _, _ = forward(arcs, logs)
-        m = int(size.max())
-        beta = np.full((len(parts), m + 1, 1), -np.inf)
-        beta[np.arange(len(parts)), size] = 0
-        order = np.argsort(begin, kind="stable")
-        cuts = np.searchsorted(begin[order], np.arange(m + 2))
-        for i in range(m - 1, -1, -1):
-            o = order[cuts[i] : cuts[i + 1]]
-            if len(o):
-                v = beta[part[o], end[o]] + logs[piece[o]]
-                head = np.flatnonzero(np.r_[True, part[o][1:] != part[o][:-1]])
-                top = np.maximum.reduceat(v, head, axis=0)
-                count = np.diff(np.append(head, len(o)))
-                beta[part[o][head], i] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, count, axis=0)), head, axis=0))
-        total = alpha[np.arange(len(parts)), size, 0]
-        share = np.exp(alpha[part, begin, 0] + logs[piece, 0] + beta[part, end, 0] - total[part])
-        out += np.bincount(piece, share * np.array(times)[part], len(out))
-    return out
+    return docs.mapInArrow(run, schema).groupBy("lang", "part").agg(F.sum("n").alias("n"))
 
 
-def _counts(rows: DataFrame, make, languages: list[str], size: int) -> np.ndarray:
-    """Sum over all rows of a task-wise (language, piece) count: one small row for each language and piece that a task met."""
+def _counts(counted: DataFrame, make, languages: list[str], size: int) -> np.ndarray:
+    """Sum over all rows of task-wise piece counts: a task gives at most one row a language and piece."""
 
     def run(batches):
-        total = make(batches)
-        for k in range(total.shape[0]):
+        total = np.zeros((len(languages), size))
+        for b in batches:
+            lang, n = b.column("lang"), b.column("n").to_numpy(zero_copy_only=False).astype(float)
+            for k, name in enumerate(languages):
+                own = np.flatnonzero(pc.equal(lang, name).to_numpy(zero_copy_only=False))
+                for j in range(0, len(own), 50_000):
+                    at = own[j : j + 50_000]
+                    total[k] += make(k, b.column("part").take(pa.array(at)).to_pylist(), n[at])
+        for k in range(len(languages)):
             at = np.flatnonzero(total[k])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int64()), pa.array(at, pa.int64()), pa.array(total[k][at], pa.float64())], ["lang", "piece", "n"])
 
-    got = rows.mapInArrow(run, "lang long, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
+    got = counted.mapInArrow(run, "lang long, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros((len(languages), size))
     out[got["lang"].to_numpy(int), got["piece"].to_numpy(int)] = got["n"]
     return out
 
 
-def _by_language(batches, languages: list[str], most: int = MOST_WORDS) -> Iterator[tuple[int, Counter]]:
-    """(language, word counts), a part at a time so that memory is bounded."""
-    counts = [Counter() for _ in languages]
-    place = {x: k for k, x in enumerate(languages)}
-    for b in batches:
-        for text, lang in zip(b.column("text"), b.column("lang")):
-            k = place.get(lang.as_py())
-            if k is not None and text.is_valid:
-                counts[k].update(text.as_py().split())
-                if len(counts[k]) > most:
-                    yield k, counts[k]
-                    counts[k] = Counter()
-    yield from enumerate(counts)
-
-
 def _model(voc: Vocabulary, languages: list[str], counts: np.ndarray, rows: np.ndarray, smooth: float) -> Model:
     """Probabilities with additive smoothing towards the pieces' shares over all languages."""
     base = counts.sum(0) + 0.1
     base /= base.sum()
     p = counts + smooth * base * counts.shape[1]
-    return Model(voc, languages, np.log(p / p.sum(1, keepdims=True)).T.copy(), np.log((rows + 1) / (rows.sum() + len(rows))))
+    return Model(voc, languages, (p / p.sum(1, keepdims=True)).T.copy(), np.log((rows + 1) / (rows.sum() + len(rows))))
 
 
 def train(docs: DataFrame, *, vocabulary: str = VOCABULARY, rounds: int = 1, smooth: float = 0.05) -> Model:
@@ -201,37 +227,27 @@ def train(docs: DataFrame, *, vocabulary: str = VOCABULARY, rounds: int = 1, smo
     langs = sorted((r.lang, r.n) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect())
     languages, sizes = [x for x, _ in langs], np.array([float(n) for _, n in langs])
     voc = Vocabulary.load(vocabulary)
-    if not languages:
-        return Model(voc, [], np.zeros((voc.size, 0)), np.zeros(0))
     size = voc.size
+    if not languages:
+        return Model(voc, [], np.zeros((size, 0)), np.zeros(0))
+    counted = materialised(count_words(rows), "langid-words")
 
-    def first(batches):
+    def first(k, stretches, n):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
-        out = np.zeros((len(languages), size))
-        for k, words in _by_language(batches, languages):
-            known = list(words)
-            for at in range(0, len(known), 8192):
-                part = known[at : at + 8192]
-                ids = sp.encode(part, num_threads=1)
-                flat = np.fromiter((i for x in ids for i in x), np.int64)
-                times = np.repeat(np.array([words[w] for w in part], float), [len(x) for x in ids])
-                out[k] += np.bincount(np.minimum(flat, size - 1), times, size)[:size]
-        return out
+        ids = sp.encode([x.removeprefix(_MARK) for x in stretches], num_threads=1)
+        flat = np.fromiter((i for x in ids for i in x), np.int64)
+        return np.bincount(np.minimum(flat, voc.other), np.repeat(n, [len(x) for x in ids]), size)
 
-    model = _model(voc, languages, _counts(rows, first, languages, size), sizes, smooth)
+    model = _model(voc, languages, _counts(counted, first, languages, size), sizes, smooth)
     for _ in range(rounds):
         shared = docs.sparkSession.sparkContext.broadcast(model)
 
-        def again(batches, shared=shared):
-            out = np.zeros((len(languages), size))
-            for k, words in _by_language(batches, languages):
-                if words:
-                    out[k] += expected_counts(words, k, shared.value)
-            return out
+        def again(k, stretches, n, shared=shared):
+            return expected_counts(stretches, n, shared.value.vocabulary, np.ascontiguousarray(shared.value.probs[:, k]))
 
-        model = _model(voc, languages, _counts(rows, again, languages, size), sizes, smooth)
+        model = _model(voc, languages, _counts(counted, again, languages, size), sizes, smooth)
     return model
 
 

@@ -153,7 +153,7 @@ def matches(h: np.ndarray, spelled, templates: Templates, least: float) -> list[
             continue
         best = None
         for s, e in stretches(near[np.isin(h[near], templates.hashes[t])], need, reach):
-            for at in range(s, max(e - reach, s) + 1, max(1, len(own) // 2)) if e - s >= reach else (s,):
+            for at in range(s, e + 1, max(1, len(own) // 2)) if e - s >= reach else (s,):
                 end = min(at + reach, e + 1)
                 pairs = align(own, spelled(at, end))
                 if len(pairs) < need:
