@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from ._text import materialised
+from ._text import materialised, slices
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose results a task keeps; the longest stretch of a word taken in one go (its
@@ -264,25 +264,21 @@ def identify(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id"
         m = shared.value
         known: dict[str, int] = {}
         table = np.zeros((0, len(m.languages)))
-        for b in batches:
+        for b in slices(batches, "text", 4 << 20):
             pred, prob = [], []
-            for at in range(0, b.num_rows, 256):
-                texts = b.column("text").slice(at, 256).to_pylist()
-                split = [t.split() if t and m.languages and _LETTER.search(t) else None for t in texts]
-                if len(known) > MOST_WORDS:
-                    known, table = {}, table[:0]
-                new = list({w for s in split if s for w in s if w not in known})
-                for k in range(0, len(new), 4096):
-                    part = new[k : k + 4096]
-                    known.update(zip(part, range(len(table), len(table) + len(part))))
-                    table = np.concatenate([table, word_logs(part, m)])
-                for s in split:
-                    if s is None:
-                        pred.append("und"), prob.append(0.0)
-                        continue
-                    logs = m.prior + table[np.fromiter(map(known.__getitem__, s), np.int64, len(s))].sum(0)
-                    best = int(logs.argmax())
-                    pred.append(m.languages[best]), prob.append(float(1 / np.exp(logs - logs[best]).sum()))
+            split = [t.split() if t and m.languages and _LETTER.search(t) else None for t in b.column("text").to_pylist()]
+            if len(known) > 2 * MOST_WORDS:
+                known, table = {}, table[:0]
+            new = list({w for s in split if s for w in s}.difference(known))
+            known.update(zip(new, range(len(table), len(table) + len(new))))
+            table = np.concatenate([table, word_logs(new, m)])
+            for s in split:
+                if s is None:
+                    pred.append("und"), prob.append(0.0)
+                    continue
+                logs = m.prior + table[np.fromiter(map(known.__getitem__, s), np.int64, len(s))].sum(0)
+                best = int(logs.argmax())
+                pred.append(m.languages[best]), prob.append(float(1 / np.exp(logs - logs[best]).sum()))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(pred, pa.string()), pa.array(prob, pa.float64())], [*keep, "lang_pred", "score"])
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{fields}, lang_pred string, score double")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import gbt, langid, licenses, mixing, warc, wumanber
+from . import ego, gbt, langid, licenses, minhash, mixing, phrases, suffix, warc, wumanber
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,22 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "digest_ok")
 
 
+def op3_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.dedup(table(spark, sf_dir, "documents"))
+
+
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.public(minhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
+def op5_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ego.epsilon_join(table(spark, sf_dir, "embeddings"))
+
+
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.pareto_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -44,7 +60,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_warc, op6_mixing, op8_decontamination, op9_quality, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_warc, op3_phrases, op4_minhash, op5_epsilon_grid, op6_mixing, op7_suffix_array, op8_decontamination, op9_quality, op10_licenses)}
 
 ORACLE_SQL = {
     "op2_warc": """
@@ -55,6 +71,51 @@ ORACLE_SQL = {
                CASE WHEN top = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN top = page_id THEN NULL ELSE top END AS refers_to, url, true AS digest_ok
         FROM g""",
+    "op3_phrases": r"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        win AS (SELECT r, i, array_to_string(w[i : i + 34], ' ') AS p FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+        rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY p) AS n FROM win) WHERE n > 1),
+        gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS k FROM rep),
+        word AS (SELECT r, k, w[k] AS x FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS k FROM d)),
+        kept AS (SELECT r, string_agg(x, ' ' ORDER BY k) AS t, count(*) AS n FROM word ANTI JOIN gone USING (r, k) GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (r)""",
+    "op4_minhash": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        sh AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+               FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+        link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+        edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a),
+        comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+        FROM d LEFT JOIN n USING (doc_id) JOIN comp USING (doc_id)""",
+    "op5_epsilon_grid": """
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+        ok AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v
+               WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: x * x)) > 0),
+        link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+        reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+        comp AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+        n AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
+        SELECT v.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, v.vec_id = component_id AS kept
+        FROM v LEFT JOIN n USING (vec_id) JOIN comp USING (vec_id)""",
+    "op7_suffix_array": """
+        WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        win AS (SELECT r, i, substr(x, 2 * i - 1, 200) AS p FROM (SELECT r, x, unnest(range(1, length(x) // 2 - 98)) AS i FROM d WHERE length(x) >= 200)),
+        late AS (SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY p ORDER BY r, i) AS k FROM win) WHERE k > 1),
+        run AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM late),
+        spans AS (SELECT r, min(i) AS s, max(i) + 100 AS e FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM run) GROUP BY r, k),
+        cut AS (SELECT r, s, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 1) AS from_ FROM spans),
+        piece AS (SELECT r, from_ AS f, substr(x, 2 * from_ - 1, 2 * (s - from_)) AS t FROM cut JOIN d USING (r)
+                  UNION ALL SELECT r, m AS f, substr(x, 2 * m - 1) AS t FROM (SELECT r, max(e) AS m FROM spans GROUP BY r) JOIN d USING (r)),
+        kept AS (SELECT r, string_agg(t, '' ORDER BY f) AS t FROM piece GROUP BY r),
+        n AS (SELECT r, sum(e - s) AS removed, count(*) AS spans FROM spans GROUP BY r)
+        SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+               sha256(unhex(coalesce(t, x))) AS kept_sha256
+        FROM d LEFT JOIN n USING (r) LEFT JOIN kept USING (r)""",
     "op6_mixing": r"""
         WITH sized AS (
           SELECT doc_id, source, coalesce('s' || source, 'null') AS skey, coalesce(doc_id::VARCHAR, '') AS did,
