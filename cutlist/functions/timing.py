@@ -49,8 +49,8 @@ def rescale_half_up(units: Column, scale: Column, target: Column) -> Column:
 
 
 def minus(a: Column, b: Column) -> Column:
-    """Difference of unsigned numbers: 0 where it would be negative."""
-    return F.greatest(a - b, F.lit(0))
+    """Difference of unsigned numbers: 0 where it would be negative, null where one is null."""
+    return F.when(a >= b, a - b).when(a < b, 0)
 
 
 def matroska_millis(ticks: Column, scale_ns: Column) -> Column:

@@ -95,7 +95,7 @@ def chunk_windows(plan: DataFrame, short: int = SHORT) -> DataFrame:
 def spaced_durations(plan: DataFrame) -> DataFrame:
     """Durations up to the next chunk, at least 1; the last chunk keeps its own."""
     gap = F.lead("start_ms").over(W.partitionBy("track").orderBy("chunk")) - F.col("start_ms")
-    return plan.withColumn("duration_ms", F.coalesce(F.greatest(gap, F.lit(1)), F.col("duration_ms")))
+    return plan.withColumn("duration_ms", F.coalesce(F.when(gap.isNotNull(), F.greatest(gap, F.lit(1))), F.col("duration_ms")))
 
 
 def fixed_tiles(durations: DataFrame, target_ms: int) -> DataFrame:

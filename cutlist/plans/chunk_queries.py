@@ -78,7 +78,7 @@ def chunk_windows(spark, d):
     return C.chunk_windows(C.plan_chunks(A.packets(spark, d, reordered=True), DAY))
 
 
-@query(f"WITH {_PLAN} SELECT track, chunk, start_ms, coalesce(greatest(lead(start_ms) OVER (PARTITION BY track ORDER BY chunk) - start_ms, 1), duration_ms) AS duration_ms, packet_start, packet_end, key_aligned FROM plan", "reordered")
+@query(f"WITH {_PLAN} SELECT track, chunk, start_ms, CASE WHEN lead(start_ms) OVER (PARTITION BY track ORDER BY chunk) IS NULL THEN duration_ms ELSE greatest(lead(start_ms) OVER (PARTITION BY track ORDER BY chunk) - start_ms, 1) END AS duration_ms, packet_start, packet_end, key_aligned FROM plan", "reordered")
 def spaced_durations(spark, d):
     """F14."""
     return C.spaced_durations(C.plan_chunks(A.packets(spark, d, reordered=True), DAY))

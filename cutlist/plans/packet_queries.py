@@ -14,7 +14,7 @@ query = REGISTRY.query
 
 
 
-@query("""WITH a AS (SELECT *, greatest(lead(pts) OVER (PARTITION BY track ORDER BY ix) - pts, 0) AS ahead FROM packets)
+@query("""WITH l AS (SELECT *, lead(pts) OVER (PARTITION BY track ORDER BY ix) - pts AS d FROM packets), a AS (SELECT *, CASE WHEN d >= 0 THEN d WHEN d < 0 THEN 0 END AS ahead FROM l)
     SELECT track, ix, pts, coalesce(ahead, lag(ahead) OVER (PARTITION BY track ORDER BY ix), 0) AS duration, size, keyframe FROM a""", "reordered")
 def lookahead_durations(spark, d):
     """F06, F09, L02 in batch form."""
@@ -48,7 +48,7 @@ def repaired_timing(spark, d):
 
 @query("""WITH b AS (SELECT user_id AS track, event_id AS block, epoch_us(ts) // 1000 AS pts, 20 AS fd, event_id % 4 + 1 AS n, event_id AS e FROM events),
     f AS (SELECT track, block, k, pts + k * fd AS pts, fd, e % 97 + k AS size FROM (SELECT *, unnest(range(0, n)) AS k FROM b))
-    SELECT track, row_number() OVER w - 1 AS ix, pts, coalesce(greatest(lead(pts) OVER w - pts, 0), fd) AS duration, size FROM f WINDOW w AS (PARTITION BY track ORDER BY block, k)""")
+    SELECT track, row_number() OVER w - 1 AS ix, pts, CASE WHEN lead(pts) OVER w IS NULL THEN fd ELSE greatest(lead(pts) OVER w - pts, 0) END AS duration, size FROM f WINDOW w AS (PARTITION BY track ORDER BY block, k)""")
 def laced_frames(spark, d):
     """each event as a block of one to four frames of 20 ms."""
     ev = A.table(spark, d, "events")

@@ -63,7 +63,7 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL AND label IS NOT NULL")
     signs = F.transform(F.slice("embedding", 1, 32), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
     ix = F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1
-    return e.select(F.col("label").cast("bigint").alias("source"), ix.cast("bigint").alias("ix"), (ix * 400).cast("bigint").alias("t_ms"), F.aggregate(signs, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("bits"), (F.col("embedding")[32] > 0).alias("voiced"))
+    return e.select(F.col("label").cast("bigint").alias("source"), ix.cast("bigint").alias("ix"), (ix * 400).cast("bigint").alias("t_ms"), F.aggregate(signs, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("bits"), (F.col("embedding")[32] > -0.3).alias("voiced"))
 
 
 #: Fixed values of the stand-ins: codec labels by kind.
@@ -96,5 +96,5 @@ SQL = {
         SELECT conv_id, row_number() OVER w - 1 AS ix, (sum(d) OVER w)::BIGINT AS end_ms, d, text FROM (SELECT *, length(coalesce(text, '')) * 50 AS d FROM conversations)
         WINDOW w AS (PARTITION BY conv_id ORDER BY turn, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""",
     "observations": "SELECT user_id AS source, event_id, epoch_us(ts) // 1000 AS time_ms, coalesce(value >= 50.0, false) AS text_like FROM events",
-    "fingerprints": "SELECT label::BIGINT AS source, ix, ix * 400 AS t_ms, (" + " + ".join(f"CASE WHEN embedding[{k + 1}] > 0 THEN {1 << k} ELSE 0 END" for k in range(32)) + ")::BIGINT AS bits, embedding[33] > 0 AS voiced FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS ix FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL)",
+    "fingerprints": "SELECT label::BIGINT AS source, ix, ix * 400 AS t_ms, (" + " + ".join(f"CASE WHEN embedding[{k + 1}] > 0 THEN {1 << k} ELSE 0 END" for k in range(32)) + ")::BIGINT AS bits, embedding[33] > -0.3 AS voiced FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS ix FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL)",
 }
