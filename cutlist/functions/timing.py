@@ -99,3 +99,41 @@ def scc_frame(stamp: Column) -> Column:
 def frames_to_millis(frames: Column) -> Column:
     """At 30000/1001 frames a second, rounded to the nearest."""
     return _int_div(frames * 1001 + 15, 30)
+
+
+def stamp_millis(value: Column) -> Column:
+    """[h:]m:s with a comma or point: seconds under 60, minutes under 60 if hours are given, at most 30 days; else null."""
+    shape = r"^(?:\+?(\d+):)?\+?(\d+):\+?(\d*[.,]?\d*(?:[eE][+-]?\d+)?)$"
+    ok = F.regexp_like(value, F.lit(shape))
+    part = lambda k: F.when(ok, F.nullif(F.regexp_extract(value, shape, k), F.lit("")))
+    hours, minutes = part(1).cast("bigint"), part(2).cast("bigint")
+    seconds = F.replace(part(3), F.lit(","), F.lit(".")).try_cast("double")
+    ms = F.coalesce(hours, F.lit(0)) * 3_600_000 + minutes * 60_000 + F.round(seconds * 1000).cast("bigint")
+    good = (seconds >= 0) & (seconds < 60) & (hours.isNull() | (minutes < 60)) & (ms <= 30 * 24 * 3_600_000)
+    return F.when(good, ms)
+
+
+def ttml_millis(value: Column, frames: float = 30.0, ticks: float = 1.0) -> Column:
+    """Clock times, with frames as a fourth part, and offsets with a unit of ms, h, m, s, f or t; rounded half away from zero."""
+    v = F.trim(value)
+    four = F.regexp_like(v, F.lit(r"^[^:]*:[^:]*:[^:]*:[^:]*$"))
+    base, rest = stamp_millis(F.regexp_extract(v, r"^(.*):[^:]*$", 1)), F.regexp_extract(v, r":([^:]*)$", 1).try_cast("double")
+    framed = F.when((rest >= 0) & (rest < F.ceil(F.lit(frames))), base + F.round(rest / frames * 1000).cast("bigint"))
+    unit = F.regexp_extract(v, r"(ms|h|m|s|f|t)$", 1)
+    number = F.regexp_extract(v, r"^(.*?)(?:ms|h|m|s|f|t)$", 1).try_cast("double")
+    #: Milliseconds of each unit.
+    scale = F.when(unit == "ms", 1.0).when(unit == "h", 3_600_000.0).when(unit == "m", 60_000.0).when(unit == "s", 1000.0).when(unit == "f", 1000.0 / frames).otherwise(1000.0 / ticks)
+    offset = F.when((unit != "") & (number * scale >= 0) & (number * scale <= 2_592_000_000.0), F.round(number * scale).cast("bigint"))
+    return F.when(four, framed).when(F.contains(v, F.lit(":")), stamp_millis(v)).otherwise(offset)
+
+
+def fixed_point(value: Column) -> Column:
+    """Whole part of a 16.16 number."""
+    return F.shiftright(value, 16)
+
+
+def decode_window(start: Column, end: Column, rate: Column) -> tuple[Column, Column]:
+    """What an audio decoder reads for a window: 34 frames of 1,024 samples and 250 ms before, four frames after; rates of 8 to 48 kHz."""
+    r = F.least(F.greatest(rate, F.lit(8_000)), F.lit(48_000)).cast("bigint")
+    ceil = lambda n: ((F.lit(n) + r - 1 - (F.lit(n) + r - 1) % r) / r).cast("bigint")
+    return minus(start, ceil(34 * 1024 * 1000) + 250), end + ceil(4 * 1024 * 1000)

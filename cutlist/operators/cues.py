@@ -108,7 +108,7 @@ def plain_text(text: Column, depth: int = 4) -> Column:
     for _ in range(depth):
         out = F.regexp_replace(out, r"\{[^{}]*\}", "")
     out = F.regexp_replace(out, r"<[^>]*(>|$)", "")
-    lines = F.filter(F.transform(F.split(F.regexp_replace(out, "\r\n", "\n"), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.regexp_replace(out, "\r\n", "\n"), "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
     return F.array_join(lines, "\n")
 
 
