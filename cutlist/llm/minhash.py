@@ -8,9 +8,11 @@ in at most `errors`, so classes are filed under every chunk with every choice of
 symbols left out, and each pair within the threshold meets in a bucket. The threshold
 lies more than five standard deviations above what a pair of the wanted similarity shows.
 
-Buckets with the same members count once. Inside a bucket members are linked to leaders,
-not to each other, and links are confirmed on the full sets; then only pairs of different
-components are looked at again, so that a group of n copies costs about n confirmations.
+Buckets with the same members count once. Pairs within the threshold join classes into
+regions; inside a bucket, members are paired with leaders and regions with regions, never
+all with all. The members of a region are then compared on their full sets, block by
+block, and only links that connect something leave a block, so that rows grow with the
+members and not with their pairs.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ SYMBOLS = CHUNKS * LENGTH
 MOST_DIFFERENT = CHUNKS * (ERRORS + 1) - 1
 _A = np.random.Generator(np.random.PCG64(7)).integers(0, 2**31, SYMBOLS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _B = np.random.Generator(np.random.PCG64(8)).integers(0, 2**32, SYMBOLS).astype(np.uint32)
+#: Keys of the first sixth of the chunks lie below this one.
+_FIRST_KEYS = (CHUNKS // 6 * LENGTH) << (16 * (LENGTH - ERRORS))
 _LEFT_OUT = [tuple(k for k in range(LENGTH) if k not in out) for out in combinations(range(LENGTH), ERRORS)]
 
 
@@ -96,16 +100,22 @@ def _buckets(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator
             yield cid[o], n[o], sig[o], comp[o]
 
 
-def _pairs(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    a, b, size = [], [], 0
+def _pairs(found: Iterator[tuple[np.ndarray, np.ndarray]], most: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """Distinct pairs of what a task has found, so far as it fits the bound."""
+
+    def batch(held):
+        pairs = np.unique(np.concatenate(held, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    held, size = [], 0
     for x, y in found:
-        a.append(x), b.append(y)
+        held.append(np.stack([x, y]))
         size += len(x)
-        if size > 100_000:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-            a, b, size = [], [], 0
-    if a:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+        if size > most:
+            yield batch(held)
+            held, size = [], 0
+    if held:
+        yield batch(held)
 
 
 def to_leaders(batches, similarity: float):
@@ -125,7 +135,7 @@ def to_leaders(batches, similarity: float):
 
 
 def across(batches, similarity: float):
-    """All near pairs of a bucket whose components differ."""
+    """Pairs of regions, not of members, that have near members in a bucket."""
 
     def found():
         for cid, n, sig, comp in _buckets(batches):
@@ -133,34 +143,84 @@ def across(batches, similarity: float):
             if len(names) < 2:
                 continue
             main = names[count.argmax()]
-            outside = np.flatnonzero(comp != main)
             every = np.arange(len(cid))
-            for i in outside:
+            for i in np.flatnonzero(comp != main):
                 near = _near(sig, n, i, every[(comp != comp[i]) & ((comp == main) | (every > i))], similarity)
                 if len(near):
-                    yield np.minimum(cid[near], cid[i]), np.maximum(cid[near], cid[i])
+                    other = np.unique(comp[near])
+                    yield np.minimum(other, comp[i]), np.maximum(other, comp[i])
 
     return _pairs(found())
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those pairs whose full sets have 100 * intersection >= percent * union."""
-    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    texts = materialised(wanted.join(classes.select("cid", "did", "chk"), "cid").join(rows.select("did", "chk", "text"), ["did", "chk"]).select("cid", "text"), "minhash-texts")
-    texts = texts.repartition("cid")
-    both = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("cid").alias("b"), F.col("text").alias("right")), "b")
+#: Members and bytes of a block; a region of more is compared block by block.
+BLOCK_ROWS, BLOCK_BYTES = 1024, 8 << 20
+
+
+def similar(sets: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i < j) of all pairs of sets with 100 * intersection >= percent * union; with `left` only pairs across it."""
+    n = np.array([len(s) for s in sets])
+    if len(sets) == 2:
+        k = len(np.intersect1d(*sets, assume_unique=True))
+        ok = 100 * k >= percent * (n.sum() - k)
+        return (np.array([0]), np.array([1])) if ok else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    row = np.repeat(np.arange(len(sets)), n)
+    _, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1  # a shingle of one set is in no intersection
+    number = np.cumsum(shared) - 1
+    keep = shared[col]
+    row, col = row[keep], number[col[keep]]
+    o = np.argsort(col, kind="stable")
+    row, col = row[o], col[o]
+    inter = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(shared.sum()), 4096):
+        k = slice(*np.searchsorted(col, (at, at + 4096)))
+        m = np.zeros((len(sets), min(4096, int(shared.sum()) - at)), np.float32)
+        m[row[k], col[k] - at] = 1
+        inter += m @ m.T
+    inter = inter.astype(np.int64)
+    good = np.triu(100 * inter >= percent * (n[:, None] + n[None, :] - inter), 1)
+    if left is not None:
+        good &= left[:, None] != left[None, :]
+    return np.nonzero(good)
+
+
+def confirmed(regions: DataFrame, classes: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): links of the full sets of the members of each region (node, component), enough of them to connect what is linked.
+
+    All members of a region are compared. A region is cut into blocks of bounded rows and bytes, and
+    each pair of blocks is a group of its own; it gives at most one link a member, to the first
+    of those that it is connected with there. Rows that share a key and so a set give the same
+    node twice, which links with itself and changes nothing.
+    """
+    members = regions.join(classes.select(F.col("cid").alias("node"), "did", "chk"), "node").join(rows.select("did", "chk", "text"), ["did", "chk"]).select("component", "node", "text")
+    members = materialised(members, "minhash-members")
+    sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    placed = members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = placed.withColumn("other", other).select(F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", (F.col("own") == F.col("other")).alias("same"), (F.col("own") < F.col("other")).alias("first"), "text")
 
     def run(batches):
-        for b in slices(batches, "right"):
-            sets = [np.split(h, first[1:-1]) for h, first in (shingle_sets(*flat(b.column(c)), size) for c in ("left", "right"))]
-            ok = np.zeros(b.num_rows, bool)
-            for k, (x, y) in enumerate(zip(*sets)):
-                inter = len(np.intersect1d(x, y, assume_unique=True))
-                ok[k] = 100 * inter >= percent * (len(x) + len(y) - inter)
-            k = np.flatnonzero(ok)
-            yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(k)), b.column("b").take(pa.array(k))], ["a", "b"])
-
-    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long").distinct()
+        from .anchors import whole_groups
+        from .ego import _components
+
+        for t in whole_groups(batches, "key", 4 << 20):
+            t = t.combine_chunks()
+            h, first = shingle_sets(*flat(t.column("text")), size)
+            key, node = t.column("key").to_numpy(), t.column("node").to_numpy()
+            same, left = (t.column(c).to_numpy(zero_copy_only=False) for c in ("same", "first"))
+            cut = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+            a, b = [], []
+            for s, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                if e - s > 1:
+                    i, j = similar([h[first[k] : first[k + 1]] for k in range(s, e)], percent, None if same[s] else left[s:e])
+                    root = _components(i, j, e - s)
+                    k = np.flatnonzero(root != np.arange(e - s))
+                    a.append(node[s + root[k]]), b.append(node[s + k])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
@@ -204,15 +264,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     buckets = materialised(picked.join(classes.select("cid", "n", "sig"), "cid").select("key", "cid", "n", "sig"), "minhash-buckets")
 
     similarity = percent / 100
-    one = buckets.withColumn("comp", F.col("cid")).repartition("key").sortWithinPartitions("key")
-    pairs = materialised(one.mapInArrow(lambda it: to_leaders(it, similarity), "a long, b long").distinct(), "minhash-pairs")
-    links = materialised(confirmed(pairs, classes, rows, size, percent), "minhash-links")
-    parts = graph.components(links)
-    labelled = buckets.join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", "n", "sig", F.coalesce("component", "cid").alias("comp"))
+    # regions: first from a sixth of the keys, then whatever near pairs of all keys still join
+    one = buckets.where(F.col("key") < _FIRST_KEYS).withColumn("comp", F.col("cid")).repartition("key").sortWithinPartitions("key")
+    pairs = materialised(one.mapInArrow(lambda it: to_leaders(it, similarity), "a long, b long").distinct(), "minhash-near")
+    regions = graph.components(pairs)
+    labelled = buckets.join(regions.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", "n", "sig", F.coalesce("component", "cid").alias("comp"))
     two = labelled.repartition("key").sortWithinPartitions("key")
-    more = materialised(two.mapInArrow(lambda it: across(it, similarity), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "minhash-pairs")
+    more = materialised(two.mapInArrow(lambda it: across(it, similarity), "a long, b long").distinct(), "minhash-near")
     if not more.isEmpty():
-        parts = graph.components(links.union(confirmed(more, classes, rows, size, percent)))
+        regions = graph.components(pairs.union(more))
+    parts = graph.components(confirmed(regions, classes, rows, size, percent))
     known = classes.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     lowest = known.groupBy("component").agg(F.min(F.struct("did", "chk")).alias("lowest"))
     known = known.join(lowest, "component").select("cid", "lowest")
