@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from . import _text
@@ -117,25 +118,41 @@ def frequent_grams(rows: DataFrame, symbols: Callable, window: int, gram: int) -
     return np.array([r.g for r in seen.orderBy(F.desc("n"), "g").limit(MOST_FREQUENT).collect()], np.int64).view(np.uint64)
 
 
+def _row_bytes(t: pa.Table) -> np.ndarray:
+    out = np.full(t.num_rows, 8 * t.num_columns, np.int64)
+    for c in t.columns:
+        if pa.types.is_binary(c.type) or pa.types.is_string(c.type) or pa.types.is_large_binary(c.type) or pa.types.is_large_string(c.type):
+            out += pc.fill_null(pc.binary_length(c), 0).to_numpy().astype(np.int64)
+    return out
+
+
+def _pieces(t: pa.Table, key: str, most: int) -> Iterator[pa.Table]:
+    """Slices at group boundaries, of about `most` bytes or one group."""
+    k, upto = t.column(key).to_numpy(), np.cumsum(_row_bytes(t))
+    ends = np.append(np.flatnonzero(k[1:] != k[:-1]) + 1, len(k))
+    at = 0
+    while at < len(k):
+        fit = int(np.searchsorted(upto[ends - 1], (upto[at - 1] if at else 0) + most, "right")) - 1
+        end = int(max(ends[fit] if fit >= 0 else 0, ends[np.searchsorted(ends, at, "right")]))
+        yield t.slice(at, end - at)
+        at = end
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Iterator[pa.Table]:
-    """Rows that arrive sorted by key, in tables of whole groups of about `most` bytes."""
-    held: list[pa.RecordBatch] = []
-    size = 0
+    """Rows that arrive sorted by key, in tables of whole groups: about `most` bytes, or one group of more."""
+    held: pa.Table | None = None
     for b in batches:
         if not b.num_rows:
             continue
-        held.append(b)
-        size += b.nbytes
-        if size >= most:
-            t = pa.Table.from_batches(held)
-            k = t.column(key).to_numpy()
-            cut = int(np.searchsorted(k, k[-1], "left")) if k[-1] != k[0] else 0
-            if cut:
-                yield t.slice(0, cut)
-                held = t.slice(cut).combine_chunks().to_batches()
-                size = sum(x.nbytes for x in held)
-    if held:
-        yield pa.Table.from_batches(held)
+        t = pa.Table.from_batches([b])
+        t = t if held is None else pa.concat_tables([held, t])
+        k = t.column(key).to_numpy()
+        last = int(np.searchsorted(k, k[-1], "left"))  # the last group may go on
+        if last:
+            yield from _pieces(t.slice(0, last), key, most)
+        held = t.slice(last).combine_chunks()
+    if held is not None:
+        yield from _pieces(held, key, most)
 
 
 @dataclass(frozen=True)
@@ -168,10 +185,12 @@ def find(rows: DataFrame, method: Method) -> DataFrame:
     same = W.partitionBy("g", "h")
     seen = _occurrences(rows, method.symbols, window, gram, frequent).repartition("g")
     seen = seen.withColumns({"c": F.count("*").over(every), "lo": F.min("h").over(every), "hi": F.max("h").over(every)}).where("c > 1")
-    seen = seen.withColumns({"place": F.rank().over(same.orderBy("did", "at")), "times": F.count("*").over(same)})
+    by = same.orderBy("did", "at")
+    twin = (F.lag("did").over(by) == F.col("did")) & (F.lag("at").over(by) == F.col("at"))
+    seen = seen.withColumns({"place": F.rank().over(by), "times": F.count("*").over(same), "twin": F.coalesce(twin, F.lit(False))})
     settled = F.col("place") > 1 if method.first_stays else F.col("times") > 1
-    seen = seen.select("g", "did", F.shiftright("at", 44).alias("chk"), F.shiftright("at", 8).bitwiseAND((1 << 36) - 1).alias("start"), F.col("at").bitwiseAND(255).alias("n"), settled.alias("settled"), ((F.col("place") == 1) & (F.col("lo") < F.col("hi"))).alias("open"), F.least("times", F.lit(2)).cast("int").alias("times"))
-    lists = seen.where("settled OR open").groupBy("did", "chk").agg(F.collect_list(F.struct("g", "start", "n", "settled", "open", "times")).alias("own"))
+    seen = seen.select("g", "did", F.shiftright("at", 44).alias("chk"), F.shiftright("at", 8).bitwiseAND((1 << 36) - 1).alias("start"), F.col("at").bitwiseAND(255).alias("n"), settled.alias("settled"), ((F.col("place") == 1) & (F.col("lo") < F.col("hi"))).alias("open"), F.least("times", F.lit(2)).cast("int").alias("times"), "twin")
+    lists = seen.where("settled OR open OR twin").groupBy("did", "chk").agg(F.collect_list(F.struct("g", "start", "n", "settled", "open", "times")).alias("own"))
     wanted = rows.select("did", "chk", "text", *[c for c in rows.columns if c.startswith("_keep_")]).join(lists, ["did", "chk"])
 
     def fetch(batches):
