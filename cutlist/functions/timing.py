@@ -104,13 +104,20 @@ def frames_to_millis(frames: Column) -> Column:
 def stamp_millis(value: Column) -> Column:
     """[h:]m:s with a comma or point: seconds under 60, minutes under 60 if hours are given, at most 30 days; else null."""
     shape = r"^(?:\+?(\d+):)?\+?(\d+):\+?(\d*[.,]?\d*(?:[eE][+-]?\d+)?)$"
-    ok = F.regexp_like(value, F.lit(shape))
-    part = lambda k: F.when(ok, F.nullif(F.regexp_extract(value, shape, k), F.lit("")))
-    hours, minutes = part(1).cast("bigint"), part(2).cast("bigint")
-    seconds = F.replace(part(3), F.lit(","), F.lit(".")).try_cast("double")
-    ms = F.coalesce(hours, F.lit(0)) * 3_600_000 + minutes * 60_000 + F.round(seconds * 1000).cast("bigint")
-    good = (seconds >= 0) & (seconds < 60) & (hours.isNull() | (minutes < 60)) & (ms <= 30 * 24 * 3_600_000)
-    return F.when(good, ms)
+    parts = F.when(F.regexp_like(value, F.lit(shape)), F.split(F.regexp_replace(value, shape, "$1|$2|$3"), r"\|"))
+
+    def total(p: Column) -> Column:
+        hours, minutes = F.nullif(p[0], F.lit("")).cast("bigint"), p[1].cast("bigint")
+        seconds = F.replace(p[2], F.lit(","), F.lit(".")).try_cast("double")
+        ms = F.coalesce(hours, F.lit(0)) * 3_600_000 + minutes * 60_000 + F.round(seconds * 1000).cast("bigint")
+        return F.when((seconds >= 0) & (seconds < 60) & (hours.isNull() | (minutes < 60)) & (ms <= 30 * 24 * 3_600_000), ms)
+
+    return _bound(parts, total)
+
+
+def _bound(value: Column, then) -> Column:
+    """then(value) with the value computed once, however often it is named."""
+    return F.transform(F.array(value), then)[0]
 
 
 def ttml_millis(value: Column, frames: float = 30.0, ticks: float = 1.0) -> Column:

@@ -30,8 +30,8 @@ def parse_subrip(files: DataFrame) -> DataFrame:
     blocks = files.select("track", F.posexplode(F.split(unix, "\n\n")).alias("b", "block"))
     lines = F.filter(F.transform(F.split("block", "\n"), lambda x: F.regexp_replace(x, r"\s+$", "")), lambda x: x != "")
     rows = blocks.withColumn("lines", lines).where(F.size("lines") > 0)
-    rows = rows.withColumn("k", F.when(F.contains(F.element_at("lines", 1), F.lit("-->")), 1).otherwise(2)).where(F.size("lines") >= F.col("k"))
-    head = F.element_at("lines", F.col("k"))
+    rows = rows.withColumn("k", F.when(F.contains(F.try_element_at("lines", F.lit(1)), F.lit("-->")), 1).otherwise(2)).where(F.size("lines") >= F.col("k"))
+    head = F.try_element_at("lines", F.col("k"))
     times = F.split(head, "-->", 2)
     end = F.element_at(F.split(F.trim(F.regexp_replace(F.try_element_at(times, F.lit(2)), r"\s+", " ")), " "), 1)
     text = F.array_join(F.slice("lines", F.col("k") + 1, F.size("lines")), "\n")
