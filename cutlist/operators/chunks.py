@@ -16,27 +16,28 @@ from .fold import ordered_fold
 SHORT = 1000
 
 
-def cuts(packets: DataFrame, target_ms: int, origin: int | None = None) -> DataFrame:
-    """(track, ix): the first packet of each chunk of at least `target_ms`, cut before a keyframe.
+def cuts(packets: DataFrame, target_ms: int, origin: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(track, ix, pts): the first packet of each chunk of at least `target_ms`, cut before a keyframe.
 
-    The first chunk counts from its first packet, or from `origin`.
+    The first chunk counts from its first packet, or from `origin`. Bigint columns of `carry` come along.
     """
-    first = F.min("ix").over(W.partitionBy("track"))
-    rows = packets.select("track", "ix", "pts", "keyframe", first.alias("first")).where("keyframe OR ix = first").drop("first")
+    first = F.lag("ix").over(W.partitionBy("track").orderBy("ix")).isNull()
+    rows = packets.select("track", "ix", "pts", "keyframe", first.alias("first"), *carry).where("keyframe OR first").drop("first")
+    names = ["track", "ix", "pts", *carry]
 
     def step(start, row):
         if start is None:
-            return row["pts"] if origin is None else origin, [(row["track"], row["ix"])]
-        if (row["keyframe"] and max(row["pts"] - start, 0) >= target_ms):
-            return row["pts"], [(row["track"], row["ix"])]
+            return row["pts"] if origin is None else origin, [tuple(row[n] for n in names)]
+        if row["keyframe"] and max(row["pts"] - start, 0) >= target_ms:
+            return row["pts"], [tuple(row[n] for n in names)]
         return start, []
 
-    return ordered_fold(rows, ["track"], ["ix"], lambda: None, step, "track long, ix long", ["track", "ix"])
+    return ordered_fold(rows, ["track"], ["ix"], lambda: None, step, ", ".join(f"{n} long" for n in names), names)
 
 
 def numbered(packets: DataFrame, heads: DataFrame) -> DataFrame:
     """Packets with the number of the chunk they are in, `chunk`."""
-    marked = packets.join(heads.withColumn("cut", F.lit(1)), ["track", "ix"], "left")
+    marked = packets.join(heads.select("track", "ix", F.lit(1).alias("cut")), ["track", "ix"], "left")
     return marked.withColumn("chunk", F.sum(F.coalesce("cut", F.lit(0))).over(W.partitionBy("track").orderBy("ix")) - 1).drop("cut")
 
 
@@ -78,10 +79,10 @@ def collapse(windows: DataFrame, short: int = SHORT) -> DataFrame:
 
 def segment_windows(packets: DataFrame, target_ms: int, short: int = SHORT) -> DataFrame:
     """Segments of a video track: each ends where the next begins, the last at the latest packet end."""
-    heads = cuts(packets, target_ms).join(packets.select("track", "ix", "pts"), ["track", "ix"])
+    last = F.max(F.col("pts") + F.col("duration")).over(W.partitionBy("track"))
+    heads = cuts(packets.withColumn("last", last), target_ms, carry=("last",))
     by = W.partitionBy("track").orderBy("ix")
-    ends = packets.groupBy("track").agg(F.max(F.col("pts") + F.col("duration")).alias("last"))
-    w = heads.withColumn("next", F.lead("pts").over(by)).withColumn("n", F.row_number().over(by)).join(ends, "track")
+    w = heads.withColumn("next", F.lead("pts").over(by)).withColumn("n", F.row_number().over(by))
     return collapse(w.select("track", "n", F.col("pts").alias("start_ms"), F.coalesce("next", F.greatest("last", F.col("pts") + 1)).alias("end_ms")), short)
 
 
@@ -110,9 +111,9 @@ def bytes_by_window(packets: DataFrame, windows: DataFrame, bucket_ms: int) -> D
     An interval join as an equi-join: windows stand in every bucket of time they touch.
     """
     touched = windows.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start_ms") / bucket_ms), F.floor((F.col("end_ms") - 1) / bucket_ms))))
-    inside = packets.select("track", "pts", "size", F.floor(F.col("pts") / bucket_ms).alias("bucket")).join(touched, ["track", "bucket"]).where("pts >= start_ms AND pts < end_ms")
-    sums = inside.groupBy("track", "n").agg(F.sum("size").alias("bytes"))
-    return windows.join(sums, ["track", "n"], "left").select("track", "n", "start_ms", "end_ms", F.coalesce("bytes", F.lit(0)).cast("bigint").alias("bytes"))
+    p = packets.select(F.col("track").alias("t"), "pts", "size", F.floor(F.col("pts") / bucket_ms).alias("b"))
+    inside = touched.join(p, (F.col("track") == F.col("t")) & (F.col("bucket") == F.col("b")) & (F.col("pts") >= F.col("start_ms")) & (F.col("pts") < F.col("end_ms")), "left")
+    return inside.groupBy("track", "n", "start_ms", "end_ms").agg(F.coalesce(F.sum("size"), F.lit(0)).cast("bigint").alias("bytes"))
 
 
 def whole(a: Column, b: Column) -> Column:
