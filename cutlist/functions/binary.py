@@ -62,3 +62,11 @@ def nal_units(data: Column, size: int = 4) -> Column:
 
     steps = F.sequence(F.lit(0), F.greatest((total / (size + 1)).cast("int"), F.lit(0)))
     return F.aggregate(steps, start, step, lambda s: F.when(s["good"] & (s["at"] >= total), s["units"]))
+
+
+def annex_b(data: Column, size: int = 4) -> Column:
+    """Units with start codes for lengths; null where the lengths do not lead to the end."""
+    code = F.unhex(F.lit("00000001"))
+    units = nal_units(data, size)
+    joined = F.aggregate(units, F.lit(b"").cast("binary"), lambda a, u: F.concat(a, code, F.substring(data, u["offset"] + 1, u["length"].cast("int"))))
+    return F.when(units.isNotNull(), joined)
