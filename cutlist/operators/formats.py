@@ -133,3 +133,33 @@ def ttml(files: DataFrame) -> DataFrame:
     span = F.aggregate("levels", F.struct(F.lit(0).cast("bigint").alias("s"), far.alias("e")), inside)
     timed = rows.withColumn("span", span).select("track", "k", F.col("span.s").alias("start_ms"), F.col("span.e").alias("end_ms"), F.regexp_replace(F.trim("text"), r"[ \t]*\n[ \t]*", "\n").alias("text"))
     return _numbered(timed.where("end_ms > start_ms AND text <> ''"), "k")
+
+
+def sami(files: DataFrame) -> DataFrame:
+    """(track, text, duration_ms) -> (track, class, ix, start_ms, end_ms, text): what each class shows from one sync point to the next.
+
+    The last point lasts until the duration, if there is one. Line breaks and bold, italic and underlined
+    text stay; a point that shows nothing but hard spaces clears. Files without a body, or whose points
+    run backwards, give nothing.
+    """
+    body = F.regexp_extract("text", r"(?is)<body[^>]*>(.*)$", 1)
+    clean = F.regexp_replace(body, r"(?is)<(script|style)\b.*?</\1>", "")
+    parts = files.select("track", "duration_ms", F.posexplode(F.split(clean, r"(?i)<sync\b")).alias("k", "part")).where("k > 0")
+    start = F.regexp_extract("part", r"""(?i)^[^>]*\bstart\s*=\s*['"]?(\d+)""", 1).try_cast("bigint")
+    rows = parts.withColumn("start_ms", start)
+    by, every = W.partitionBy("track").orderBy("k"), W.partitionBy("track")
+    rows = rows.withColumn("bad", F.col("start_ms").isNull() | F.coalesce(F.lag("start_ms").over(by) > F.col("start_ms"), F.lit(False)))
+    rows = rows.withColumns({"broken": F.max("bad").over(every), "end_ms": F.coalesce(F.lead("start_ms").over(by), "duration_ms")}).where("NOT broken AND end_ms > start_ms")
+    shown = rows.withColumn("inner", F.regexp_replace("part", r"^[^>]*>", ""))
+    # what stands before the first paragraph belongs to the default class
+    groups = shown.select("track", "k", "start_ms", "end_ms", F.posexplode(F.split("inner", r"(?i)<p(?=[\s>])")).alias("g", "raw"))
+    name = F.when(F.col("g") > 0, F.coalesce(F.nullif(F.regexp_extract("raw", r"""(?i)^[^>]*\bclass\s*=\s*['"]?([^'"\s>]+)""", 1), F.lit("")), F.lit("default"))).otherwise("default")
+    text = F.when(F.col("g") > 0, F.regexp_replace("raw", r"^[^>]*>", "")).otherwise(F.col("raw"))
+    text = F.regexp_replace(F.regexp_replace(text, r"\s*\n\s*", " "), r"(?i)<br\s*/?>", "\n")
+    text = F.regexp_replace(text, r"(?i)<(?!/?[biu]>)[^>]*>", "")
+    lines = F.array_join(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), "\n")
+    cues = groups.select("track", "k", "g", "start_ms", "end_ms", name.alias("class"), lines.alias("text"))
+    cues = cues.groupBy("track", "class", "k", "start_ms", "end_ms").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "text"))), lambda x: x["text"]), " ").alias("text"))
+    cues = cues.where(F.trim(F.regexp_replace("text", r"&nbsp;|&#160;|\s", "")) != "")
+    ix = F.row_number().over(W.partitionBy("track", "class").orderBy("k")) - 1
+    return cues.select("track", "class", ix.cast("bigint").alias("ix"), "start_ms", "end_ms", F.trim("text").alias("text"))

@@ -117,3 +117,11 @@ def test_budgets_are_checked_in_order(spark):
     df = spark.createDataFrame([(1, 0, 0, 3, "x"), (2, 0, 0, 200_000, "x"), (3, 0, 0, 90_000, "y" * 400)], "track long, ix long, start_ms long, end_ms long, text string")
     assert [(r.track, r.rejected) for r in cues.segment_counts(df, 1).orderBy("track").collect()] == [(1, None), (2, "subtitle segments"), (3, "subtitle output bytes")]
     assert [(r.segment, r.body.count("-->")) for r in cues.segment_webvtt(df, 1).orderBy("segment").collect()] == [(0, 1), (1, 1), (2, 1)]
+
+
+def test_sami_classes(spark):
+    doc = '<SAMI><HEAD><STYLE><!-- .ENCC {lang: en} --></STYLE></HEAD><BODY><SYNC Start=1000><P Class=ENCC>Hello<br>there <font color="red">now</font><P Class="JPCC"><i>Oi</i><SYNC Start=2500><P Class=ENCC>&nbsp;<SYNC Start="4000"><P>plain</BODY></SAMI>'
+    df = spark.createDataFrame([(1, doc, 5000), (2, doc.replace("4000", "2000"), 5000), (3, "no", None), (4, doc, None)], "track long, text string, duration_ms long")
+    got = [tuple(r) for r in formats.sami(df).orderBy("track", "class", "ix").collect()]
+    first = [(1, "ENCC", 0, 1000, 2500, "Hello\nthere now"), (1, "JPCC", 0, 1000, 2500, "<i>Oi</i>")]
+    assert got == [*first, (1, "default", 0, 4000, 5000, "plain"), *[(4, *r[1:]) for r in first]]
