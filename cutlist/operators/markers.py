@@ -199,3 +199,16 @@ def nearest_frame(frames: DataFrame, requests: DataFrame, reach: int = 200) -> D
     r = requests.select("source", "time_ms").withColumn("b", F.floor(F.col("time_ms") / reach)).withColumn("bucket", F.explode(F.sequence(F.col("b") - 1, F.col("b") + 1))).drop("b")
     near = r.join(f, ["source", "bucket"]).withColumn("d", F.abs(F.col("frame_ms") - F.col("time_ms"))).where(F.col("d") <= reach)
     return near.groupBy("source", "time_ms").agg(F.min_by(F.struct("ix", "frame_ms"), F.struct("d", "ix")).alias("f")).select("source", "time_ms", "f.ix", "f.frame_ms")
+
+
+def all_markers(heard: DataFrame, seen: DataFrame) -> DataFrame:
+    """Markers of both detectors, those of sound first, numbered by `ix` within their source."""
+    cols = ("source", "start_ms", "end_ms", "confidence", "reference_count")
+    both = heard.select(*cols, "ix").withColumn("part", F.lit(0)).unionByName(seen.select(*cols, "ix").withColumn("part", F.lit(1)))
+    return both.withColumn("ix", (F.row_number().over(W.partitionBy("source").orderBy("part", "ix")) - 1).cast("bigint")).drop("part")
+
+
+def usable_references(references: DataFrame, most: int = 2) -> DataFrame:
+    """(source, reference) -> (source, usable): at most two references, all different, and none the source itself."""
+    g = references.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("reference").alias("d"), F.coalesce(F.bool_or(F.col("reference") == F.col("source")), F.lit(False)).alias("own"))
+    return g.select("source", ((F.col("n") <= most) & (F.col("n") == F.col("d")) & ~F.col("own")).alias("usable"))

@@ -179,3 +179,8 @@ def audio_channels(channels: Column, fam: Column) -> Column:
 
 def audio_bitrate(source: Column, channels: Column, copied: Column) -> Column:
     return F.when(copied, F.coalesce(source, F.lit(384_000))).otherwise(F.when(F.coalesce(channels, F.lit(2)) <= 2, 192_000).otherwise(640_000))
+
+
+def requested(tracks: DataFrame, requests: DataFrame) -> DataFrame:
+    """(source, id) asked for -> (source, id, kind, codec): null where there is no such track; nothing else stands in for it."""
+    return requests.join(described(tracks).select("source", "id", "kind", "codec"), ["source", "id"], "left")

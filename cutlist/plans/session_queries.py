@@ -193,3 +193,37 @@ def playback_manifests(spark, d):
     k = F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint")))
     c = t.where("kind <> 'subtitle'").select("source", "id").withColumn("chunk", k).select("source", "id", "chunk", (F.col("chunk") * 4000).alias("start_ms"), F.lit(4000).cast("bigint").alias("duration_ms"))
     return X.manifest(t, c)
+
+
+@query(f"WITH {_T}, r AS (SELECT DISTINCT source, CASE WHEN source % 2 = 0 THEN 'a1' ELSE 'v0' END AS id FROM t) SELECT r.source, r.id, kind, codec FROM r LEFT JOIN t ON t.source = r.source AND t.id = r.id", "tracks")
+def requested_tracks(spark, d):
+    """D08, and the requests of G02 and G03."""
+    t = A.tracks(spark, d)
+    return S.requested(t, t.select("source").distinct().withColumn("id", F.when(F.col("source") % 2 == 0, "a1").otherwise("v0")))
+
+
+@query("""WITH m AS (SELECT user_id AS source, event_id, event_id * 10 AS start_ms, event_id * 10 + 500 AS end_ms, 0.9::DOUBLE AS confidence, event_id % 3 AS reference_count, event_id % 2 AS seen FROM events WHERE event_id % 50 < 2)
+    SELECT source, start_ms, end_ms, confidence, reference_count, row_number() OVER (PARTITION BY source ORDER BY seen, event_id) - 1 AS ix FROM m""")
+def all_markers(spark, d):
+    """H01."""
+    from ..operators import markers as M
+
+    e = F.col("event_id")
+    m = A.table(spark, d, "events").where("event_id % 50 < 2").select(F.col("user_id").alias("source"), e.alias("ix"), (e * 10).alias("start_ms"), (e * 10 + 500).alias("end_ms"), F.lit(0.9).alias("confidence"), (e % 3).alias("reference_count"))
+    return M.all_markers(m.where("ix % 2 = 0"), m.where("ix % 2 = 1"))
+
+
+@query("SELECT o_custkey AS source, count(*) <= 2 AND count(*) = count(DISTINCT o_orderkey % 50) AND NOT bool_or(o_orderkey % 50 = o_custkey) AS usable FROM orders WHERE o_orderkey % 3 = 0 GROUP BY o_custkey")
+def usable_references(spark, d):
+    """H07."""
+    from ..operators import markers as M
+
+    return M.usable_references(A.table(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("source"), (F.col("o_orderkey") % 50).alias("reference")))
+
+
+@query(f"WITH w AS (SELECT min(pts) + {2 * DAY} AS lo FROM packets) SELECT track, ix, pts, size FROM packets, w WHERE pts >= lo AND pts < lo + {DAY}", "reordered")
+def packets_in_window(spark, d):
+    """C16."""
+    p = A.packets(spark, d, reordered=True)
+    first = p.agg(F.min("pts")).first()[0] + 2 * DAY
+    return p.where((F.col("pts") >= first) & (F.col("pts") < first + DAY)).select("track", "ix", "pts", "size")
