@@ -51,9 +51,11 @@ class Frequent:
 
 
 def segments(symbols: np.ndarray, first: np.ndarray, window: int, gram: int, frequent: Frequent | None = None):
-    """(document, first window, windows, anchor hash, content hash) of all segments of a batch.
+    """(document, first window, windows, anchor hash, content hash, repeats) of all segments of a batch.
 
     `first` has the documents' offsets in `symbols`; first windows count from the document's start.
+    Where a text repeats itself with a short period, its segments are equal and follow each other;
+    they are one row with their number.
     """
     found = []
     for at in range(0, max(len(symbols) - window + 1, 0), BLOCK):
@@ -79,10 +81,15 @@ def segments(symbols: np.ndarray, first: np.ndarray, window: int, gram: int, fre
         new[1:] = (anchor[1:] != anchor[:-1]) | (own[1:] != own[:-1] + 1)
         head = np.flatnonzero(new)
         start, n = own[head], np.diff(np.append(head, len(own)))
-        found.append((doc[head], start + at - first[doc[head]], n, grams[anchor[head]], span(sums, start, start + n - 1 + window)))
+        part = doc[head], start, n, grams[anchor[head]], span(sums, start, start + n - 1 + window)
+        fresh = np.ones(len(head), bool)
+        fresh[1:] = (part[0][1:] != part[0][:-1]) | (start[1:] != start[:-1] + n[:-1]) | (n[1:] != n[:-1]) | (part[4][1:] != part[4][:-1])
+        lead = np.flatnonzero(fresh)
+        d, start, n, g, h = (x[lead] for x in part)
+        found.append((d, start + at - first[d], n, g, h, np.diff(np.append(lead, len(head)))))
     if not found:
         none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -104,11 +111,11 @@ def _pack(chk: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
 def _occurrences(rows: DataFrame, symbols: Callable, window: int, gram: int, frequent) -> DataFrame:
     def run(batches):
         for b in slices(batches, "text"):
-            doc, start, n, g, h = segments(*symbols(*flat(b.column("text")))[:2], window, gram, frequent.value if frequent else None)
+            doc, start, n, g, h, reps = segments(*symbols(*flat(b.column("text")))[:2], window, gram, frequent.value if frequent else None)
             did, chk = (b.column(c).to_numpy(zero_copy_only=False) for c in ("did", "chk"))
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(h.view(np.int64)), pa.array(did[doc]), pa.array(_pack(chk[doc], start, n))], ["g", "h", "did", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(h.view(np.int64)), pa.array(did[doc]), pa.array(_pack(chk[doc], start, n)), pa.array(reps.astype(np.int32))], ["g", "h", "did", "at", "reps"])
 
-    return rows.select("did", "chk", "text").mapInArrow(run, "g long, h long, did long, at long")
+    return rows.select("did", "chk", "text").mapInArrow(run, "g long, h long, did long, at long, reps int")
 
 
 def frequent_grams(rows: DataFrame, symbols: Callable, window: int, gram: int) -> np.ndarray:
@@ -184,13 +191,15 @@ def find(rows: DataFrame, method: Method) -> DataFrame:
     every = W.partitionBy("g")
     same = W.partitionBy("g", "h")
     seen = _occurrences(rows, method.symbols, window, gram, frequent).repartition("g")
-    seen = seen.withColumns({"c": F.count("*").over(every), "lo": F.min("h").over(every), "hi": F.max("h").over(every)}).where("c > 1")
+    seen = seen.withColumns({"c": F.sum("reps").over(every), "lo": F.min("h").over(every), "hi": F.max("h").over(every)}).where("c > 1")
     by = same.orderBy("did", "at")
     twin = (F.lag("did").over(by) == F.col("did")) & (F.lag("at").over(by) == F.col("at"))
-    seen = seen.withColumns({"place": F.rank().over(by), "times": F.count("*").over(same), "twin": F.coalesce(twin, F.lit(False))})
-    settled = F.col("place") > 1 if method.first_stays else F.col("times") > 1
-    seen = seen.select("g", "did", F.shiftright("at", 44).alias("chk"), F.shiftright("at", 8).bitwiseAND((1 << 36) - 1).alias("start"), F.col("at").bitwiseAND(255).alias("n"), settled.alias("settled"), ((F.col("place") == 1) & (F.col("lo") < F.col("hi"))).alias("open"), F.least("times", F.lit(2)).cast("int").alias("times"), "twin")
-    lists = seen.where("settled OR open OR twin").groupBy("did", "chk").agg(F.collect_list(F.struct("g", "start", "n", "settled", "open", "times")).alias("own"))
+    seen = seen.withColumns({"place": F.rank().over(by), "times": F.sum("reps").over(same), "twin": F.coalesce(twin, F.lit(False))})
+    n = F.col("at").bitwiseAND(255)
+    # from which window on a row's windows are known to go: all of them, or all but those of the first repeat
+    gone = F.when(F.col("place") > 1, 0).when(F.col("reps") > 1, n) if method.first_stays else F.when(F.col("times") > 1, 0)
+    seen = seen.select("g", "did", F.shiftright("at", 44).alias("chk"), F.shiftright("at", 8).bitwiseAND((1 << 36) - 1).alias("start"), n.alias("n"), gone.cast("long").alias("gone"), (n * F.col("reps")).alias("all"), ((F.col("place") == 1) & (F.col("lo") < F.col("hi"))).alias("open"), F.least("times", F.lit(2)).cast("int").alias("times"), "twin")
+    lists = seen.where("gone IS NOT NULL OR open OR twin").groupBy("did", "chk").agg(F.collect_list(F.struct("g", "start", "n", F.coalesce("gone", F.lit(-1)).alias("gone"), "all", "open", "times")).alias("own"))
     wanted = rows.select("did", "chk", "text", *[c for c in rows.columns if c.startswith("_keep_")]).join(lists, ["did", "chk"])
 
     def fetch(batches):
@@ -200,18 +209,18 @@ def find(rows: DataFrame, method: Method) -> DataFrame:
             sym = method.symbols(buf, off)
             own = b.column("own")
             item, count = own.flatten(), np.diff(own.offsets.to_numpy())
-            g, start, n, settled, open_, times = (item.field(i).to_numpy(zero_copy_only=False) for i in range(6))
+            g, start, n, gone, all_, open_, times = (item.field(i).to_numpy(zero_copy_only=False) for i in range(7))
             row = np.repeat(np.arange(b.num_rows), count)
             did, chk = (b.column(c).to_numpy(zero_copy_only=False) for c in ("did", "chk"))
             out = []
             cuts = np.searchsorted(row, np.arange(b.num_rows + 1))
             for r in range(b.num_rows):
                 k = np.arange(cuts[r], cuts[r + 1])
-                k = k[settled[k]]
+                k = k[gone[k] >= 0]
                 twin = (int(did[r]), int(chk[r])) in known
                 known.add((int(did[r]), int(chk[r])))
                 if len(k) or twin:
-                    s, e = union(start[k], start[k] + n[k] + window - 1)
+                    s, e = union(start[k] + gone[k], start[k] + all_[k] + window - 1)
                     out.append((int(did[r]) ^ int(chk[r]), int(did[r]), int(chk[r]), 0, -1 if twin else 0, 0, np.stack([s, e], 1).astype("<i8").tobytes()))
             k = np.flatnonzero(open_)
             place = sym[1][row[k]] + start[k]
