@@ -109,7 +109,7 @@ def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that a slice holds about `most` bytes of the column, or one document."""
     for b in batches:
         if b.num_rows == 0:
