@@ -70,3 +70,35 @@ def annex_b(data: Column, size: int = 4) -> Column:
     units = nal_units(data, size)
     joined = F.aggregate(units, F.lit(b"").cast("binary"), lambda a, u: F.concat(a, code, F.substring(data, u["offset"] + 1, u["length"].cast("int"))))
     return F.when(units.isNotNull(), joined)
+
+
+def bits(data: Column, at: int, size: int) -> Column:
+    """Unsigned number of up to 24 bits that starts at a bit; null beyond the end."""
+    first, last = at // 8, (at + size - 1) // 8
+    return F.shiftright(uint(data, first, last - first + 1), 8 * (last + 1) - at - size).bitwiseAND((1 << size) - 1)
+
+
+#: Sampling rates by index, AC-3 rates, channels by mode, and bit rates in kb/s.
+AAC_RATES = (96000, 88200, 64000, 48000, 44100, 32000, 24000, 22050, 16000, 12000, 11025, 8000, 7350)
+AC3_RATES, AC3_CHANNELS = (48000, 44100, 32000), (2, 1, 2, 3, 3, 4, 4, 5)
+AC3_KBPS = (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384, 448, 512, 576, 640)
+
+
+def _nth(values: tuple[int, ...], k: Column) -> Column:
+    return F.when(k.between(0, len(values) - 1), F.element_at(F.array(*[F.lit(v) for v in values]), k.cast("int") + 1))
+
+
+def aac_config(data: Column) -> Column:
+    """Struct object_type, rate_index, sample_rate, channels of an audio configuration; a written-out rate has index 15."""
+    escaped = bits(data, 0, 5) == 31
+    kind = F.when(escaped, bits(data, 5, 6) + 32).otherwise(bits(data, 0, 5))
+    index = F.when(escaped, bits(data, 11, 4)).otherwise(bits(data, 5, 4))
+    written = index == 15
+    rate = F.when(written, F.when(escaped, bits(data, 15, 24)).otherwise(bits(data, 9, 24))).otherwise(_nth(AAC_RATES, index))
+    channels = F.when(written, F.when(escaped, bits(data, 39, 4)).otherwise(bits(data, 33, 4))).otherwise(F.when(escaped, bits(data, 15, 4)).otherwise(bits(data, 9, 4)))
+    return F.struct(kind.cast("int").alias("object_type"), index.cast("int").alias("rate_index"), rate.cast("bigint").alias("sample_rate"), channels.cast("int").alias("channels"))
+
+
+def ac3_config(data: Column) -> Column:
+    """Struct sample_rate, channels, kbps, bsid of a dac3 box; null parts where a code is reserved."""
+    return F.struct(_nth(AC3_RATES, bits(data, 0, 2)).alias("sample_rate"), (_nth(AC3_CHANNELS, bits(data, 10, 3)) + bits(data, 13, 1)).cast("int").alias("channels"), _nth(AC3_KBPS, bits(data, 14, 5)).alias("kbps"), bits(data, 2, 5).cast("int").alias("bsid"))

@@ -128,3 +128,37 @@ def tracks(files: DataFrame) -> DataFrame:
 def subtitle_blocks(files: DataFrame) -> DataFrame:
     """(path, track, codec, block, ticks, scale_ns, duration, source_offset, size) of subtitle tracks, for payload reads and cues."""
     return matroska_frames(files).where("kind = 17").select("path", "track", codecs.matroska_codec(F.col("codec")).alias("codec"), "block", "ticks", "scale_ns", "duration", "source_offset", "size")
+
+
+def payloads(files: DataFrame, packets: DataFrame) -> DataFrame:
+    """Packets (path, source_offset, size, ...) with `payload`, or `error` where they lie outside their file.
+
+    Files are joined by path once for all of their packets; bytes are sliced without Python.
+    """
+    f = files.select("path", "content", F.octet_length("content").cast("bigint").alias("length"))
+    end = F.col("source_offset") + F.col("size")
+    error = F.when((F.col("source_offset") < 0) | (F.col("size") < 0), "invalid range").when(F.col("length").isNull(), "no such file").when(end > F.col("length"), "outside the source")
+    rows = packets.join(f, "path", "left").withColumn("error", error)
+    part = F.substring(F.col("content"), (F.col("source_offset") + 1).cast("int"), F.col("size").cast("int"))
+    return rows.withColumn("payload", F.when(F.col("error").isNull(), part)).drop("content", "length")
+
+
+def text_cues(files: DataFrame) -> DataFrame:
+    """(track, ix, start_ms, end_ms, text) of the text tracks of MP4 and Matroska files; `track` is the path and the track's number.
+
+    A cue lasts as its packet does, and 1 ms at least; packets without text give none.
+    """
+    from ..operators.formats import payload_text
+    from .containers import matroska_packets, mp4_packets
+
+    kinds = sniffed(files).join(files, "path")
+    mp4, mkv = kinds.where("container IN ('mp4', 'mov')"), kinds.where("container = 'matroska'")
+    ms = lambda c: ((F.col(c) * 1000 - F.col(c) * 1000 % F.col("scale")) / F.col("scale")).cast("bigint")
+    own = ("path", "track", "ix", "source_offset", "size", "start_ms", "end_ms", "codec")
+    a = mp4_packets(mp4).join(mp4_tracks(mp4).where("kind = 'subtitle'").select("path", F.col("ix").alias("track"), "codec"), ["path", "track"]).withColumn("start_ms", ms("pts")).withColumn("end_ms", F.col("start_ms") + ms("duration")).select(*own)
+    blocks = subtitle_blocks(mkv).select("path", "track", "codec", "source_offset", "duration", "scale_ns")
+    length = ((F.col("own_ticks") * F.col("scale_ns") - F.col("own_ticks") * F.col("scale_ns") % 1_000_000) / 1_000_000).cast("bigint")
+    b = matroska_packets(mkv).join(blocks.withColumnRenamed("duration", "own_ticks"), ["path", "track", "source_offset"]).withColumn("start_ms", F.col("pts")).withColumn("end_ms", F.col("pts") + F.coalesce(length, "duration")).select(*own)
+    read = payloads(files, a.union(b))
+    cues = read.select(F.concat_ws("#", "path", F.col("track").cast("string")).alias("track"), "ix", "start_ms", F.greatest("end_ms", F.col("start_ms") + 1).alias("end_ms"), payload_text(F.col("codec"), F.col("payload")).alias("text"))
+    return cues.where("text IS NOT NULL")

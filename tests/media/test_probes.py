@@ -52,3 +52,25 @@ def test_languages_and_start_codes(spark):
     assert table(b"mdhd", 1)[4:8] == b"mdhd"
     df = spark.createDataFrame([(bytes.fromhex("00000002674200000001 65".replace(" ", "")),), (b"\x00\x00\x00\x09\x01",)], "d binary")
     assert [r[0] for r in df.select(F.hex(binary.annex_b(F.col("d")))).collect()] == ["000000016742" + "0000000165", None]
+
+
+def test_text_cues_and_payload_errors(spark):
+    from cutlist.sources import containers
+
+    block = lambda ticks, body: ebml(containers.BLOCK_GROUP, ebml(containers.BLOCK, b"\x83" + struct.pack(">hB", ticks, 0) + body) + ebml(containers.DURATION, b"\x07\xd0"))
+    text = e("Track", e("Number", b"\x03"), e("Kind", b"\x11"), e("Codec", b"S_TEXT/UTF8"))
+    file = ebml(0x1A45DFA3, b"") + e("Segment", e("Tracks", text), ebml(containers.CLUSTER, ebml(containers.TIMECODE, b"\x03\xe8") + block(0, b"<i>Hi</i>") + block(3000, b" {x} ") + block(5000, b"Bye")))
+    got = [tuple(r) for r in probes.text_cues(files(spark, m=file)).orderBy("ix").collect()]
+    assert got == [("m#3", 0, 1000, 3000, "Hi"), ("m#3", 2, 6000, 8000, "Bye")]
+    packets = spark.createDataFrame([("m", 0, 4), ("m", 10**6, 1), ("m", 3, -1), ("x", 0, 1)], "path string, source_offset long, size long")
+    assert sorted((r.path, r.size, r.error, r.payload and bytes(r.payload)) for r in probes.payloads(files(spark, m=file), packets).collect()) == [("m", -1, "invalid range", None), ("m", 1, "outside the source", None), ("m", 4, None, b"\x1a\x45\xdf\xa3"), ("x", 1, "no such file", None)]
+
+
+def test_audio_configurations(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(bytes.fromhex("1190"),), (bytes.fromhex("17800005DC08"),), (b"",)], "d binary")
+    got = [tuple(r[0]) for r in df.select(binary.aac_config(F.col("d"))).collect()]
+    assert got[0] == (2, 3, 48000, 2) and got[1][0] == 2 and got[1][1] == 15 and got[2] == (None, None, None, None)
+    df = spark.createDataFrame([(bytes.fromhex("103DC0"),)], "d binary")
+    assert tuple(df.select(binary.ac3_config(F.col("d"))).collect()[0][0]) == (48000, 6, 384, 8)
