@@ -50,20 +50,26 @@ def for_targets(tracks: DataFrame, targets: tuple[str, ...] = ("native", "apple"
     return described(tracks).withColumn("target", F.explode(F.array(*[F.lit(t) for t in targets])))
 
 
-def primary_audio(tracks: DataFrame) -> DataFrame:
-    """For playback: default and copied, copied, default and convertible, convertible, default, first."""
-    t = for_targets(tracks).where("kind = 'audio'")
+def _playback_rank() -> Column:
     copy, change = codecs.can_copy(F.col("kind"), F.col("family"), F.col("target")), codecs.can_transcode_audio(F.col("family"), F.col("target"))
     d = F.col("is_default")
-    return _first(t, _cascade(d & copy, copy, d & change, change, d))
+    return _cascade(d & copy, copy, d & change, change, d)
 
 
-def hls_audio(tracks: DataFrame) -> DataFrame:
-    """For transcoding: the same order over its own copy rules and the codecs with a decoder, whatever the target."""
-    t = for_targets(tracks).where("kind = 'audio'")
+def _hls_rank() -> Column:
     copy, ready = codecs.can_copy_for_hls(F.col("kind"), F.col("family"), F.col("target")), F.col("family").isin(*codecs.TRANSCODED_AUDIO)
     d = F.col("is_default")
-    return _first(t, _cascade(d & copy, copy, d & ready, ready, d))
+    return _cascade(d & copy, copy, d & ready, ready, d)
+
+
+def primary_audio(tracks: DataFrame) -> DataFrame:
+    """For playback: default and copied, copied, default and convertible, convertible, default, first."""
+    return _first(for_targets(tracks).where("kind = 'audio'"), _playback_rank())
+
+
+def hls_audio(tracks: DataFrame) -> DataFrame:
+    """For transcoding: the same order over its own copy rules and the codecs with a decoder, whatever the target."""
+    return _first(for_targets(tracks).where("kind = 'audio'"), _hls_rank())
 
 
 def executable_audio(tracks: DataFrame) -> DataFrame:
@@ -90,15 +96,19 @@ def analysis_audio(tracks: DataFrame, wanted: str | None) -> DataFrame:
 
 
 def selected(tracks: DataFrame, subtitles: bool = True) -> DataFrame:
-    """(source, target, place, id, kind, family, ix): first video, primary audio, usable subtitles, in that order."""
-    t = for_targets(tracks)
-    video = t.where("kind = 'video'").groupBy("source", "target").agg(F.min("ix").alias("ix"))
-    picked = video.withColumn("part", F.lit(0)).union(primary_audio(tracks).select("source", "target", "ix").withColumn("part", F.lit(1)))
+    """(source, target, place, id, kind, family, ix): first video, primary audio, usable subtitles, in that order.
+
+    All of it is windows over a source's tracks, so tracks that are dealt by source are not shuffled again.
+    """
+    by = W.partitionBy("source", "target")
+    best = F.when(F.col("kind") == "audio", F.struct(_playback_rank().alias("rank"), F.col("ix").alias("at")))
+    t = for_targets(tracks).withColumn("audio", best)
+    t = t.withColumns({"first_video": F.min(F.when(F.col("kind") == "video", F.col("ix"))).over(by), "first_audio": F.min("audio").over(by)})
+    part = F.when((F.col("kind") == "video") & (F.col("ix") == F.col("first_video")), 0).when((F.col("kind") == "audio") & (F.col("audio") == F.col("first_audio")), 1)
     if subtitles:
-        own = t.where("kind = 'subtitle'").where(codecs.usable(F.col("kind"), F.col("format"), F.col("target")))
-        picked = picked.union(own.select("source", "target", "ix").withColumn("part", F.lit(2)))
-    rows = t.join(picked, ["source", "target", "ix"])
-    place = F.row_number().over(W.partitionBy("source", "target").orderBy("part", "ix")) - 1
+        part = part.when((F.col("kind") == "subtitle") & codecs.usable(F.col("kind"), F.col("format"), F.col("target")), 2)
+    rows = t.withColumn("part", part).where("part IS NOT NULL")
+    place = F.row_number().over(by.orderBy("part", "ix")) - 1
     return rows.select("source", "target", place.cast("bigint").alias("place"), "id", "kind", "family", "ix")
 
 
@@ -137,11 +147,9 @@ def transcode_plan(tracks: DataFrame) -> DataFrame:
 
     A plan is executable where nothing is missing; video without any video track is itself missing.
     """
-    t = for_targets(tracks)
-    video = t.where("kind = 'video'").groupBy("source", "target").agg(F.min_by(F.struct("id", "kind", "family"), "ix").alias("v"))
-    audio = hls_audio(tracks).select("source", "target", "id").join(t, ["source", "target", "id"]).select("source", "target", F.struct("id", "kind", "family").alias("a"))
-    sources = t.select("source", "target").distinct()
-    rows = sources.join(video, ["source", "target"], "left").join(audio, ["source", "target"], "left")
+    t = for_targets(tracks).withColumn("rank", _hls_rank())
+    own, is_video, is_audio = F.struct("id", "kind", "family"), F.col("kind") == "video", F.col("kind") == "audio"
+    rows = t.groupBy("source", "target").agg(F.min_by(F.when(is_video, own), F.when(is_video, F.col("ix"))).alias("v"), F.min_by(F.when(is_audio, own), F.when(is_audio, F.struct("rank", "ix"))).alias("a"))
 
     def way(part: str, decoded: tuple[str, ...]) -> Column:
         c = lambda f: F.col(f"{part}.{f}")
