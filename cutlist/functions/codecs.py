@@ -146,9 +146,9 @@ def mp4a_string(indication: Column, object_type: Column) -> Column:
     return F.when(indication == 0x40, F.when(object_type > 0, F.concat(F.lit("mp4a.40."), object_type.cast("string")))).otherwise(F.format_string("mp4a.%02x", indication))
 
 
-def pixel_format(chroma: Column, depth: Column) -> Column:
+def pixel_format(sampling: Column, depth: Column) -> Column:
     names = F.array(*[F.lit(x) for x in ("monochrome", "yuv420", "yuv422", "yuv444")])
-    return F.when(chroma.between(0, 3), F.concat(F.element_at(names, chroma.cast("int") + 1), F.lit("-"), depth.cast("string"), F.lit("bit")))
+    return F.when(sampling.between(0, 3), F.concat(F.element_at(names, sampling.cast("int") + 1), F.lit("-"), depth.cast("string"), F.lit("bit")))
 
 
 def frame_rate_ratio(rate: Column) -> tuple[Column, Column]:
