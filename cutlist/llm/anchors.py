@@ -35,6 +35,8 @@ _POS = np.uint64((1 << 24) - 1)
 BLOCK = 1 << 18
 #: Grams are frequent if they anchor so many segments of the sample, one document in so many; at most so many are kept.
 SAMPLE, FREQUENT, MOST_FREQUENT = 64, 12, 4096
+#: Windows of a segment are counted in eight bits, so a gram is never more than so many symbols shorter than a window.
+MOST_WINDOWS = 255
 _NO_ID = -(2**63)
 
 

@@ -82,7 +82,7 @@ def _method(window: int) -> anchors.Method:
         cuts = np.cumsum(n)
         return [h[e - k : e].tobytes() for e, k in zip(cuts.tolist(), n.tolist())]
 
-    return anchors.Method(window=window, gram=min(GRAM, max(1, window // 3)), symbols=word_symbols, first_stays=False, payload=payload, compare=lambda t: recurring(t, window))
+    return anchors.Method(window=window, gram=max(min(GRAM, max(1, window // 3)), window - anchors.MOST_WINDOWS + 1), symbols=word_symbols, first_stays=False, payload=payload, compare=lambda t: recurring(t, window))
 
 
 def dedup(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:

@@ -154,7 +154,9 @@ def _method(window: int) -> anchors.Method:
         raw = buf.tobytes()
         return [raw[s : s + k + window - 1] for s, k in zip(place.tolist(), n.tolist())]
 
-    return anchors.Method(window=window, gram=min(GRAM, window // 2), symbols=lambda buf, off: (byte_symbols(buf), off), first_stays=True, payload=payload, compare=lambda t: repeats(t, window))
+    if window < 8:
+        raise ValueError("windows have at least eight bytes")
+    return anchors.Method(window=window, gram=max(min(GRAM, window // 2), window - anchors.MOST_WINDOWS + 1), symbols=lambda buf, off: (byte_symbols(buf), off), first_stays=True, payload=payload, compare=lambda t: repeats(t, window))
 
 
 def dedup(docs: DataFrame, *, window: int = 100, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:

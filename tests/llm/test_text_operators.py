@@ -282,3 +282,31 @@ def test_alignment_is_common_and_rising():
         assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
         assert len(pairs) <= len(licenses.common(a, b))
         assert licenses.align(a, a) == [(i, i) for i in range(len(a))]
+
+
+@pytest.mark.parametrize("window", [8, 300])
+def test_windows_of_other_sizes(docs, window):
+    rng = random.Random(window)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    data = [(1, base, None, None, None), (2, "x" + base[50:650] + "y", None, None, None), (3, base[:5], None, None, None)]
+    seen, want = set(), []
+    for d, t, *_ in data:
+        gone = set()
+        for k in range(len(t) - window + 1):
+            if t[k : k + window] in seen:
+                gone.update(range(k, k + window))
+            seen.add(t[k : k + window])
+        want.append((d, len(gone)))
+    assert rows_of(suffix.dedup(docs(data), window=window), "doc_id", "n_removed") == want
+    words = [" ".join(t[k] for k in range(len(t)) if t[k] != " ") for _, t, *_ in data]
+    data = [(i, w, None, None, None) for i, w in enumerate(words)]
+    seen = {}
+    for w in words:
+        s = w.split()
+        for k in range(len(s) - window + 1):
+            seen[tuple(s[k : k + window])] = seen.get(tuple(s[k : k + window]), 0) + 1
+    want = []
+    for i, w in enumerate(words):
+        s = w.split()
+        want.append((i, len({x for k in range(len(s) - window + 1) if seen[tuple(s[k : k + window])] > 1 for x in range(k, k + window)})))
+    assert rows_of(phrases.dedup(docs(data), window=window), "doc_id", "n_removed") == want
