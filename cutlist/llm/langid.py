@@ -8,6 +8,10 @@ The probabilities start from the public tokenizer's own segmentation counts and
 refined by expectation maximisation, whose expected counts come from the same forward
 recursion and its backward twin. Words are counted over every training row, with
 partial counts before the shuffle; the recursions then run over different words only.
+
+Words of any length are summed whole. A long word is a product over stretches that no
+piece crosses, as every segmentation ends there; stretches whose sums come near the
+smallest double, and those too long for doubles anyway, are taken in logarithms.
 """
 
 from __future__ import annotations
@@ -25,9 +29,11 @@ from pyspark.sql import DataFrame, functions as F
 from ._text import materialised, slices
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words whose results a task keeps; the longest stretch of a word taken in one go (its
-#: probabilities stay far above the smallest double); the longest piece used.
-MOST_WORDS, LONGEST, LONGEST_PIECE = 200_000, 24, 16
+#: Words and characters whose results a task keeps; the longest piece used.
+MOST_WORDS, MOST_CHARS, LONGEST_PIECE = 200_000, 32 << 20, 16
+#: Words over WHOLE characters are cut where no piece crosses; stretches over LONGEST characters, or
+#: with a sum below TINY (what doubles lose on the way to more is below one part in 1e50), go in logarithms.
+WHOLE, LONGEST, TINY = 24, 128, 1e-250
 _LETTER = regex.compile(r"\p{L}")
 _MARK = "▁"
 _STEP, _SPREAD = np.uint64(0x5851F42D4C957F2D), np.uint64(0x9E3779B97F4A7C15)
@@ -85,6 +91,29 @@ class Vocabulary:
                     out[i + size].append((i, rows, ids[i][rows]))
         return out
 
+    def beginning(self, codes: np.ndarray, start: int, end: int) -> np.ndarray:
+        """(sizes, rows, end - start): the piece of each size that begins at each place, or -1."""
+        c = codes[:, start : end + self.longest - 1]
+        out = np.full((self.longest, len(c), end - start), -1, np.int64)
+        h = np.zeros((len(c), c.shape[1] + 1), np.uint64)
+        for size in range(1, min(c.shape[1], self.longest) + 1):
+            h = h[:, : c.shape[1] - size + 1] * _STEP + c[:, size - 1 :] + np.uint64(1)
+            ids = self.find(np.ascontiguousarray(h[:, : end - start]))
+            if size == 1:
+                ids[ids < 0] = self.other
+            out[size - 1, :, : ids.shape[1]] = ids
+        return out
+
+    def targets(self, sp) -> np.ndarray:
+        """The piece that counts for each id of the tokenizer: `other` once for a character spelled in bytes."""
+        to = np.minimum(np.arange(sp.get_piece_size()), self.other)
+        for i in range(len(to)):
+            if sp.is_unknown(i):
+                to[i] = self.other
+            elif sp.is_byte(i):
+                to[i] = -1 if 0x80 <= int(sp.id_to_piece(i)[3:5], 16) < 0xC0 else self.other
+        return to
+
 
 @dataclass(frozen=True)
 class Model:
@@ -94,16 +123,41 @@ class Model:
     prior: np.ndarray  # log share of each language
 
 
-def parts(word: str) -> list[str]:
-    """The word behind its mark, in stretches of bounded length."""
-    w = _MARK + word
-    return [w] if len(w) <= LONGEST else [w[i : i + LONGEST] for i in range(0, len(w), LONGEST)]
+def parts(marked: list[str], voc: Vocabulary, block: int = 1 << 18) -> tuple[list[str], np.ndarray]:
+    """Stretches of words behind their marks, and how many each word has.
+
+    Long words are cut wherever no piece crosses, which every segmentation does as well: the sum over
+    a word's segmentations is the product of its stretches' sums.
+    """
+    many = np.ones(len(marked), np.int64)
+    long = [i for i, w in enumerate(marked) if len(w) > WHOLE]
+    if not long:
+        return marked, many
+    text = "".join([marked[i] for i in long])
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n, last = len(codes), np.cumsum([len(marked[i]) for i in long])
+    crossed = np.zeros(n + 1, np.int32)
+    for k in range(0, n, block):
+        c = codes[k : k + block + voc.longest - 1].astype(np.uint64)
+        h = np.zeros(len(c) + 1, np.uint64)
+        for size in range(1, min(len(c), voc.longest) + 1):
+            h = h[: len(c) - size + 1] * _STEP + c[size - 1 :] + np.uint64(1)
+            if size > 1:
+                at = np.flatnonzero(voc.find(h[:block]) >= 0) + k
+                at = at[at + size <= last[np.searchsorted(last, at, "right")]]
+                crossed[at + 1] += 1
+                crossed[at + size] -= 1
+    cut = np.flatnonzero(np.cumsum(crossed[:n]) == 0)
+    many[long] = np.diff(np.searchsorted(cut, last), prepend=0)
+    bounds = [*cut.tolist(), n]
+    own = iter([text[x:y] for x, y in zip(bounds, bounds[1:])])
+    return [x for w, m in zip(marked, many.tolist()) for x in ([w] if len(w) <= WHOLE else [next(own) for _ in range(m)])], many
 
 
 def by_length(stretches: list[str], most: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places, characters) of stretches of equal length, in groups of bounded size."""
+    """(places, characters) of stretches of equal length up to LONGEST, in groups of bounded size."""
     size = np.fromiter(map(len, stretches), np.int64, len(stretches))
-    for n in np.unique(size).tolist():
+    for n in np.unique(size[size <= LONGEST]).tolist():
         at = np.flatnonzero(size == n)
         for k in range(0, len(at), most):
             own = at[k : k + most]
@@ -122,39 +176,123 @@ def forward(arcs, n_rows: int, probs: np.ndarray) -> list[np.ndarray]:
     return alpha
 
 
+def padded(stretches: list[str], at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, characters, lengths) of the stretches at some places, those of about one length together."""
+    size = np.fromiter((len(stretches[i]) for i in at.tolist()), np.int64, len(at))
+    o = np.argsort(size, kind="stable")
+    at, size, k = at[o], size[o], 0
+    while k < len(at):
+        end = min(int(np.searchsorted(size, size[k] * 5 // 4 + 8, "right")), k + 256, k + max(1, (1 << 20) // int(size[k])))
+        codes = np.zeros((end - k, int(size[end - 1])), np.uint64)
+        for r, i in enumerate(at[k:end].tolist()):
+            codes[r, : size[k + r]] = np.frombuffer(stretches[i].encode("utf-32-le", "surrogatepass"), np.uint32)
+        yield at[k:end], codes, size[k:end]
+        k = end
+
+
+def _blocks(codes: np.ndarray) -> list[tuple[int, int]]:
+    step = max(1, (1 << 16) // len(codes))
+    return [(k, min(k + step, codes.shape[1])) for k in range(0, codes.shape[1], step)]
+
+
+def log_forward(voc: Vocabulary, codes: np.ndarray, size: np.ndarray, logs: np.ndarray, kept: np.ndarray | None = None) -> np.ndarray:
+    """Logarithm of `forward` at each row's own length; `kept` takes it at every place.
+
+    `logs` are the pieces' log probabilities with a last row of -inf, which is that of no piece.
+    """
+    out = np.zeros((len(codes), logs.shape[1]))
+    a = np.zeros((1, *out.shape))
+    for start, end in _blocks(codes):
+        ids = voc.beginning(codes, start, end)
+        a = np.concatenate([a, np.full((end - start + voc.longest - len(a) + 1, *out.shape), -np.inf)])
+        for j in range(end - start):
+            reach = a[j + 1 : j + 1 + voc.longest]
+            np.logaddexp(reach, a[j] + logs[ids[:, :, j]], out=reach)
+        if kept is not None:
+            kept[start : end + 1] = a[: end - start + 1, :, 0]
+        done = np.flatnonzero((size > start) & (size <= end))
+        out[done] = a[size[done] - start, done]
+        a = a[end - start :]
+    return out
+
+
+def log_counts(voc: Vocabulary, codes: np.ndarray, size: np.ndarray, times: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """Expected piece counts by logarithms, for stretches of any length and any probabilities."""
+    n, rows = codes.shape[1], np.arange(len(codes))
+    alpha = np.zeros((n + 1, len(codes)))
+    total = log_forward(voc, codes, size, logs, alpha)[:, 0]
+    beta = np.full((n + 1 + voc.longest, len(codes)), -np.inf)
+    beta[size, rows] = np.log(times) - total
+    out = np.zeros(voc.size)
+    for start, end in reversed(_blocks(codes)):
+        ids = voc.beginning(codes, start, end)
+        share = np.empty(ids.shape)
+        for j in range(end - start - 1, -1, -1):
+            i = start + j
+            v = logs[ids[:, :, j], 0] + beta[i + 1 : i + 1 + voc.longest]
+            beta[i] = np.logaddexp(beta[i], np.logaddexp.reduce(v, axis=0))
+            share[:, :, j] = np.exp(alpha[i] + v)
+        some = ids >= 0
+        out += np.bincount(ids[some], share[some], len(out))
+    return out
+
+
+def _logs(probs: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.log(probs), np.full((1, probs.shape[1]), -np.inf)])
+
+
 def stretch_logs(stretches: list[str], model: Model) -> np.ndarray:
     """Log-likelihood of each stretch in each language."""
     out = np.zeros((len(stretches), len(model.languages)))
+    rest = [np.flatnonzero(np.fromiter(map(len, stretches), np.int64, len(stretches)) > LONGEST)]
     for at, codes in by_length(stretches):
-        out[at] = np.log(forward(model.vocabulary.arcs(codes), len(codes), model.probs)[-1])
+        v = forward(model.vocabulary.arcs(codes), len(codes), model.probs)[-1]
+        small = (v < TINY).any(1)
+        out[at] = np.log(np.maximum(v, TINY))
+        rest.append(at[small])
+    if len(at := np.concatenate(rest)):
+        logs = _logs(model.probs)
+        for at, codes, size in padded(stretches, at):
+            out[at] = log_forward(model.vocabulary, codes, size, logs)
     return out
 
 
 def word_logs(new: list[str], model: Model) -> np.ndarray:
-    cut = [parts(w) for w in new]
-    logs = stretch_logs([x for p in cut for x in p], model)
-    return np.add.reduceat(logs, np.cumsum([0, *map(len, cut[:-1])]), axis=0) if new else logs
+    """Log-likelihood of each word in each language."""
+    cut, many = parts([_MARK + w for w in new], model.vocabulary)
+    if len(cut) == len(new):
+        return stretch_logs(cut, model)
+    place = {x: k for k, x in enumerate(dict.fromkeys(cut))}
+    logs, at = stretch_logs(list(place), model), np.fromiter(map(place.__getitem__, cut), np.int64, len(cut))
+    return np.stack([np.add.reduceat(logs[at, k], np.cumsum(many) - many) for k in range(len(model.languages))], axis=1)
 
 
 def expected_counts(stretches: list[str], times: np.ndarray, voc: Vocabulary, probs: np.ndarray) -> np.ndarray:
     """Expected piece counts of stretches with multiplicities, under one language's probabilities."""
     out = np.zeros(voc.size)
+    rest = [np.flatnonzero(np.fromiter(map(len, stretches), np.int64, len(stretches)) > LONGEST)]
     for at, codes in by_length(stretches):
         arcs = voc.arcs(codes)
         n = len(codes)
         alpha = forward(arcs, n, probs[:, None])
         beta = [np.zeros(n) for _ in arcs]
-        beta[-1] = times[at] / alpha[-1][:, 0]
+        small = alpha[-1][:, 0] < TINY
+        beta[-1] = np.where(small, 0, times[at] / np.maximum(alpha[-1][:, 0], TINY))
+        rest.append(at[small])
         for end in range(len(arcs) - 1, 0, -1):
             for begin, rows, pieces in arcs[end]:
                 v = probs[pieces] * beta[end][rows]
                 beta[begin][rows] += v
                 out += np.bincount(pieces, alpha[begin][rows, 0] * v, len(out))
+    if len(at := np.concatenate(rest)):
+        logs = _logs(probs[:, None])
+        for at, codes, size in padded(stretches, at):
+            out += log_counts(voc, codes, size, times[at], logs)
     return out
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(lang, part, n) over all rows with text and lang: word stretches and how often each occurs.
+    """(lang, part, n) over all rows with text and lang: words behind their marks and how often each occurs.
 
     Tasks count before the shuffle and hand on what they have whenever it grows over a bound.
     """
@@ -162,25 +300,24 @@ def count_words(docs: DataFrame) -> DataFrame:
 
     def rows(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
         for lang, c in counts.items():
-            short = [w for w in c if len(w) < LONGEST]
-            names, n = [_MARK + w for w in short], [c[w] for w in short]
-            for w in c:
-                if len(w) >= LONGEST:
-                    for p in parts(w):
-                        names.append(p), n.append(c[w])
-            for k in range(0, len(names), 50_000):
-                m = len(names[k : k + 50_000])
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * m), pa.array(names[k : k + 50_000]), pa.array(n[k : k + 50_000], pa.int64())], ["lang", "part", "n"])
+            names, n = [_MARK + w for w in c], list(c.values())
+            size, k = np.cumsum([0, *map(len, names)]), 0
+            while k < len(names):
+                end = min(k + 50_000, max(k + 1, int(np.searchsorted(size, size[k] + (4 << 20), "right")) - 1))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names[k:end])), pa.array(names[k:end]), pa.array(n[k:end], pa.int64())], ["lang", "part", "n"])
+                k = end
 
     def run(batches):
         counts: dict[str, Counter] = {}
+        read = 0
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 for text, lang in zip(b.column("text").slice(k, 256).to_pylist(), b.column("lang").slice(k, 256).to_pylist()):
                     counts.setdefault(lang, Counter()).update(text.split())
-                if sum(map(len, counts.values())) > MOST_WORDS:
+                    read += len(text)
+                if sum(map(len, counts.values())) > MOST_WORDS or read > MOST_CHARS:
                     yield from rows(counts)
-                    counts = {}
+                    counts, read = {}, 0
         yield from rows(counts)
 
     return docs.mapInArrow(run, schema).groupBy("lang", "part").agg(F.sum("n").alias("n"))
@@ -191,7 +328,7 @@ def _counts(counted: DataFrame, make, languages: list[str], size: int) -> np.nda
 
     def run(batches):
         total = np.zeros((len(languages), size))
-        for b in batches:
+        for b in slices(batches, "part", 4 << 20):
             lang, n = b.column("lang"), b.column("n").to_numpy(zero_copy_only=False).astype(float)
             for k, name in enumerate(languages):
                 own = np.flatnonzero(pc.equal(lang, name).to_numpy(zero_copy_only=False))
@@ -232,20 +369,26 @@ def train(docs: DataFrame, *, vocabulary: str = VOCABULARY, rounds: int = 1, smo
         return Model(voc, [], np.zeros((size, 0)), np.zeros(0))
     counted = materialised(count_words(rows), "langid-words")
 
-    def first(k, stretches, n):
+    def first(k, words, n):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
-        ids = sp.encode([x.removeprefix(_MARK) for x in stretches], num_threads=1)
-        flat = np.fromiter((i for x in ids for i in x), np.int64)
-        return np.bincount(np.minimum(flat, voc.other), np.repeat(n, [len(x) for x in ids]), size)
+        ids = sp.encode([x.removeprefix(_MARK) for x in words], num_threads=1)
+        flat = voc.targets(sp)[np.fromiter((i for x in ids for i in x), np.int64)]
+        return np.bincount(flat[flat >= 0], np.repeat(n, [len(x) for x in ids])[flat >= 0], size)
 
     model = _model(voc, languages, _counts(counted, first, languages, size), sizes, smooth)
     for _ in range(rounds):
         shared = docs.sparkSession.sparkContext.broadcast(model)
 
-        def again(k, stretches, n, shared=shared):
-            return expected_counts(stretches, n, shared.value.vocabulary, np.ascontiguousarray(shared.value.probs[:, k]))
+        def again(k, words, n, shared=shared):
+            own = shared.value.vocabulary
+            cut, many = parts(words, own)
+            if len(cut) > len(words):
+                place = {x: j for j, x in enumerate(dict.fromkeys(cut))}
+                n = np.bincount(np.fromiter(map(place.__getitem__, cut), np.int64, len(cut)), np.repeat(n, many))
+                cut = list(place)
+            return expected_counts(cut, n, own, np.ascontiguousarray(shared.value.probs[:, k]))
 
         model = _model(voc, languages, _counts(counted, again, languages, size), sizes, smooth)
     return model
@@ -263,13 +406,15 @@ def identify(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id"
     def run(batches):
         m = shared.value
         known: dict[str, int] = {}
+        held = 0
         table = np.zeros((0, len(m.languages)))
         for b in slices(batches, "text", 4 << 20):
             pred, prob = [], []
             split = [t.split() if t and m.languages and _LETTER.search(t) else None for t in b.column("text").to_pylist()]
-            if len(known) > 2 * MOST_WORDS:
-                known, table = {}, table[:0]
+            if len(known) > 2 * MOST_WORDS or held > MOST_CHARS:
+                known, table, held = {}, table[:0], 0
             new = list({w for s in split if s for w in s}.difference(known))
+            held += sum(map(len, new))
             known.update(zip(new, range(len(table), len(table) + len(new))))
             table = np.concatenate([table, word_logs(new, m)])
             for s in split:

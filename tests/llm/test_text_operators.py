@@ -251,6 +251,52 @@ def test_language_id_learns_and_marks_what_has_no_letters(docs):
     assert langid.identify(docs(ask), langid.train(docs([]))).where("lang_pred = 'und'").count() == 5
 
 
+def test_language_id_sums_words_of_any_length(docs, monkeypatch):
+    import numpy as np
+
+    rng = random.Random(5)
+    spelled = {"▁": 0, "a": 1, "b": 2, "ab": 3, "ba": 4, "▁a": 5, "abab": 6, "c": 7}
+    voc = langid.Vocabulary(spelled)
+    probs = np.array([[1e-6, 0.1]] * 6 + [[1e-9, 0.1]] * 2 + [[1e-25, 1e-18]])
+    model = langid.Model(voc, ["x", "y"], probs, np.zeros(2))
+
+    def summed(word, k):
+        alpha, w = [0.0], "▁" + word
+        for e in range(1, len(w) + 1):
+            own = [alpha[e - s] + np.log(probs[spelled[w[e - s : e]], k]) for s in range(1, min(e, 4) + 1) if w[e - s : e] in spelled]
+            alpha.append(np.logaddexp.reduce(own if w[e - 1] in spelled else [alpha[e - 1] + np.log(probs[voc.other, k])]))
+        return alpha[-1]
+
+    new = ["".join(rng.choices(letters, k=n)) for n in (3, 20, 24, 60, 127, 128, 300, 301, 5000) for letters in ("ab", "abc", "abz", "z")] + ["", "ab" * 12 + "a"]
+    got = langid.word_logs(new, model)
+    assert all(abs(got[i, k] / summed(w, k) - 1) < 1e-9 for i, w in enumerate(new) for k in range(2))
+    for w in new:
+        times = np.array([3e9])
+        counts = langid.expected_counts(["▁" + w], times, voc, probs[:, 0])
+        size = np.array([len(p) for p in spelled] + [1])
+        assert np.isfinite(counts).all() and abs(counts @ size / times[0] - len(w) - 1) < 1e-6 * (len(w) + 1)
+    short = ["▁" + w for w in new if 0 < len(w) < 25 and "z" not in w]
+    want = langid.expected_counts(short, np.arange(1.0, len(short) + 1), voc, probs[:, 1])
+    monkeypatch.setattr(langid, "TINY", 1.0)
+    assert np.allclose(langid.expected_counts(short, np.arange(1.0, len(short) + 1), voc, probs[:, 1]), want, rtol=1e-9)
+    monkeypatch.undo()
+
+    from pyspark.sql import functions as F
+
+    count = langid.count_words
+    monkeypatch.setattr(langid, "count_words", lambda d: count(d).withColumn("n", F.when(F.length("part") < 20, F.col("n") * 10**8).otherwise(F.col("n"))))
+    odd = "\U0001f9ff" * 5000
+    data = [(i, " ".join(rng.choices(x, k=20)), lang, None, None) for i in range(40) for lang, x in (("en", ["the", "of", "was", "http://" + "zq" * 300]), ("fr", ["le", "la", "des", "été"]))]
+    for extra in ([], [(900, odd, "en", None, None)]):
+        model = langid.train(docs(data + extra))
+        assert np.isfinite(model.probs).all() and (model.probs > 0).all() and np.allclose(model.probs.sum(0), 1)
+        assert np.isfinite(langid.word_logs([odd, "ꙮ" * 5000 + "the"], model)).all()
+    ours, other = model.probs[model.vocabulary.other]
+    assert ours > 10 * other
+    got = {r.doc_id: r for r in langid.identify(docs([(1, odd, None, None, None), (2, "été " + "ꙮ" * 5000, None, None, None), (3, "the was " + "q" * 5000, None, None, None)]), model).collect()}
+    assert got[1].lang_pred == "und" and (got[2].lang_pred, got[3].lang_pred) != ("und", "und") and all(0 <= r.score <= 1 for r in got.values())
+
+
 def test_quality_trees_separate_and_are_flat(docs, spark):
     rng = random.Random(13)
     good = lambda: " ".join(rng.choice("alpha beta gamma delta epsilon zeta".split()) for _ in range(80))
