@@ -51,10 +51,11 @@ def peer_consensus(spark, d):
     return _agreed(spark, d)
 
 
-def _agreed(spark, d):
+def _agreed(spark, d, whole=False):
     e = F.col("event_id")
     start = (e * 7919) % 100_000
-    rows = A.table(spark, d, "events").where("event_id % 5 = 0").select((F.col("user_id") % 20).alias("source"), (e % 2).alias("peer"), e.alias("ix"), start.alias("start_ms"), (start + 20_000 + (e * 31) % 60_000).alias("end_ms"), (F.lit(0.85) + (e % 15) / F.lit(100.0)).alias("quality"))
+    ev = A.table(spark, d, "events")
+    rows = (ev if whole else ev.where("event_id % 5 = 0")).select((F.col("user_id") if whole else F.col("user_id") % 20).alias("source"), (e % 2).alias("peer"), e.alias("ix"), start.alias("start_ms"), (start + 20_000 + (e * 31) % 60_000).alias("end_ms"), (F.lit(0.85) + (e % 15) / F.lit(100.0)).alias("quality"))
     return M.consensus(rows.where("peer = 0"), rows.where("peer = 1")).withColumn("quality", F.round("quality", 9))
 
 
@@ -64,6 +65,21 @@ def best_match(spark, d):
     return M.best_match(_agreed(spark, d))
 
 
+_WHOLE_CONSENSUS = _CONSENSUS.replace("user_id % 20", "user_id").replace(" WHERE event_id % 5 = 0", "")
+
+
+@query(f"WITH {_WHOLE_CONSENSUS} SELECT * FROM agreed")
+def whole_peer_consensus(spark, d):
+    """D09 over all rows, a source a user."""
+    return _agreed(spark, d, whole=True)
+
+
+@query(f"""WITH {_WHOLE_CONSENSUS} SELECT source, start_ms, end_ms, quality FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY end_ms - start_ms DESC, quality DESC, start_ms, end_ms) AS k FROM agreed) WHERE k = 1""")
+def whole_best_match(spark, d):
+    """G05 over all rows."""
+    return M.best_match(_agreed(spark, d, whole=True))
+
+
 @query("""WITH o AS (SELECT o_orderkey AS source, o_custkey * 1000 AS s, o_custkey * 1000 + 60000 AS e, o_custkey * 1000 + (o_orderkey % 300) * 1000 AS z FROM orders)
     SELECT source, s >= greatest(z - 240000, 0) AND e >= greatest(z - 90000, 0) AND e <= z AS terminal, least(z * 35 // 100, 900000) AS search_ms FROM o""")
 def credits_gates(spark, d):
@@ -87,14 +103,15 @@ def evidence_windows(spark, d):
 _MARKERS = "mk AS (SELECT user_id % 20 AS source, event_id AS ix, (event_id * 7919) % 1000000 AS start_ms, (event_id * 7919) % 1000000 + (event_id % 13 - 1) * 9000 AS end_ms, 0.85::DOUBLE + (event_id % 17) / 100.0::DOUBLE AS confidence, event_id % 3 AS reference_count FROM events WHERE event_id % 4 = 0)"
 
 
-def _markers(spark, d):
+def _markers(spark, d, whole=False):
     e = F.col("event_id")
     start = (e * 7919) % 1_000_000
-    return A.table(spark, d, "events").where("event_id % 4 = 0").select((F.col("user_id") % 20).alias("source"), e.alias("ix"), start.alias("start_ms"), (start + (e % 13 - 1) * 9000).alias("end_ms"), (F.lit(0.85) + (e % 17) / F.lit(100.0)).alias("confidence"), (e % 3).alias("reference_count"))
+    ev = A.table(spark, d, "events")
+    return (ev if whole else ev.where("event_id % 4 = 0")).select((F.col("user_id") if whole else F.col("user_id") % 20).alias("source"), e.alias("ix"), start.alias("start_ms"), (start + (e % 13 - 1) * 9000).alias("end_ms"), (F.lit(0.85) + (e % 17) / F.lit(100.0)).alias("confidence"), (e % 3).alias("reference_count"))
 
 
-def _valid(spark, d):
-    m = _markers(spark, d)
+def _valid(spark, d, whole=False):
+    m = _markers(spark, d, whole)
     return M.valid_markers(m, m.select("source").distinct().withColumn("duration_ms", F.lit(1_000_000)))
 
 
@@ -104,16 +121,34 @@ def valid_markers(spark, d):
     return _valid(spark, d).withColumn("confidence", F.round("confidence", 9))
 
 
-@query(f"""WITH {_MARKERS}, v AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY confidence DESC, reference_count DESC, ix) AS k FROM mk WHERE confidence BETWEEN 0.9 AND 1.0 AND start_ms < end_ms AND end_ms <= 1000000),
+_WITHOUT_OVERLAPS = f"""WITH {_MARKERS}, v AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY confidence DESC, reference_count DESC, ix) AS k FROM mk WHERE confidence BETWEEN 0.9 AND 1.0 AND start_ms < end_ms AND end_ms <= 1000000),
     f AS (SELECT source, k, start_ms, end_ms, confidence, true AS taken, [{{'s': start_ms, 'e': end_ms}}] AS kept FROM v WHERE k = 1
       UNION ALL SELECT v.source, v.k, v.start_ms, v.end_ms, v.confidence, len(list_filter(kept, lambda x: v.start_ms < x.e AND v.end_ms > x.s)) = 0,
         CASE WHEN len(list_filter(kept, lambda x: v.start_ms < x.e AND v.end_ms > x.s)) = 0 THEN list_append(kept, {{'s': v.start_ms, 'e': v.end_ms}}) ELSE kept END FROM f JOIN v ON v.source = f.source AND v.k = f.k + 1)
-    SELECT source, start_ms, end_ms, round(confidence, 9) AS confidence FROM f WHERE taken""")
+    SELECT source, start_ms, end_ms, round(confidence, 9) AS confidence FROM f WHERE taken"""
+
+
+@query(_WITHOUT_OVERLAPS)
 def markers_without_overlaps(spark, d):
     """G07."""
     return M.without_overlaps(_valid(spark, d)).withColumn("confidence", F.round("confidence", 9))
 
 
+_all_rows = lambda sql: sql.replace("user_id % 20", "user_id").replace(" WHERE event_id % 4 = 0", "")
+
+
+@query(f"WITH {_all_rows(_MARKERS)} SELECT source, ix, start_ms, end_ms, round(confidence, 9) AS confidence, reference_count FROM mk WHERE confidence BETWEEN 0.9 AND 1.0 AND start_ms < end_ms AND end_ms <= 1000000")
+def whole_valid_markers(spark, d):
+    """C17 over all rows, a source a user."""
+    return _valid(spark, d, whole=True).withColumn("confidence", F.round("confidence", 9))
+
+
+@query(_all_rows(_WITHOUT_OVERLAPS))
+def whole_markers_without_overlaps(spark, d):
+    """G07 over all rows."""
+    return M.without_overlaps(_valid(spark, d, whole=True)).withColumn("confidence", F.round("confidence", 9))
+
+
 @query(f"WITH {_NUMBERED}, {_DURATION}, o AS (SELECT source, coalesce(time_ms > lag(time_ms) OVER (PARTITION BY source ORDER BY ix), true) AS ok, time_ms, duration_ms FROM samples JOIN durations USING (source)) SELECT source, bool_and(ok AND time_ms < duration_ms) AS valid FROM o GROUP BY source", "observations")
 def evidence_is_valid(spark, d):
     """C20."""

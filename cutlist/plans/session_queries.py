@@ -213,6 +213,25 @@ def all_markers(spark, d):
     return M.all_markers(m.where("ix % 2 = 0"), m.where("ix % 2 = 1"))
 
 
+@query("""WITH m AS (SELECT user_id AS source, event_id, event_id * 10 AS start_ms, event_id * 10 + 500 AS end_ms, 0.9::DOUBLE AS confidence, event_id % 3 AS reference_count, event_id % 2 AS seen FROM events)
+    SELECT source, start_ms, end_ms, confidence, reference_count, row_number() OVER (PARTITION BY source ORDER BY seen, event_id) - 1 AS ix FROM m""")
+def whole_all_markers(spark, d):
+    """H01 over all rows."""
+    from ..operators import markers as M
+
+    e = F.col("event_id")
+    m = A.table(spark, d, "events").select(F.col("user_id").alias("source"), e.alias("ix"), (e * 10).alias("start_ms"), (e * 10 + 500).alias("end_ms"), F.lit(0.9).alias("confidence"), (e % 3).alias("reference_count"))
+    return M.all_markers(m.where("ix % 2 = 0"), m.where("ix % 2 = 1"))
+
+
+@query("SELECT o_custkey AS source, count(*) <= 2 AND count(*) = count(DISTINCT o_orderkey % 50) AND NOT bool_or(o_orderkey % 50 = o_custkey) AS usable FROM orders GROUP BY o_custkey")
+def whole_usable_references(spark, d):
+    """H07 over all rows."""
+    from ..operators import markers as M
+
+    return M.usable_references(A.table(spark, d, "orders").select(F.col("o_custkey").alias("source"), (F.col("o_orderkey") % 50).alias("reference")))
+
+
 @query("SELECT o_custkey AS source, count(*) <= 2 AND count(*) = count(DISTINCT o_orderkey % 50) AND NOT bool_or(o_orderkey % 50 = o_custkey) AS usable FROM orders WHERE o_orderkey % 3 = 0 GROUP BY o_custkey")
 def usable_references(spark, d):
     """H07."""
