@@ -184,6 +184,19 @@ def plain_texts(spark, d):
     return c.select("conv_id", "turn", U.plain_text(marked).alias("plain"))
 
 
+_GROUPS = "m"
+for _ in range(4):
+    _GROUPS = f"regexp_replace({_GROUPS}, '\\{{[^{{}}]*\\}}', '', 'g')"
+
+
+@query(rf"""WITH t AS (SELECT conv_id, turn, '<i>' || text || '</i>{{\pos{{1}}(2,3)}}' || chr(10) || '  ' || text || ' <b' AS m FROM conversations)
+    SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split(replace(regexp_replace({_GROUPS}, '<[^>]*(>|$)', '', 'g'), chr(13) || chr(10), chr(10)), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10)) AS plain FROM t""")
+def whole_plain_texts(spark, d):
+    """J02, J05 over all texts, with their own lines, tags and groups."""
+    marked = F.concat(F.lit("<i>"), "text", F.lit("</i>{\\pos{1}(2,3)}\n  "), "text", F.lit(" <b"))
+    return A.table(spark, d, "conversations").select("conv_id", "turn", U.plain_text(marked).alias("plain"))
+
+
 @query(f"""WITH {_T}, c AS (SELECT source, id, k AS chunk, k * 4000 AS s, 4000 AS d FROM t, range(0, 2) g(k) WHERE kind <> 'subtitle'),
     j AS (SELECT source, id, '[' || string_agg('{{"index":' || chunk || ',"startMs":' || s || ',"durationMs":' || d || '}}', ',' ORDER BY chunk) || ']' AS cs FROM c GROUP BY ALL)
     SELECT source, '{{"schemaVersion":2,"tracks":[' || string_agg('{{"id":"' || t.id || '","kind":"' || kind || '","codec":"' || family || '","chunks":' || coalesce(cs, '[]') || '}}', ',' ORDER BY ix) || ']}}' AS manifest FROM t LEFT JOIN j USING (source, id) GROUP BY source""", "tracks")

@@ -63,3 +63,97 @@ def test_markers_and_references_over_all_rows(spark, tables):
     for r in tables["orders"]:
         refs[r.o_custkey].append(r.o_orderkey % 50)
     assert rows_of(spark, "whole_usable_references", "source", "usable") == sorted((c, len(x) <= 2 and len(x) == len(set(x)) and c not in x) for c, x in refs.items())
+
+
+#: Texts with several lines, blank lines, tags, groups, one character, spaces at the ends or nothing.
+TEXTS = ["one line", "two\nlines", "a\n\n b \n\n\nc\n", "x", "\n", "", None, "  both ends \t", "old\rmac\r\nwin", "<i>a</i> {\\an8}b\n<b>c", "-->\n7\n{a{b{c}}}d", " \n \t\nlast", "{open\nend", "a > b {x\ny} c"]
+
+
+@pytest.fixture(scope="module")
+def odd_texts(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("texts")
+    like = spark.read.parquet(f"{SF}/conversations.parquet")
+    rows = spark.createDataFrame([(k % 3, k // 3, t) for k, t in enumerate(TEXTS)], "conv_id long, turn long, text string")
+    rows.selectExpr(*[f"CAST({c if c in rows.columns else 'NULL'} AS {like.schema[c].dataType.simpleString()}) AS {c}" for c in like.columns]).coalesce(1).write.parquet(f"{folder}/conversations.parquet")
+    return str(folder)
+
+
+def by_duck(name, folder):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{folder}/conversations.parquet/*.parquet'")
+    return con.sql(catalog.ORACLE_SQL[name])
+
+
+def test_subrip_round_trip_of_all_texts(spark, odd_texts):
+    want = []
+    for track in range(3):
+        at, ix = 0, 0
+        for t in TEXTS[track::3]:
+            start, at = at, at + 50 * len(t or "")
+            lines = [x.rstrip() for x in (t or "").replace("\r\n", "\n").replace("\r", "\n").split("\n")]
+            if text := "\n".join(x for x in lines if x):
+                want.append((track, ix, start, at, text))
+                ix += 1
+    cols = ("track", "ix", "start_ms", "end_ms", "text")
+    assert rows_of(spark, "whole_subrip_round_trip", *cols, sf=odd_texts) == sorted(want) == sorted(by_duck("whole_subrip_round_trip", odd_texts).select(*cols).fetchall())
+
+
+def plain(text):
+    for _ in range(4):
+        out, start = [], None
+        for c in text:
+            out.append(c)
+            if c == "{":
+                start = len(out) - 1
+            elif c == "}" and start is not None:
+                del out[start:]
+                start = None
+            elif c == "}":
+                start = None
+        text = "".join(out)
+    out, inside = "", False
+    for c in text:
+        inside = inside or c == "<"
+        out += "" if inside else c
+        inside = inside and c != ">"
+    return "\n".join(x.strip() for x in out.replace("\r\n", "\n").split("\n") if x.strip())
+
+
+def test_plain_texts_of_all_texts(spark, odd_texts):
+    want = [(k % 3, k // 3, None if t is None else plain("<i>" + t + "</i>{\\pos{1}(2,3)}\n  " + t + " <b")) for k, t in enumerate(TEXTS)]
+    got = [tuple(r) for r in catalog.QUERIES["whole_plain_texts"](spark, odd_texts).select("conv_id", "turn", "plain").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) == sorted(by_duck("whole_plain_texts", odd_texts).select("conv_id", "turn", "plain").fetchall(), key=repr)
+
+
+def test_all_series_are_aligned_with_each_other(spark):
+    from cutlist.sources import adapters
+
+    series = defaultdict(dict)
+    for r in adapters.fingerprints(spark, SF).collect():
+        series[r.source][r.ix] = (r.t_ms, r.bits, r.voiced)
+        if r.ix < 48:
+            series[r.source + 1000][r.ix + 100] = ((r.ix + 100) * 400, r.bits, r.voiced)
+    series = {s: f for s, f in series.items() if len(f) <= 8000 and len({b for _, b, v in f.values() if v}) >= 32}
+    want = []
+    for s, a in series.items():
+        for p, b in series.items():
+            votes = defaultdict(int)
+            for i, (_, x, _) in a.items():
+                for j, (_, y, _) in b.items():
+                    if s != p and x >> 20 == y >> 20:
+                        votes[j - i] += 1
+            for shift in sorted((k for k in votes if votes[k] > 1), key=lambda k: (-votes[k], k))[:8]:
+                ixs = [i for i in sorted(a) if i + shift in b]
+                d = [(a[i][1] ^ b[i + shift][1]).bit_count() for i in ixs]
+                near = [k for k in range(len(ixs)) if (w := d[max(0, k - 4) : k + 5]) and sum(w) / len(w) <= 6.4]
+                runs = defaultdict(list)
+                for n, k in enumerate(near):
+                    runs[ixs[k] - n].append(k)
+                for ks in runs.values():
+                    start, end, score = a[ixs[ks[0]]][0], a[ixs[ks[-1]]][0], sum(d[k] for k in ks) / len(ks)
+                    if 15_000 <= end - start <= 300_000 and score <= 3.2:
+                        want.append((s, p, start, end, round(1 - score / 32, 6)))
+    assert {s < 1000 for s, *_ in want} == {True, False}
+    assert rows_of(spark, "repeated_intro", "source", "peer", "start_ms", "end_ms", "quality") == sorted(want)
