@@ -320,6 +320,40 @@ def test_licenses(docs):
     assert "Apache-2.0-header" in got[5].all_licenses and got[1].coverage == 1.0 and got[1].last_word - got[1].first_word + 1 == got[1].n_aligned == 12
 
 
+def test_near_miss_licenses(docs):
+    t = licenses.TEMPLATES
+    filler = "words of the work and others in it " * 20
+    cases = {
+        "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0",
+        "Licensed under CC BY-NC-ND 4.0.": "CC-BY-NC-ND-4.0",
+        "Licensed under CC BY 4.0.": "CC-BY-4.0",
+        "Licensed under CC BY 2.0.": None,
+        "This work is licensed under the GNU Lesser General Public License, version 2.": None,
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1",
+        "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0",
+        "This work is licensed under the GNU Library General Public License, version 2.": None,
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+        "This work is licensed under the GNU General Public License, version 2. 1 file": "GPL-2.0",
+        "This work is licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0",
+        "This code is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "CC-BY-NC-4.0-text",
+        "This work is licensed under a Creative Commons Attribution 3.0 International License.": None,
+        "Licensed under the Apache License, Version 1.1.": None,
+        t["BSD-3-Clause"]: "BSD-3-Clause",
+        t["BSD-2-Clause"]: "BSD-2-Clause",
+        t["BSD-2-Clause"].replace("1.", "*").replace("2.", "*").replace("COPYRIGHT HOLDER OR", "REGENTS OR"): "BSD-2-Clause",
+        t["BSD-2-Clause"][:300]: None,
+        t["MIT-text"] + "\n" + t["MIT-text"]: "MIT-text",
+        t["MIT-text"][:300]: None,
+        t["LGPL-2.1-text"]: "LGPL-2.1-text",
+        "the of this work is licensed " * 30 + t["GPL-3.0-text"]: "GPL-3.0-text",
+        "software the of to and in " * 500: None,
+    }
+    data = [(i, front + x + back, None, None, None) for i, (x, front, back) in enumerate((x, f, b) for x in cases for f, b in (("", ""), (filler, filler), (x.split()[0] + " ", " " + x.split()[-1])))]
+    got = {r.doc_id: r.license for r in licenses.scan(docs(data)).collect()}
+    assert [got[i] for i in range(len(data))] == [v for v in cases.values() for _ in range(3)]
+
+
 def test_alignment_is_common_and_rising():
     rng = random.Random(17)
     for _ in range(300):
