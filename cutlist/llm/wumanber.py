@@ -53,8 +53,8 @@ def _normal(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return flat(pa.array(texts, pa.large_string()))
 
 
-def compile_patterns(items: list[tuple[int, str | None]], window: int) -> Patterns:
-    """Tables of all windows of the given items."""
+def compile_patterns(items: list[tuple[int | None, str | None]], window: int) -> Patterns:
+    """Tables of all windows of the given items; those without id own patterns that name no item."""
     buf, off = _normal([t for _, t in items])
     buf = LOWER[buf]
     starts, ends, first = words(buf, off, ALNUM)
@@ -65,7 +65,9 @@ def compile_patterns(items: list[tuple[int, str | None]], window: int) -> Patter
         own = spelled[first[k] : first[k + 1]]
         m = min(window, len(own))
         for i in range(len(own) - m + 1 if m else 0):
-            owners.setdefault(tuple(own[i : i + m]), set()).add(item)
+            known = owners.setdefault(tuple(own[i : i + m]), set())
+            if item is not None:
+                known.add(item)
     out = Patterns()
     for m in sorted({len(p) for p in owners}):
         group = [p for p in owners if len(p) == m]
@@ -141,7 +143,7 @@ def _search(col: pa.Array, patterns: Patterns) -> tuple[np.ndarray, list[np.ndar
 
 def blocks(benchmark: DataFrame, most_bytes: int, window: int) -> Iterator[Patterns]:
     """The benchmark's patterns in blocks of about `most_bytes` of text; each block is collected for itself."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL AND item_id IS NOT NULL")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-total // most_bytes))
     for k in range(n):
@@ -152,8 +154,9 @@ def blocks(benchmark: DataFrame, most_bytes: int, window: int) -> Iterator[Patte
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, most_bytes: int = 4 << 20, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns of `keep` with n_words, n_hit, n_items, items_sha256, contaminated: one row for each row of docs.
 
-    Null and empty texts have no words and no hits. Benchmark rows without text, words or id
-    are no patterns; items that repeat an id count once. Other columns are not read.
+    Null and empty texts have no words and no hits. Benchmark rows without text or words
+    are no patterns; items that repeat an id count once, those without id count for n_hit and
+    contaminated only. Other columns are not read.
     """
     spark = docs.sparkSession
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)

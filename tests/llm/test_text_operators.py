@@ -196,6 +196,15 @@ def test_decontamination(docs, spark):
     assert wumanber.decontaminate(docs(data), bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_by_items_without_id(docs, spark):
+    bench = spark.createDataFrame([(None, "red green blue"), (None, "solo"), (5, "green blue"), (None, None)], "item_id long, text string")
+    data = [(1, "a Red green, blue b", None, None, None), (2, "solo", None, None, None), (3, "green blue", None, None, None), (4, "red green", None, None, None)]
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = [(1, 3, 1, sha("5"), True), (2, 1, 0, sha(""), True), (3, 2, 1, sha("5"), True), (4, 0, 0, sha(""), False)]
+    for most_bytes in (4 << 20, 8):
+        assert rows_of(wumanber.decontaminate(docs(data), bench, most_bytes=most_bytes), "doc_id", "n_hit", "n_items", "items_sha256", "contaminated") == want
+
+
 def test_mixing(docs):
     rng = random.Random(9)
     data = [(i, " ".join(["w"] * rng.randint(1, 60)) if i % 11 else None, None, None if i % 10 == 9 else f"s{i % 10 // 3}", None) for i in range(900)]
