@@ -31,6 +31,11 @@ def uniform(id_col: Column, seed: str) -> Column:
     return (F.conv(hexed, 16, 10).cast("double") + 0.5) / float(2**52)
 
 
+def bucket(u: Column, buckets: int) -> Column:
+    """Bucket of a row's rank, by its u: inside a source both have one order, and u fills all buckets alike whatever the odds."""
+    return F.floor(u * buckets).cast("int")
+
+
 def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
     """(skey, source, source_size) -> the same with target: one row a source.
 
@@ -84,7 +89,7 @@ def pareto_mix(
     small = F.broadcast if few else (lambda df: df)
 
     rank = (F.col("u") / (1 - F.col("u"))) * (1 - F.col("part")) / F.col("part")
-    rows = narrow.join(small(plan.where("part > 0").select("skey", "part")), "skey").withColumn("q", rank).withColumn("bucket", F.floor(F.col("q") / (1 + F.col("q")) * buckets).cast("int"))
+    rows = narrow.join(small(plan.where("part > 0").select("skey", "part")), "skey").withColumn("q", rank).withColumn("bucket", bucket(F.col("u"), buckets))
     upto = W.partitionBy("skey").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = rows.groupBy("skey", "bucket").agg(F.sum("size").alias("words")).withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0)))
     inside = W.partitionBy("skey", "bucket").orderBy("q", "did", "size").rowsBetween(W.unboundedPreceding, -1)

@@ -229,6 +229,23 @@ def test_mixing(docs):
     assert mixing.pareto_mix(docs([])).count() == 0
 
 
+def test_mixing_spreads_a_source_with_a_small_share(docs, monkeypatch):
+    data = [(i, "a b c d", None, "big" if i % 100 else f"small{i // 100}", None) for i in range(4000)]
+    seen = []
+    floor = mixing.F.floor
+    monkeypatch.setattr(mixing.F, "floor", lambda c: seen.append(c) or floor(c))
+    out = mixing.pareto_mix(docs(data), weights=(1, 2000), most=50, buckets=64)
+    place = next(c for c in seen if "64" in str(c))
+    monkeypatch.undo()
+    part = 1.5 * 4 * 4000 / (21 * 1 + 20 * 2000) / (3960 * 4)
+    u = docs(data).where("source = 'big'").withColumn("u", mixing.uniform(mixing.F.col("doc_id"), "mix"))
+    q = mixing.F.col("u") / (1 - mixing.F.col("u")) * (1 - part) / part
+    counts = [r["count"] for r in u.withColumn("q", q).groupBy(floor(place).alias("b")).count().collect()]
+    assert len(counts) == 64 and max(counts) < 4 * 3960 / 64
+    big = [r for r in out.collect() if r.source_size == 3960 * 4]
+    assert len(big) == 3960 and abs(sum(r.taken for r in big) - big[0].target) <= 2
+
+
 def test_inclusion_follows_the_share(docs):
     data = [(i, "a b c d", None, f"s{i % 4}", None) for i in range(4000)]
     taken = [r.taken for r in mixing.pareto_mix(docs(data)).where("target < 2 * source_size").collect()]
