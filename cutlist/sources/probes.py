@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,14 +13,14 @@ from ..functions.binary import uint
 from .containers import boxes, elements, matroska_frames, sniffed
 
 #: Elements that hold elements, by name.
-MASTERS = {0x18538067: "Segment", 0x1549A966: "Info", 0x1654AE6B: "Tracks", 0xAE: "Track", 0xE0: "Video", 0xE1: "Audio", 0x1043A770: "Chapters", 0x45B9: "Edition", 0xB6: "Atom", 0x80: "Display", 0x1941A469: "Attachments", 0x61A7: "Attached", 0x1C53BB6B: "Cues", 0xBB: "Point", 0xB7: "Position"}
+MASTERS = {0x18538067: "Segment", 0x1549A966: "Info", 0x1654AE6B: "Tracks", 0xAE: "Track", 0xE0: "Video", 0xE1: "Audio", 0x1043A770: "Chapters", 0x45B9: "Edition", 0xB6: "Atom", 0x80: "Display", 0x1941A469: "Attachments", 0x61A7: "Attached", 0x1C53BB6B: "Cues", 0xBB: "Point", 0xB7: "Position", 0x6D80: "Encodings", 0x6240: "Encoding", 0x5034: "Compression"}
 #: Elements with values, by name.
-VALUES = {0x2AD7B1: "Scale", 0x4489: "Duration", 0xD7: "Number", 0x83: "Kind", 0x86: "Codec", 0x22B59C: "Language", 0x88: "Default", 0x55AA: "Forced", 0x536E: "Title", 0xB0: "Width", 0xBA: "Height", 0x9F: "Channels", 0xB5: "Rate", 0x23E383: "FrameNs", 0x73C4: "Uid", 0x91: "Start", 0x92: "End", 0x85: "Text", 0x437C: "TextLanguage", 0x466E: "FileName", 0x4660: "MimeType", 0x465C: "FileData", 0xB3: "Time", 0xF7: "CueTrack", 0xF1: "CuePlace"}
+VALUES = {0x2AD7B1: "Scale", 0x4489: "Duration", 0xD7: "Number", 0x83: "Kind", 0x86: "Codec", 0x22B59C: "Language", 0x88: "Default", 0x55AA: "Forced", 0x536E: "Title", 0xB0: "Width", 0xBA: "Height", 0x9F: "Channels", 0xB5: "Rate", 0x23E383: "FrameNs", 0x73C4: "Uid", 0x91: "Start", 0x92: "End", 0x85: "Text", 0x437C: "TextLanguage", 0x466E: "FileName", 0x4660: "MimeType", 0x465C: "FileData", 0xB3: "Time", 0xF7: "CueTrack", 0xF1: "CuePlace", 0x5031: "Order", 0x5032: "Scope", 0x5033: "EncodingKind", 0x4254: "Algorithm", 0x4255: "Settings"}
 #: Kinds of Matroska tracks and of MP4 handlers.
 KINDS = {1: "video", 2: "audio", 17: "subtitle"}
 HANDLERS = {"video": ("vide",), "audio": ("soun",), "subtitle": ("sbtl", "subt", "text", "clcp")}
-#: Values longer than this are given out by size only.
-MOST_VALUE = 64 << 10
+#: Values longer than this are given out by size only; payloads that grow beyond the second have none.
+MOST_VALUE, MOST_PAYLOAD = 64 << 10, 64 << 20
 
 
 def matroska_elements(files: DataFrame) -> DataFrame:
@@ -71,6 +72,34 @@ def matroska_tracks(found: DataFrame) -> DataFrame:
     return t.select("path", ix.cast("bigint").alias("ix"), "number", kind.alias("kind"), codecs.matroska_codec(F.col("id")).alias("codec"), "language", "title", (F.coalesce("d", F.lit(1)) != 0).alias("is_default"), (F.coalesce("f", F.lit(0)) != 0).alias("forced"), "width", "height", "channels", "frame_ns")
 
 
+def matroska_encodings(found: DataFrame) -> DataFrame:
+    """(path, number, encodings): what was done to the frames of each encoded track, the last step first."""
+    rows = found.withColumn("track", F.regexp_extract("parent", r"^(/Segment\.0+/Tracks\.0+/Track\.\d+)", 1)).where("track <> ''")
+    n = lambda name, default: F.coalesce(_value(name, _number(F.col("value"))), F.lit(default))
+    steps = rows.withColumn("step", F.regexp_extract("parent", r"^(.*/Encodings\.\d+/Encoding\.\d+)", 1)).where("step <> ''").groupBy("path", "track", "step").agg(n("Order", 0).alias("order"), n("Scope", 1).alias("scope"), n("EncodingKind", 0).alias("kind"), n("Algorithm", 0).alias("algorithm"), _value("Settings").alias("settings"))
+    steps = steps.where(F.col("scope").bitwiseAND(1) == 1).groupBy("path", "track").agg(F.reverse(F.array_sort(F.collect_list(F.struct("order", "step", "kind", "algorithm", "settings")))).alias("encodings"))
+    numbers = rows.groupBy("path", "track").agg(_value("Number", _number(F.col("value"))).alias("number"))
+    return steps.join(numbers, ["path", "track"]).select("path", "number", "encodings")
+
+
+def decoded(payload: bytes | None, encodings: list | None) -> bytes | None:
+    """A frame with zlib and header stripping undone; null where a step is another one or fails."""
+    for step in encodings or ():
+        if payload is None or step["kind"] != 0 or step["algorithm"] not in (0, 3):
+            return None
+        if step["algorithm"] == 3:
+            payload = bytes(step["settings"] or b"") + bytes(payload)
+            continue
+        z = zlib.decompressobj()
+        try:
+            payload = z.decompress(bytes(payload), MOST_PAYLOAD)
+        except zlib.error:
+            return None
+        if not z.eof:
+            return None
+    return payload
+
+
 def matroska_chapters(found: DataFrame) -> DataFrame:
     """(path, ix, id, start_ms, end_ms, title, language): atoms depth first, those without a start left out; the first display counts."""
     rows = found.withColumn("atom", F.regexp_extract("parent", r"^(.*/Atom\.\d+)(?:/Display\.\d+)?$", 1)).where("atom <> ''")
@@ -146,7 +175,8 @@ def payloads(files: DataFrame, packets: DataFrame) -> DataFrame:
 def text_cues(files: DataFrame) -> DataFrame:
     """(track, ix, start_ms, end_ms, text) of the text tracks of MP4 and Matroska files; `track` is the path and the track's number.
 
-    A cue lasts as its packet does, and 1 ms at least; packets without text give none.
+    A cue lasts as its packet does, and 1 ms at least; packets without text give none. Matroska's zlib
+    and header stripping are undone; packets encrypted or compressed otherwise give no cues.
     """
     from ..operators.formats import payload_text
     from .containers import matroska_packets, mp4_packets
@@ -159,6 +189,8 @@ def text_cues(files: DataFrame) -> DataFrame:
     blocks = subtitle_blocks(mkv).select("path", "track", "codec", "source_offset", "duration", "scale_ns")
     length = ((F.col("own_ticks") * F.col("scale_ns") - F.col("own_ticks") * F.col("scale_ns") % 1_000_000) / 1_000_000).cast("bigint")
     b = matroska_packets(mkv).join(blocks.withColumnRenamed("duration", "own_ticks"), ["path", "track", "source_offset"]).withColumn("start_ms", F.col("pts")).withColumn("end_ms", F.col("pts") + F.coalesce(length, "duration")).select(*own)
-    read = payloads(files, a.union(b))
+    read = payloads(files, a.union(b)).join(matroska_encodings(matroska_elements(mkv)).withColumnRenamed("number", "track"), ["path", "track"], "left")
+    plain = F.when(F.col("encodings").isNull(), F.col("payload")).otherwise(F.udf(decoded, "binary")("payload", "encodings"))
+    read = read.withColumn("payload", plain)
     cues = read.select(F.concat_ws("#", "path", F.col("track").cast("string")).alias("track"), "ix", "start_ms", F.greatest("end_ms", F.col("start_ms") + 1).alias("end_ms"), payload_text(F.col("codec"), F.col("payload")).alias("text"))
     return cues.where("text IS NOT NULL")

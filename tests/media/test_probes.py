@@ -66,6 +66,26 @@ def test_text_cues_and_payload_errors(spark):
     assert sorted((r.path, r.size, r.error, r.payload and bytes(r.payload)) for r in probes.payloads(files(spark, m=file), packets).collect()) == [("m", -1, "invalid range", None), ("m", 1, "outside the source", None), ("m", 4, None, b"\x1a\x45\xdf\xa3"), ("x", 1, "no such file", None)]
 
 
+def test_text_cues_of_compressed_tracks(spark):
+    import zlib
+
+    from cutlist.sources import containers
+
+    squeeze = e("Encodings", e("Encoding", e("Compression", e("Algorithm", b"\x00"))))
+    strip = e("Encodings", e("Encoding", e("Compression", e("Algorithm", b"\x03"), e("Settings", b"Hel"))))
+    both = e("Encodings", e("Encoding", e("Order", b"\x00"), e("Compression", e("Algorithm", b"\x03"), e("Settings", b"Hel"))), e("Encoding", e("Order", b"\x01"), e("Compression")))
+    other = e("Encodings", e("Encoding", e("Compression", e("Algorithm", b"\x02"))))
+    private = e("Encodings", e("Encoding", e("Scope", b"\x02"), e("Compression")))
+    bodies = {"zlib": (squeeze, zlib.compress(b"Hello there")), "strip": (strip, b"lo there"), "both": (both, zlib.compress(b"lo there")), "broken": (squeeze, b"Hello"), "cut": (squeeze, zlib.compress(b"Hello there")[:-6]), "lzo": (other, b"Hello"), "private": (private, b"Hello there")}
+    made = {}
+    for name, (how, body) in bodies.items():
+        text = e("Track", e("Number", b"\x03"), e("Kind", b"\x11"), e("Codec", b"S_TEXT/UTF8"), how)
+        block = ebml(containers.BLOCK_GROUP, ebml(containers.BLOCK, b"\x83" + struct.pack(">hB", 0, 0) + body) + ebml(containers.DURATION, b"\x07\xd0"))
+        made[name] = ebml(0x1A45DFA3, b"") + e("Segment", e("Tracks", text), ebml(containers.CLUSTER, ebml(containers.TIMECODE, b"\x03\xe8") + block))
+    got = {r.track: r.text for r in probes.text_cues(files(spark, **made)).collect()}
+    assert got == dict.fromkeys(("zlib#3", "strip#3", "both#3", "private#3"), "Hello there")
+
+
 def test_audio_configurations(spark):
     from pyspark.sql import functions as F
 
