@@ -1,8 +1,9 @@
 """Vectorised text helpers that the operators of this subpackage share inside Spark tasks.
 
-A batch of texts is one flat uint8 array plus document offsets; words, rolling
-hashes and sliding minima are numpy passes over that array, so a task's cost is
-a few nanoseconds a byte and its memory is bounded by the slice it works on.
+A batch of texts is one flat uint8 array plus document offsets; words, hashes of
+windows and sliding minima are numpy passes over that array, so a task's cost is
+a few nanoseconds a byte. Arrays of eight bytes a byte are made a block at a time, so
+that memory beyond the text itself is bounded for texts of any length.
 """
 
 from __future__ import annotations
@@ -25,19 +26,20 @@ ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-_BYTES = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**64, 256, np.uint64)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BACK = pow(_BASE, -1, 2**64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: A number for each byte at each of the first places of a word.
+_PLACES = 64
+_TABLE = np.random.Generator(np.random.PCG64(20240607)).integers(0, 2**64, (_PLACES, 256), np.uint64)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which all machines of a cluster share.
 
-    Where the setting is unset (tests on one machine) the session gets a folder of its own.
+    Where the setting is unset a session on one machine gets a folder of its own; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="cutlist-")
@@ -54,15 +56,6 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _grow(n: int) -> None:
-    if len(_powers[0]) <= n:
-        size = 1 << int(n).bit_length()
-        for k, base in enumerate((_BASE, _BACK)):
-            p = np.full(size + 1, base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.cumprod(p, dtype=np.uint64)
-
-
 def mix(v: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, in place."""
     v ^= v >> np.uint64(30)
@@ -73,24 +66,73 @@ def mix(v: np.ndarray) -> np.ndarray:
     return v
 
 
-def prefix(symbols: np.ndarray) -> np.ndarray:
-    """Prefix sums of a polynomial over 64-bit symbols; span() reads hashes of any stretch from them."""
-    n = len(symbols)
-    _grow(n)
-    out = np.zeros(n + 1, np.uint64)
-    np.cumsum(symbols * _powers[0][:n], out=out[1:])
-    return out
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in their order; not linear in either, so that no pattern of symbols cancels out."""
+    v = a ^ (a >> np.uint64(32))
+    v *= np.uint64(0x9DDFEA08EB382D69)
+    v ^= v >> np.uint64(29)
+    v += b
+    v *= np.uint64(0xC2B2AE3D27D4EB4F)
+    return mix(v)
 
 
-def span(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of symbols[start:end]: equal stretches have equal hashes wherever they stand."""
-    v = (sums[end] - sums[start]) * _powers[1][start]
-    v += (np.asarray(end - start)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix(v)
+def windows(h: np.ndarray, width: int, reach: int = 1) -> np.ndarray:
+    """Hashes of each `width` neighbours, put together from halves; h covers `reach` of them already."""
+    while reach * 2 <= width:
+        h = pair(h[:-reach], h[reach:]) if len(h) > reach else h[:0]
+        reach *= 2
+    rest = width - reach
+    return pair(h[:-rest], h[rest:]) if rest and len(h) > rest else h[:0] if rest else h
+
 
+def byte_grams(buf: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of each `width` neighbouring bytes; the first eight go in as they are."""
+    n = len(buf) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    if width < 8:
+        buf = np.concatenate([buf, np.zeros(8 - width, np.uint8)])
+    v = np.ndarray((len(buf) - 7,), "<u8", np.ascontiguousarray(buf), strides=(1,)).copy()
+    if width < 8:
+        v &= np.uint64(2 ** (8 * width) - 1)
+    return windows(v, width, 8) if width > 8 else mix(v)
 
-def byte_symbols(buf: np.ndarray) -> np.ndarray:
-    return _BYTES[buf]
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """Hash of each stretch of bytes: the sum of random numbers for its bytes at their places, with its length.
+
+    Different stretches have equal hashes with a chance of one in 2^64 whatever they hold.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    size = np.asarray(ends - starts, np.int64)
+    upto = np.cumsum(size)
+    k = 0
+    while k < len(starts):  # stretches of about `block` bytes at a time, or one of more
+        z = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + 4 * block, "right")))
+        n = size[k:z]
+        if z == k + 1 and n[0] > 8 * block:
+            total = 0
+            for at in range(0, int(n[0]), block):
+                total += int(_placed(buf[starts[k] + at : min(starts[k] + at + block, ends[k])], np.arange(at, min(at + block, int(n[0])))).sum(dtype=np.uint64))
+            out[k] = np.uint64(total % 2**64)
+        else:
+            first = np.cumsum(n) - n
+            place = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(first, n)
+            at = place + np.repeat(starts[k:z], n)
+            some = np.flatnonzero(n)
+            if len(some):
+                out[k + some] = np.add.reduceat(_placed(buf[at], place), first[some])
+        k = z
+    out += size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return mix(out)
+
+
+def _placed(data: np.ndarray, place: np.ndarray) -> np.ndarray:
+    v = _TABLE.ravel()[np.minimum(place, _PLACES - 1) * 256 + data]
+    far = np.flatnonzero(place >= _PLACES - 1)
+    if len(far):
+        v[far] = mix((place[far].astype(np.uint64) << np.uint64(8) | data[far]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x1B873593CC9E2D51))
+    return v
 
 
 def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -139,6 +181,18 @@ def words(buf: np.ndarray, off: np.ndarray, word_byte: np.ndarray) -> tuple[np.n
     return starts, ends, np.searchsorted(starts, off)
 
 
+def spaced_words(buf: np.ndarray, off: np.ndarray, word_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
+    """(hash of each word, first word of each document, the words with one space between them, begin and end of each there)."""
+    buf, off = np.insert(buf, off[1:], 0x20), off + np.arange(len(off))  # a space ends each document
+    starts, ends, first = words(buf, off, word_byte)
+    inside = word_byte[buf]
+    text = np.where(inside, buf, np.uint8(0x20))
+    inside[ends] = True
+    size = ends - starts
+    begin = np.cumsum(size + 1) - (size + 1)
+    return word_hashes(buf, starts, ends), first, text[inside].tobytes(), begin, begin + size
+
+
 def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """start[0], start[0]+1, ... (count[0] of them), start[1], ..."""
     count = np.asarray(count, np.int64)

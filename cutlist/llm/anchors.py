@@ -4,13 +4,20 @@ A window is `window` consecutive symbols (bytes or words) of one document. Its a
 the gram with the smallest hash inside it, the leftmost of equals, so that equal windows
 have equal anchors wherever they stand. Consecutive windows with the same anchor form a
 segment; only segments (a few hundredths of the symbols) are shuffled, by the anchor's
-hash. A segment whose anchor occurs once in the corpus holds no repeated window. Equal
-segments are settled by their hashes; different segments with a common anchor are compared
-in `compare`, which the operators supply, on one partition of anchors at a time.
+hash. A segment whose anchor occurs once in the corpus holds no repeated window.
+
+Of equal segments one stands for all: its text is fetched and compared with the other
+segments of its anchor in `compare`, which the operators supply, and what is decided there
+about a content that occurs again is carried to its other places. Segments are equal if
+their anchors' hashes and 64 bits of BLAKE2 of their text are.
 
 Grams that a small sample of documents shows to be frequent come last in the order of
 hashes, so that a very common passage anchors only windows wholly inside it, which are
-equal and collapse. The sample changes which anchors are chosen, never the result.
+equal and collapse. The sample changes which anchors are chosen, never the result. Segments
+of a frequent gram are dealt out by documents as well, and each share has its own
+representatives, so that no task sees all of them. Where the different segments of one anchor
+are more than a table holds, they are cut into blocks, and each pair of blocks is compared
+on its own.
 
 Documents are shuffled once, by their keys, and that exchange is read twice: to fetch the
 segments that must be compared, and to apply what was found. All steps are rows keyed by
@@ -19,6 +26,7 @@ document or anchor; there is no collect, and a lost executor's part is computed
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -27,48 +35,95 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from . import _text
-from ._text import flat, mix, prefix, ragged, slices, sliding_min, span, union
+from ._text import flat, mix, ragged, slices, sliding_min, union
 
 _POS = np.uint64((1 << 24) - 1)
 #: Windows handled at a time; bounds memory for texts of any length.
 BLOCK = 1 << 18
 #: Grams are frequent if they anchor so many segments of the sample, one document in so many; at most so many are kept.
-SAMPLE, FREQUENT, MOST_FREQUENT = 64, 12, 4096
+SAMPLE, FREQUENT, MOST_FREQUENT = 64, 12, 1 << 16
+#: Shares that the segments of a frequent gram are dealt out to.
+SHARES = 32
 #: Windows of a segment are counted in eight bits, so a gram is never more than so many symbols shorter than a window.
 MOST_WINDOWS = 255
-_NO_ID = -(2**63)
+KEY = ["did", "chk"]
+
+
+@dataclass(frozen=True)
+class Units:
+    """The symbols of a batch and where they stand in its text; `begin` and `end` are None where symbols are bytes."""
+
+    symbols: np.ndarray
+    first: np.ndarray
+    text: bytes
+    begin: np.ndarray | None = None
+    end: np.ndarray | None = None
+
+    def cut(self, start: np.ndarray, stop: np.ndarray) -> list[bytes]:
+        """The text of symbols start to stop, for each of a number of stretches."""
+        if self.begin is not None:
+            start, stop = self.begin[start], self.end[stop - 1]
+        text = self.text
+        return [text[s:e] for s, e in zip(start.tolist(), stop.tolist())]
 
 
 @dataclass(frozen=True)
 class Frequent:
+    """Frequent grams in order, and how many blocks the segments of each are compared in."""
+
     grams: np.ndarray
+    blocks: np.ndarray
     low: np.ndarray
 
     @classmethod
-    def of(cls, grams: np.ndarray) -> Frequent:
-        low = np.zeros(1 << 16, bool)
-        low[(grams & np.uint64(0xFFFF)).astype(np.int64)] = True
-        return cls(np.sort(grams), low)
+    def of(cls, grams: np.ndarray, blocks: np.ndarray) -> Frequent:
+        low = np.zeros(1 << 20, bool)
+        low[(grams & np.uint64(0xFFFFF)).astype(np.int64)] = True
+        o = np.argsort(grams)
+        return cls(grams[o], blocks[o], low)
+
+    def place(self, grams: np.ndarray) -> np.ndarray:
+        """Place of each gram among the frequent ones, or -1."""
+        out = np.full(len(grams), -1, np.int64)
+        if len(self.grams):
+            maybe = np.flatnonzero(self.low[(grams & np.uint64(0xFFFFF)).astype(np.int64)])
+            k = np.minimum(np.searchsorted(self.grams, grams[maybe]), len(self.grams) - 1)
+            out[maybe] = np.where(self.grams[k] == grams[maybe], k, -1)
+        return out
+
+
+@dataclass(frozen=True)
+class Method:
+    """What an operator adds: how texts become symbols and grams, and how segments with a common anchor are compared."""
+
+    window: int
+    gram: int
+    #: units(buf, off) -> Units of a batch of texts.
+    units: Callable
+    #: grams(symbols, gram) -> hashes of each `gram` neighbours.
+    grams: Callable
+    #: compare(table of nn, did, chk, start, n, times, data) -> (row, starts, ends, again): intervals to remove, counted
+    #: from the segment's start, and for each row whether the other places of its content go as well.
+    compare: Callable
+    #: Bytes of segments that are compared at a time.
+    most: int = 2 << 20
 
 
-def segments(symbols: np.ndarray, first: np.ndarray, window: int, gram: int, frequent: Frequent | None = None):
+def segments(units: Units, method: Method, frequent: Frequent | None = None):
     """(document, first window, windows, anchor hash, content hash, repeats) of all segments of a batch.
 
-    `first` has the documents' offsets in `symbols`; first windows count from the document's start.
-    Where a text repeats itself with a short period, its segments are equal and follow each other;
-    they are one row with their number.
+    First windows count from the document's start. Where a text repeats itself with a short
+    period, its segments are equal and follow each other; they are one row with their number.
     """
+    window, gram, first, symbols = method.window, method.gram, units.first, units.symbols
     found = []
     for at in range(0, max(len(symbols) - window + 1, 0), BLOCK):
         part = symbols[at : at + BLOCK + window - 1]
-        n_windows, n_grams = len(part) - window + 1, len(part) - gram + 1
-        sums = prefix(part)
-        grams = mix((sums[gram:] - sums[:n_grams]) * _text._powers[1][:n_grams])
+        grams = method.grams(part, gram)
+        n_windows, n_grams = len(part) - window + 1, len(grams)
         order = grams >> np.uint64(1)
-        if frequent is not None and len(frequent.grams):
-            maybe = np.flatnonzero(frequent.low[(grams & np.uint64(0xFFFF)).astype(np.int64)])
-            order[maybe[np.isin(grams[maybe], frequent.grams)]] |= np.uint64(1 << 63)
+        if frequent is not None:
+            order[frequent.place(grams) >= 0] |= np.uint64(1 << 63)
         place = (sliding_min((order & ~_POS) | np.arange(n_grams, dtype=np.uint64), window - gram + 1) & _POS).astype(np.int64)
         d0, d1 = max(int(np.searchsorted(first, at, "right")) - 1, 0), int(np.searchsorted(first, at + n_windows, "left"))
         lo = np.clip(first[d0:d1] - at, 0, n_windows)
@@ -83,48 +138,63 @@ def segments(symbols: np.ndarray, first: np.ndarray, window: int, gram: int, fre
         new[1:] = (anchor[1:] != anchor[:-1]) | (own[1:] != own[:-1] + 1)
         head = np.flatnonzero(new)
         start, n = own[head], np.diff(np.append(head, len(own)))
-        part = doc[head], start, n, grams[anchor[head]], span(sums, start, start + n - 1 + window)
+        digest = hashlib.blake2b
+        texts = units.cut(start + at, start + at + n - 1 + window)
+        h = np.frombuffer(b"".join([digest(x, digest_size=8).digest() for x in texts]), np.int64)
+        d = doc[head]
         fresh = np.ones(len(head), bool)
-        fresh[1:] = (part[0][1:] != part[0][:-1]) | (start[1:] != start[:-1] + n[:-1]) | (n[1:] != n[:-1]) | (part[4][1:] != part[4][:-1])
+        fresh[1:] = (d[1:] != d[:-1]) | (start[1:] != start[:-1] + n[:-1]) | (n[1:] != n[:-1]) | (h[1:] != h[:-1])
         lead = np.flatnonzero(fresh)
-        d, start, n, g, h = (x[lead] for x in part)
-        found.append((d, start + at - first[d], n, g, h, np.diff(np.append(lead, len(head)))))
+        found.append((d[lead], start[lead] + at - first[d[lead]], n[lead], grams[anchor[head]][lead], h[lead], np.diff(np.append(lead, len(head)))))
     if not found:
         none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none
+        return none, none, none, none.astype(np.uint64), none, none
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """did, chk, text and the columns of `keep` under their places' names.
+    """nn, did, chk, text and the columns of `keep` under their places' names.
 
-    A document's key is its id and a checksum of its text, so rows that repeat an id are
-    documents of their own; a null id stands before all others.
+    A document's key is its id and 64 bits of its text's hash, or 128 bits of that hash where the
+    id is null, so rows that repeat an id are documents of their own, and so are those without
+    one. nn is 0 without an id and 1 with one: null ids stand before all others.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("did"), F.xxhash64(text).bitwiseAND(0x7FFFF).cast("long").alias("chk"), text.alias("text"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)])
+    own = F.col(id_col).cast("long")
+    did = F.coalesce(own, F.xxhash64(F.lit("a document without id"), text))
+    return docs.select(own.isNotNull().cast("int").alias("nn"), did.alias("did"), F.xxhash64(text).alias("chk"), text.alias("text"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)])
 
 
-def _pack(chk: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Checksum, first window (36 bits) and windows (8 bits) in one number; orders a document's segments."""
-    return (chk << 44) | (start << 8) | n
+def public_id(nn: str = "nn", did: str = "did"):
+    return F.when(F.col(nn) == 1, F.col(did))
 
 
-def _occurrences(rows: DataFrame, symbols: Callable, window: int, gram: int, frequent) -> DataFrame:
+def _occurrences(rows: DataFrame, method: Method, frequent) -> DataFrame:
+    """(g, share, h, did, chk, at, reps): `at` holds nn, the first window in 36 bits and the windows in 8; share is 0 but for frequent grams."""
+
     def run(batches):
+        known = frequent.value if frequent else None
         for b in slices(batches, "text"):
-            doc, start, n, g, h, reps = segments(*symbols(*flat(b.column("text")))[:2], window, gram, frequent.value if frequent else None)
-            did, chk = (b.column(c).to_numpy(zero_copy_only=False) for c in ("did", "chk"))
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(h.view(np.int64)), pa.array(did[doc]), pa.array(_pack(chk[doc], start, n)), pa.array(reps.astype(np.int32))], ["g", "h", "did", "at", "reps"])
+            doc, start, n, g, h, reps = segments(method.units(*flat(b.column("text"))), method, known)
+            nn, did, chk = (b.column(c).to_numpy(zero_copy_only=False) for c in ("nn", "did", "chk"))
+            at = (nn[doc].astype(np.int64) << 44) | (start << 8) | n
+            share = np.zeros(len(g), np.int64)
+            if known is not None:
+                k = np.flatnonzero(known.place(g) >= 0)
+                share[k] = 1 + (mix((did[doc[k]] ^ chk[doc[k]]).astype(np.uint64)) % np.uint64(SHARES)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(share.astype(np.int32)), pa.array(h), pa.array(did[doc]), pa.array(chk[doc]), pa.array(at), pa.array(reps.astype(np.int32))], ["g", "share", "h", "did", "chk", "at", "reps"])
 
-    return rows.select("did", "chk", "text").mapInArrow(run, "g long, h long, did long, at long, reps int")
+    return rows.select("nn", "did", "chk", "text").mapInArrow(run, "g long, share int, h long, did long, chk long, at long, reps int")
 
 
-def frequent_grams(rows: DataFrame, symbols: Callable, window: int, gram: int) -> np.ndarray:
-    """Anchors that a sample shows to be frequent: at most MOST_FREQUENT numbers."""
+def frequent_grams(rows: DataFrame, method: Method) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors that a sample shows to be frequent, at most MOST_FREQUENT numbers, and in how many blocks to compare their segments."""
     sample = rows.where(F.pmod(F.xxhash64("did", "chk"), F.lit(SAMPLE)) == 0)
-    seen = _occurrences(sample, symbols, window, gram, None).groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
-    return np.array([r.g for r in seen.orderBy(F.desc("n"), "g").limit(MOST_FREQUENT).collect()], np.int64).view(np.uint64)
+    size = F.col("at").bitwiseAND(255) + method.window - 1
+    contents = _occurrences(sample, method, None).groupBy("g", "h").agg(F.count("*").alias("n"), F.max(size).alias("size"))
+    seen = contents.groupBy("g").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") < FREQUENT, F.col("size") * F.col("n") * SAMPLE).otherwise(F.col("size") * SHARES)).alias("size")).where(F.col("n") >= FREQUENT)
+    got = seen.orderBy(F.desc("n"), "g").limit(MOST_FREQUENT).toPandas()
+    return got["g"].to_numpy(np.int64).view(np.uint64), np.ceil(got["size"].to_numpy(float) / method.most).astype(np.int64).clip(1)
 
 
 def _row_bytes(t: pa.Table) -> np.ndarray:
@@ -148,7 +218,10 @@ def _pieces(t: pa.Table, key: str, most: int) -> Iterator[pa.Table]:
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Iterator[pa.Table]:
-    """Rows that arrive sorted by key, in tables of whole groups: about `most` bytes, or one group of more."""
+    """Rows that arrive sorted by key, in tables of whole groups: about `most` bytes, or one group of more.
+
+    A group here is at most two blocks of what is compared; see `find`.
+    """
     held: pa.Table | None = None
     for b in batches:
         if not b.num_rows:
@@ -164,101 +237,79 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Iter
         yield from _pieces(held, key, most)
 
 
-@dataclass(frozen=True)
-class Method:
-    """What an operator adds: symbols(buf, off) -> (symbols, offsets, ...); which rows are settled; what is compared and how."""
-
-    window: int
-    gram: int
-    symbols: Callable
-    #: True: the first of equal windows stays (bytes); False: all of them go (words).
-    first_stays: bool
-    #: payload(symbols of the batch, buf, place, windows) -> bytes of a segment for `compare`.
-    payload: Callable
-    #: compare(table) -> (row, starts, ends): intervals to remove, counted from the segment's start.
-    compare: Callable
-    #: Bytes of segments that are compared at a time.
-    most: int = 4 << 20
-
-
 def find(rows: DataFrame, method: Method) -> DataFrame:
-    """(did, chk, spans, twin): for documents with something to remove, its intervals as a list of packed int64 pairs.
+    """(did, chk, spans, carried): for documents with something to remove, its intervals of symbols.
 
-    `twin` marks keys that stand on several rows. `rows` are keyed(); they are shuffled by key here,
-    and a caller that joins them with the result by (did, chk) reads the same exchange.
+    `spans` are lists of packed int64 pairs from comparisons, `carried` (start, end) of equal segments. `rows`
+    are keyed(); they are shuffled by key here, and a caller that joins them with the result by
+    key reads the same exchange.
     """
-    window, gram = method.window, method.gram
-    grams = frequent_grams(rows, method.symbols, window, gram)
-    frequent = rows.sparkSession.sparkContext.broadcast(Frequent.of(grams)) if len(grams) else None
-    every = W.partitionBy("g")
-    same = W.partitionBy("g", "h")
-    seen = _occurrences(rows, method.symbols, window, gram, frequent).repartition("g")
-    seen = seen.withColumns({"c": F.sum("reps").over(every), "lo": F.min("h").over(every), "hi": F.max("h").over(every)}).where("c > 1")
-    by = same.orderBy("did", "at")
-    twin = (F.lag("did").over(by) == F.col("did")) & (F.lag("at").over(by) == F.col("at"))
-    seen = seen.withColumns({"place": F.rank().over(by), "times": F.sum("reps").over(same), "twin": F.coalesce(twin, F.lit(False))})
-    n = F.col("at").bitwiseAND(255)
-    # from which window on a row's windows are known to go: all of them, or all but those of the first repeat
-    gone = F.when(F.col("place") > 1, 0).when(F.col("reps") > 1, n) if method.first_stays else F.when(F.col("times") > 1, 0)
-    seen = seen.select("g", "did", F.shiftright("at", 44).alias("chk"), F.shiftright("at", 8).bitwiseAND((1 << 36) - 1).alias("start"), n.alias("n"), gone.cast("long").alias("gone"), (n * F.col("reps")).alias("all"), ((F.col("place") == 1) & (F.col("lo") < F.col("hi"))).alias("open"), F.least("times", F.lit(2)).cast("int").alias("times"), "twin")
-    lists = seen.where("gone IS NOT NULL OR open OR twin").groupBy("did", "chk").agg(F.collect_list(F.struct("g", "start", "n", F.coalesce("gone", F.lit(-1)).alias("gone"), "all", "open", "times")).alias("own"))
-    wanted = rows.select("did", "chk", "text", *[c for c in rows.columns if c.startswith("_keep_")]).join(lists, ["did", "chk"])
+    window = method.window
+    grams, blocks = frequent_grams(rows, method)
+    frequent = rows.sparkSession.sparkContext.broadcast(Frequent.of(grams, blocks)) if len(grams) else None
+    here, same = W.partitionBy("g", "share"), W.partitionBy("g", "share", "h")
+    by = same.orderBy(F.shiftright("at", 44), "did", "chk", "at")
+    seen = _occurrences(rows, method, frequent).repartition("g", "share").withColumn("c", F.sum("reps").over(here)).where("c > 1 OR share > 0")
+    seen = seen.withColumns({"place": F.row_number().over(by), "times": F.sum("reps").over(same)})
+    start, n = F.shiftright("at", 8).bitwiseAND((1 << 36) - 1), F.col("at").bitwiseAND(255)
+    # the first of each content is compared; the others, and repeats in a row, follow what is decided on it
+    size = F.sum(F.when(F.col("place") == 1, n + (window - 1 + 64))).over(here)
+    lead = seen.withColumn("blocks", F.when(F.col("share") == 0, F.ceil(size / F.lit(method.most))).otherwise(F.lit(0)).cast("int")).where("place = 1")
+    lists = lead.groupBy("did", "chk").agg(F.collect_list(F.struct("g", "h", start.alias("start"), n.alias("n"), F.least("times", F.lit(2)).cast("int").alias("times"), "share", "blocks")).alias("own"))
+    wanted = rows.select("nn", "did", "chk", "text", *[c for c in rows.columns if c.startswith("_keep_")]).join(lists, KEY)
+    names = ["key", "g", "h", "share", "nn", "did", "chk", "start", "n", "times", "data"]
+    schema = "key long, g long, h long, share long, nn long, did long, chk long, start long, n long, times long, data binary"
 
     def fetch(batches):
-        known: set[tuple[int, int]] = set()
         for b in slices(batches, "text"):
-            buf, off = flat(b.column("text"))
-            sym = method.symbols(buf, off)
+            units = method.units(*flat(b.column("text")))
             own = b.column("own")
             item, count = own.flatten(), np.diff(own.offsets.to_numpy())
-            g, start, n, gone, all_, open_, times = (item.field(i).to_numpy(zero_copy_only=False) for i in range(7))
+            g, h, start, n, times, share, cuts = (item.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(7))
             row = np.repeat(np.arange(b.num_rows), count)
-            did, chk = (b.column(c).to_numpy(zero_copy_only=False) for c in ("did", "chk"))
-            out = []
-            cuts = np.searchsorted(row, np.arange(b.num_rows + 1))
-            for r in range(b.num_rows):
-                k = np.arange(cuts[r], cuts[r + 1])
-                k = k[gone[k] >= 0]
-                twin = (int(did[r]), int(chk[r])) in known
-                known.add((int(did[r]), int(chk[r])))
-                if len(k) or twin:
-                    s, e = union(start[k] + gone[k], start[k] + all_[k] + window - 1)
-                    out.append((int(did[r]) ^ int(chk[r]), int(did[r]), int(chk[r]), 0, -1 if twin else 0, 0, np.stack([s, e], 1).astype("<i8").tobytes()))
-            k = np.flatnonzero(open_)
-            place = sym[1][row[k]] + start[k]
-            data = method.payload(sym, buf, place, n[k])
-            out += zip(g[k].tolist(), did[row[k]].tolist(), chk[row[k]].tolist(), start[k].tolist(), n[k].tolist(), times[k].tolist(), data)
-            if out:
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["g", "did", "chk", "start", "n", "times", "data"])
-
-    fetched = wanted.mapInArrow(fetch, "g long, did long, chk long, start long, n long, times long, data binary")
+            nn, did, chk = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[row] for c in ("nn", "did", "chk"))
+            place = units.first[row] + start
+            if frequent is not None:
+                k = np.flatnonzero(share)
+                cuts[k] = frequent.value.blocks[frequent.value.place(g[k].view(np.uint64))]
+            data = pa.array(units.cut(place, place + n + window - 1), pa.binary())
+            # a segment of an anchor in several blocks goes to every pair of blocks that holds its own
+            own_block = (mix((did ^ chk ^ start).astype(np.uint64)) % np.maximum(cuts, 1).astype(np.uint64)).astype(np.int64)
+            each = np.repeat(np.arange(len(g)), cuts)
+            other = ragged(np.zeros(len(g), np.int64), cuts)
+            low, high = np.minimum(own_block[each], other), np.maximum(own_block[each], other)
+            key = np.where(cuts[each] == 1, g[each], mix(g[each].view(np.uint64) ^ mix((low << 32 | high).astype(np.uint64))).view(np.int64))
+            for k in range(0, len(each), 4096):
+                at = each[k : k + 4096]
+                yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 4096]), *[pa.array(c[at]) for c in (g, h, share, nn, did, chk, start, n, times)], data.take(pa.array(at))], names)
+
+    fetched = wanted.mapInArrow(fetch, schema)
 
     def compare(batches):
-        names = ["did", "chk", "data", "twin"]
-        for t in whole_groups(batches, "g", method.most):
+        out = ["g", "h", "share", "did", "chk", "again", "data"]
+        for t in whole_groups(batches, "key", method.most):
             t = t.combine_chunks()
-            kind = t.column("n").to_numpy()
-            done = np.flatnonzero(kind <= 0)
-            if len(done):
-                p = t.take(pa.array(done))
-                yield from pa.table([p.column("did"), p.column("chk"), p.column("data"), pa.array(kind[done] < 0)], names=names).to_batches()
-            t = t.take(pa.array(np.flatnonzero(kind > 0)))
-            if not t.num_rows:
-                continue
-            row, s, e = method.compare(t)
-            start, did, chk = (t.column(c).to_numpy() for c in ("start", "did", "chk"))
+            row, s, e, again = method.compare(t)
+            start = t.column("start").to_numpy()
             pairs = np.stack([start[row] + s, start[row] + e], 1).astype("<i8")
-            heads = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else row
-            ends = np.append(heads[1:], len(row))
-            if len(heads):
-                yield pa.RecordBatch.from_arrays([pa.array(did[row[heads]]), pa.array(chk[row[heads]]), pa.array([pairs[a:z].tobytes() for a, z in zip(heads.tolist(), ends.tolist())], pa.binary()), pa.array(np.zeros(len(heads), bool))], names)
-
-    compared = fetched.repartition("g").sortWithinPartitions("g").mapInArrow(compare, "did long, chk long, data binary, twin boolean")
-    return compared.groupBy("did", "chk").agg(F.collect_list("data").alias("spans"), F.max("twin").alias("twin"))
-
-
-def intervals(spans: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
+            told = np.flatnonzero(np.bincount(row, minlength=t.num_rows).astype(bool) | again)
+            cuts = np.searchsorted(row, told), np.searchsorted(row, told, "right")
+            data = [pairs[a:z].tobytes() if z > a else None for a, z in zip(*(c.tolist() for c in cuts))]
+            if len(told):
+                yield pa.RecordBatch.from_arrays([*[pa.array(t.column(c).to_numpy()[told]) for c in out[:5]], pa.array(again[told]), pa.array(data, pa.binary())], out)
+
+    compared = fetched.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "g long, h long, share long, did long, chk long, again boolean, data binary")
+    none = lambda kind: F.lit(None).cast(kind)
+    begin = F.when(F.col("place") > 1, start).otherwise(start + n)
+    others = seen.where("place > 1 OR reps > 1").select("g", "h", F.col("share").cast("long").alias("share"), "did", "chk", none("boolean").alias("again"), none("binary").alias("data"), F.struct(begin.alias("s"), (start + n * F.col("reps") + (window - 1)).alias("e")).alias("span"))
+    both = compared.withColumn("span", none("struct<s:bigint,e:bigint>")).unionByName(others)
+    decided = both.withColumn("gone", F.max("again").over(W.partitionBy("g", "h", "share"))).where("data IS NOT NULL OR (span IS NOT NULL AND gone)")
+    return decided.groupBy("did", "chk").agg(F.collect_list("data").alias("spans"), F.collect_list("span").alias("carried"))
+
+
+def intervals(spans: list[bytes] | None, carried: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
     """Union of a document's lists of intervals."""
     raw = np.frombuffer(b"".join(spans or ()), "<i8").reshape(-1, 2)
-    return union(raw[:, 0], raw[:, 1])
+    more = np.array([(x["s"], x["e"]) for x in carried or ()], np.int64).reshape(-1, 2)
+    both = np.concatenate([raw, more])
+    return union(both[:, 0], both[:, 1])

@@ -14,15 +14,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._text import NOT_SPACE, byte_symbols, flat, mix, prefix, slices, span, words
+from ._text import NOT_SPACE, flat, mix, slices, word_hashes, words
 
 #: Byte classes: 0 other ASCII, 1 lower, 2 upper, 3 digit, 4 space, 5 line end, 6 . , ; : ' ", 7 ! ?, 8 other symbols, 9 | and tab, 10 not ASCII.
-_CLASS = np.zeros(256, np.int64)
+_CLASS = np.zeros(256, np.uint8)
 _CLASS[0x21:0x7F] = 8
 _CLASS[0x61:0x7B], _CLASS[0x41:0x5B], _CLASS[0x30:0x3A], _CLASS[0x80:] = 1, 2, 3, 10
 _CLASS[0x20], _CLASS[[0x0A, 0x0D]] = 4, 5
 _CLASS[[ord(c) for c in ".,;:'\""]], _CLASS[[ord(c) for c in "!?"]], _CLASS[[ord("|"), 9]] = 6, 7, 9
 N_CLASSES = 11
+_PART = 1 << 18
 FEATURES = ("log_bytes", "log_words", *(f"class_{k}" for k in range(N_CLASSES)), "word_bytes", "longest_word", "distinct_words", "repeat_next", "longest_run", "distinct_triples", "capitalised", "symbol_words", "lines", "distinct_lines", "class_entropy")
 
 
@@ -37,9 +38,12 @@ def statistics(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     n = len(off) - 1
     out = np.zeros((n, len(FEATURES)))
     size = np.diff(off)
-    doc_of = np.repeat(np.arange(n), size)
     cls = _CLASS[buf]
-    counts = np.bincount(doc_of * N_CLASSES + cls, minlength=n * N_CLASSES).reshape(n, N_CLASSES).astype(float)
+    counts = np.zeros((n, N_CLASSES))
+    for at in range(0, len(buf), _PART):  # texts of any length, a part at a time
+        d0, d1 = int(np.searchsorted(off, at, "right")) - 1, int(np.searchsorted(off, min(at + _PART, len(buf)), "left"))
+        own = np.repeat(np.arange(d1 - d0), np.diff(np.clip(off[d0 : d1 + 1], at, at + _PART)))
+        counts[d0:d1] += np.bincount(own * N_CLASSES + cls[at : at + _PART], minlength=(d1 - d0) * N_CLASSES).reshape(-1, N_CLASSES)
     share = counts / np.maximum(size, 1)[:, None]
     starts, ends, first = words(buf, off, NOT_SPACE)
     nw = np.diff(first)
@@ -51,8 +55,7 @@ def statistics(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     if len(starts):
         wdoc = np.repeat(np.arange(n), nw)
         long = ends - starts
-        sums = prefix(byte_symbols(buf))
-        h = span(sums, starts, ends)
+        h = word_hashes(buf, starts, ends)
         out[:, k] = np.bincount(wdoc, long, n) / many
         np.maximum.at(out[:, k + 1], wdoc, np.log1p(long))
         out[:, k + 2] = _distinct(wdoc, h, n) / many
@@ -73,8 +76,7 @@ def statistics(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     out[:, k + 8] = nl / np.maximum(nw, 1)
     if len(lstart):
         ldoc = np.repeat(np.arange(n), nl)
-        sums = sums if len(starts) else prefix(byte_symbols(buf))
-        out[:, k + 9] = _distinct(ldoc, span(sums, lstart, lend), n) / np.maximum(nl, 1)
+        out[:, k + 9] = _distinct(ldoc, word_hashes(buf, lstart, lend), n) / np.maximum(nl, 1)
     return out
 
 

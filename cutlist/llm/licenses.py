@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ._text import ALNUM, LOWER, byte_symbols, flat, prefix, slices, span, words
+from ._text import ALNUM, LOWER, flat, slices, word_hashes, words
 
 _BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
 _BSD_THIRD = """ 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
@@ -146,7 +146,7 @@ class Templates:
         self.words = [split(texts[n]) for n in self.names]
         joined, off = flat(pa.array([b" ".join(w).decode() for w in self.words], pa.large_string()))
         starts, ends, first = words(joined, off, ALNUM)
-        h = span(prefix(byte_symbols(joined)), starts, ends)
+        h = word_hashes(joined, starts, ends)
         self.hashes = [np.unique(h[first[k] : first[k + 1]]) for k in range(len(self.names))]
         self.all = np.unique(h)
         low = np.zeros(1 << 16, bool)
@@ -264,7 +264,7 @@ def scan(docs: DataFrame, *, templates: dict[str, str] = TEMPLATES, least: float
             buf, off = flat(b.column("text"))
             buf = LOWER[buf]
             starts, ends, first = words(buf, off, ALNUM)
-            h = span(prefix(byte_symbols(buf)), starts, ends)
+            h = word_hashes(buf, starts, ends)
             raw = buf.tobytes()
             known = np.flatnonzero(ts.low[(h & np.uint64(0xFFFF)).astype(np.int64)])
             known = known[np.isin(h[known], ts.all)]

@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import graph
-from ._text import LOWER, NOT_SPACE, byte_symbols, flat, materialised, mix, prefix, slices, span, words
-from .anchors import _NO_ID, keyed
+from ._text import LOWER, NOT_SPACE, flat, materialised, mix, pair, slices, windows, word_hashes, words
+from .anchors import KEY, keyed, public_id
 
 CHUNKS, LENGTH, ERRORS = 24, 4, 1
 SYMBOLS = CHUNKS * LENGTH
@@ -43,16 +43,17 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarra
     """Sorted distinct shingle hashes of all documents, and where each document's begin."""
     buf = LOWER[buf]
     starts, ends, first = words(buf, off, NOT_SPACE)
-    sums = prefix(span(prefix(byte_symbols(buf)), starts, ends))
+    each = word_hashes(buf, starts, ends)
+    del buf, starts, ends
     out = []
     for s, e in zip(first[:-1].tolist(), first[1:].tolist()):
-        if e == s:
-            out.append(np.zeros(0, np.uint64))
-        elif e - s <= size:
-            out.append(span(sums, np.array([s]), np.array([e])))
+        if e - s <= size:
+            short = each[s : s + 1].copy()
+            for k in range(s + 1, e):
+                short = pair(short, each[k : k + 1])
+            out.append(short if e > s else each[:0])
         else:
-            at = np.arange(s, e - size + 1)
-            h = np.sort(span(sums, at, at + size))
+            h = np.sort(windows(each[s:e], size))
             out.append(h[np.append(True, h[1:] != h[:-1])])
     return np.concatenate(out) if out else np.zeros(0, np.uint64), np.cumsum([0, *map(len, out)])
 
@@ -154,7 +155,7 @@ def across(batches, similarity: float):
 
 
 #: Members and bytes of a block; a region of more is compared block by block.
-BLOCK_ROWS, BLOCK_BYTES = 1024, 8 << 20
+BLOCK_ROWS, BLOCK_BYTES = 1024, 2 << 20
 
 
 def similar(sets: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +194,7 @@ def confirmed(regions: DataFrame, classes: DataFrame, rows: DataFrame, size: int
     of those that it is connected with there. Rows that share a key and so a set give the same
     node twice, which links with itself and changes nothing.
     """
-    members = regions.join(classes.select(F.col("cid").alias("node"), "did", "chk"), "node").join(rows.select("did", "chk", "text"), ["did", "chk"]).select("component", "node", "text")
+    members = regions.join(classes.select(F.col("cid").alias("node"), "did", "chk"), "node").join(rows.select("did", "chk", "text"), KEY).select("component", "node", "text")
     members = materialised(members, "minhash-members")
     sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias("blocks"))
     placed = members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -204,7 +205,7 @@ def confirmed(regions: DataFrame, classes: DataFrame, rows: DataFrame, size: int
         from .anchors import whole_groups
         from .ego import _components
 
-        for t in whole_groups(batches, "key", 4 << 20):
+        for t in whole_groups(batches, "key", 2 << 20):
             t = t.combine_chunks()
             h, first = shingle_sets(*flat(t.column("text")), size)
             key, node = t.column("key").to_numpy(), t.column("node").to_numpy()
@@ -224,9 +225,9 @@ def confirmed(regions: DataFrame, classes: DataFrame, rows: DataFrame, size: int
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
-    """did, chk, n_shingles, component_id, first: one row for each row of docs; see anchors.keyed for did and chk.
+    """nn, did, chk, n_shingles, low, first: one row for each row of docs; see anchors.keyed for nn, did and chk.
 
-    `first` marks the one document of its component with the smallest key.
+    `low` is the smallest key of its component, and `first` marks the document that has it.
 
     Null and empty texts have the empty set and are linked with nothing. Equal rows and rows that
     repeat an id are members of their classes like any other; a null id stands before all others.
@@ -243,13 +244,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 c = np.append(np.uint64(0), np.cumsum(mix(h ^ np.uint64(salt)), dtype=np.uint64))
                 sums.append((c[first[1:]] - c[first[:-1]]).view(np.int64))
             sig = signatures(h, first).astype("<u2")
-            yield pa.RecordBatch.from_arrays([b.column("did"), b.column("chk"), pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.array([s.tobytes() if k else None for s, k in zip(sig, n)], pa.binary())], ["did", "chk", "n", "c1", "c2", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column("nn"), b.column("did"), b.column("chk"), pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.array([s.tobytes() if k else None for s, k in zip(sig, n)], pa.binary())], ["nn", "did", "chk", "n", "c1", "c2", "sig"])
 
-    sets = materialised(rows.mapInArrow(describe, "did long, chk long, n long, c1 long, c2 long, sig binary"), "minhash-sets")
+    sets = materialised(rows.mapInArrow(describe, "nn int, did long, chk long, n long, c1 long, c2 long, sig binary"), "minhash-sets")
     # a class stands for all documents with one set; its number is a hash of the set
     number = F.xxhash64("c1", "c2", "n")
-    classes = sets.where("n > 0").groupBy("c1", "c2", "n").agg(F.min(F.struct("did", "chk")).alias("first"), F.first("sig").alias("sig"))
-    classes = materialised(classes.select(number.alias("cid"), "n", F.col("first.did").alias("did"), F.col("first.chk").alias("chk"), "sig"), "minhash-classes")
+    classes = sets.where("n > 0").groupBy("c1", "c2", "n").agg(F.min(F.struct("nn", "did", "chk")).alias("first"), F.first("sig").alias("sig"))
+    classes = materialised(classes.select(number.alias("cid"), "n", F.col("first.nn").alias("nn"), F.col("first.did").alias("did"), F.col("first.chk").alias("chk"), "sig"), "minhash-classes")
 
     def file(batches):
         for b in batches:
@@ -275,26 +276,27 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         regions = graph.components(pairs.union(more))
     parts = graph.components(confirmed(regions, classes, rows, size, percent))
     known = classes.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    lowest = known.groupBy("component").agg(F.min(F.struct("did", "chk")).alias("lowest"))
+    lowest = known.groupBy("component").agg(F.min(F.struct("nn", "did", "chk")).alias("lowest"))
     known = known.join(lowest, "component").select("cid", "lowest")
-    out = sets.select("did", "chk", "n", F.when(F.col("n") > 0, number).alias("cid"))
+    own = F.struct("nn", "did", "chk")
+    out = sets.select("nn", "did", "chk", "n", F.when(F.col("n") > 0, number).alias("cid"))
     # rows without shingles join nothing; they are dealt out by their ids
     out = out.withColumn("key", F.coalesce("cid", F.xxhash64("did", "chk"))).join(known.withColumnRenamed("cid", "key"), "key", "left")
-    low = F.when(F.col("n") > 0, F.col("lowest")).otherwise(F.struct("did", "chk"))
-    return out.select("did", "chk", F.col("n").alias("n_shingles"), low["did"].alias("component_id"), (low == F.struct("did", "chk")).alias("first"))
+    low = F.when(F.col("n") > 0, F.col("lowest")).otherwise(own)
+    return out.select("nn", "did", "chk", F.col("n").alias("n_shingles"), low.alias("low"), (low == own).alias("first"))
 
 
 def public(found: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, with null for the null id."""
-    null = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
-    return found.select(null("did").alias("doc_id"), "n_shingles", null("component_id").alias("component_id"), (F.col("did") == F.col("component_id")).alias("kept"))
+    component = public_id("low.nn", "low.did")
+    return found.select(public_id().alias("doc_id"), "n_shingles", component.alias("component_id"), public_id().eqNullSafe(component).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs, all columns, that are the first of their component; of equal rows one stays."""
     found = materialised(near_duplicates(docs, id_col=id_col, text_col=text_col, **options).select("did", "chk", "first"), "minhash-kept")
     rows = keyed(docs, id_col, text_col, keep=tuple(docs.columns)).drop("text")
-    kept = rows.join(found.where("first").select("did", "chk").distinct(), ["did", "chk"], "left_semi")
-    if not found.groupBy("did", "chk").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["did", "chk"])
+    kept = rows.join(found.where("first").select(*KEY).distinct(), KEY, "left_semi")
+    if not found.groupBy(*KEY).count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(KEY)
     return kept.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(docs.columns)])

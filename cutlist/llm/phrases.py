@@ -1,11 +1,12 @@
 """Substring dedup by repeated-phrase automata.
 
-Recurring passages are confirmed first: segments of documents that share an anchor (see
-`anchors`) meet in one partition, where their windows of words are counted. The passages
-then are compiled into Aho-Corasick automata, one for each shard of documents and made of
-the passages that recur in it, and all documents stream through their shard's automaton,
-which locates every occurrence word for word. A shard is bounded in size, a document is
-read by one automaton, and no automaton grows with the corpus.
+Segments of documents that share an anchor (see `anchors`) meet in one shard. Windows of
+words that seem to recur there, by their hashes, are confirmed candidates; they are compiled
+into Aho-Corasick automata of a bounded number of phrases, and all segments of the shard
+stream through each automaton, which locates every occurrence word for word. A phrase that
+is located at two places or more is a repeated one, and its occurrences are what goes. No
+document can hold a phrase without its anchor, so a document's segments need only the shards
+of their anchors, and the work grows with the documents and not with documents times shards.
 """
 
 from __future__ import annotations
@@ -17,16 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import anchors
-from ._text import NOT_SPACE, byte_symbols, flat, prefix, ragged, slices, span, words
+from ._text import NOT_SPACE, flat, mix, slices, spaced_words, windows, words
 
 GRAM = 8
-#: Words are characters of the automata's alphabet, in two characters each where there are more.
+#: Words are characters of the automata's alphabet, in two characters each where there are more; 0 ends a segment.
 _LETTERS = 0x10FFFF - 0x800
+#: Phrases of one automaton, each of as many nodes as it has words.
+PHRASES = 20_000
 
 
-def word_symbols(buf: np.ndarray, off: np.ndarray):
-    starts, ends, first = words(buf, off, NOT_SPACE)
-    return span(prefix(byte_symbols(buf)), starts, ends), first, starts, ends
+def units(buf: np.ndarray, off: np.ndarray) -> anchors.Units:
+    """Words as symbols, in a text that has one space between them."""
+    return anchors.Units(*spaced_words(buf, off, NOT_SPACE))
 
 
 def spell(ids: np.ndarray, n_ids: int) -> tuple[str, int]:
@@ -39,50 +42,58 @@ def spell(ids: np.ndarray, n_ids: int) -> tuple[str, int]:
     return ids.astype("<u4").tobytes().decode("utf-32-le"), width
 
 
-def locate(ids: np.ndarray, first: np.ndarray, passages: list[tuple[int, int]]) -> np.ndarray:
-    """Which words lie in an occurrence of a passage, given as intervals of the same words."""
+def locate(text: str, width: int, phrases: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(phrase, first word) of every occurrence of the phrases in a text of spelled words."""
     import ahocorasick
 
-    covered = np.zeros(len(ids) + 1, np.int32)
-    if not passages:
-        return covered[:-1] > 0
-    text, width = spell(ids, int(ids.max()) + 1)
-    machine = ahocorasick.Automaton()
-    for s, e in passages:
-        machine.add_word(text[s * width : e * width], e - s)
-    machine.make_automaton()
-    for s, e in zip(first[:-1].tolist(), first[1:].tolist()):
-        if e > s:
-            for last, n in machine.iter(text[s * width : e * width]):
-                end = s + (last + 1) // width
-                covered[end - n] += 1
-                covered[end] -= 1
-    return np.cumsum(covered)[:-1] > 0
-
-
-def recurring(table: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, end) of the words in recurring windows, for segments that occur once."""
+    found = []
+    for at in range(0, len(phrases), PHRASES):
+        machine = ahocorasick.Automaton()
+        for k, x in enumerate(phrases[at : at + PHRASES], at):
+            machine.add_word(x, (k, len(x) - 1))
+        machine.make_automaton()
+        found += [(k, last - n) for last, (k, n) in machine.iter(text)]
+    got = np.array(found, np.int64).reshape(-1, 2)
+    return got[:, 0], got[:, 1] // width
+
+
+def recurring(table: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of the words in recurring windows of segments, and which segments recur whole."""
     n, times = table.column("n").to_numpy(), table.column("times").to_numpy()
-    h = np.frombuffer(b"".join(table.column("data").to_pylist()), "<u8")
+    numbers: dict[bytes, int] = {}
+    ids: list[int] = []
+    for raw in table.column("data").to_pylist():
+        ids += [numbers.setdefault(w, len(numbers) + 1) for w in raw.split(b" ")]
+        ids.append(0)
+    ids = np.array(ids, np.int64)
+    # windows that may recur, by their hashes; those that reach over the end of a segment are none
+    size = n + window
+    first = np.cumsum(size) - size
+    at = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     row = np.repeat(np.arange(len(n)), n)
+    h = windows(mixed(ids), window)[at]
     _, back = np.unique(h, return_inverse=True)
-    again = np.bincount(back, times[row])[back] > 1
-    k = np.flatnonzero(again & (times[row] == 1))
-    place = k - (np.cumsum(n) - n)[row[k]]
-    new = np.append(True, (row[k][1:] != row[k][:-1]) | (place[1:] > place[:-1] + window)) if len(k) else np.zeros(0, bool)
+    maybe = np.flatnonzero(np.bincount(back, times[row])[back] > 1)
+    text, width = spell(ids, len(numbers) + 1)
+    phrases = sorted({text[a * width : (a + window) * width] for a in at[maybe].tolist()})
+    phrase, place = locate(text, width, phrases)
+    own = np.searchsorted(first, place, "right") - 1
+    k = np.flatnonzero(np.bincount(phrase, times[own], len(phrases))[phrase] > 1)
+    again = (np.bincount(own[k], minlength=len(n)) == n) & (times > 1)
+    k = k[np.argsort(place[k], kind="stable")]
+    row, place = own[k], place[k] - first[own[k]]
+    new = np.append(True, (row[1:] != row[:-1]) | (place[1:] > place[:-1] + window)) if len(k) else np.zeros(0, bool)
     head = np.flatnonzero(new)
     last = np.append(head[1:], len(k)) - 1
-    return row[k][head], place[head], (place[last] + window) if len(k) else place
+    return row[head], place[head], (place[last] + window) if len(k) else place, again
 
 
-def _method(window: int) -> anchors.Method:
-    def payload(sym, buf, place, n):
-        at = ragged(place, n)
-        h = span(prefix(sym[0]), at, at + window).astype("<u8")
-        cuts = np.cumsum(n)
-        return [h[e - k : e].tobytes() for e, k in zip(cuts.tolist(), n.tolist())]
+def mixed(ids: np.ndarray) -> np.ndarray:
+    return mix(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019))
 
-    return anchors.Method(window=window, gram=max(min(GRAM, max(1, window // 3)), window - anchors.MOST_WINDOWS + 1), symbols=word_symbols, first_stays=False, payload=payload, compare=lambda t: recurring(t, window))
+
+def _method(window: int) -> anchors.Method:
+    return anchors.Method(window=window, gram=max(min(GRAM, max(1, window // 3)), window - anchors.MOST_WINDOWS + 1), units=units, grams=windows, compare=lambda t: recurring(t, window))
 
 
 def dedup(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
@@ -93,22 +104,19 @@ def dedup(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id", text_col
     their windows recur. Texts shorter than a window stay whole. Other columns are not read.
     """
     rows = anchors.keyed(docs, id_col, text_col, keep)
-    found = anchors.find(rows, _method(window)).select("did", "chk", "spans")
-    joined = rows.join(found, ["did", "chk"], "left")
+    joined = rows.join(anchors.find(rows, _method(window)), anchors.KEY, "left")
     kept = [c for c in rows.columns if c.startswith("_keep_")]
-    fields = "did long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "") + "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in kept)
+    fields = "nn int, did long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "") + "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in kept)
 
     def apply(batches):
         for b in slices(batches, "text"):
             buf, off = flat(b.column("text"))
-            h, first, starts, ends = word_symbols(buf, off)
-            passages = []
-            for r, spans in enumerate(b.column("spans").to_pylist()):
-                if spans:
-                    s, e = anchors.intervals(spans)
-                    passages += zip((s + first[r]).tolist(), (e + first[r]).tolist())
-            ids = np.unique(h, return_inverse=True)[1] if passages else np.zeros(len(h), np.int64)
-            stays = ~locate(ids, first, passages)
+            starts, ends, first = words(buf, off, NOT_SPACE)
+            stays = np.ones(len(starts), bool)
+            for r, (spans, carried) in enumerate(zip(b.column("spans").to_pylist(), b.column("carried").to_pylist())):
+                if spans or carried:
+                    for s, e in zip(*(x + first[r] for x in anchors.intervals(spans, carried))):
+                        stays[s:e] = False
             doc = np.repeat(np.arange(b.num_rows), np.diff(first))
             own = np.flatnonzero(stays)
             # a kept word and one space, but for a document's last
@@ -124,11 +132,10 @@ def dedup(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id", text_col
             pieces = [out[x:y] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())]
             n_words = np.diff(first)
             n_kept = np.bincount(doc[own], minlength=b.num_rows)
-            cols = [b.column("did"), pa.array(n_words, pa.int64()), pa.array(n_words - n_kept, pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in pieces])]
+            cols = [b.column("nn"), b.column("did"), pa.array(n_words, pa.int64()), pa.array(n_words - n_kept, pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in pieces])]
             if with_text:
                 cols.append(pa.array([bytes(p).decode() for p in pieces]))
-            yield pa.RecordBatch.from_arrays([*cols, *[b.column(c) for c in kept]], ["did", "n_words", "n_removed", "kept_sha256", *["kept"] * with_text, *kept])
+            yield pa.RecordBatch.from_arrays([*cols, *[b.column(c) for c in kept]], ["nn", "did", "n_words", "n_removed", "kept_sha256", *["kept"] * with_text, *kept])
 
-    out = joined.select("did", "chk", "text", *kept, "spans").mapInArrow(apply, fields)
-    doc_id = F.when(F.col("did") != anchors._NO_ID, F.col("did"))
-    return out.select(doc_id.alias("doc_id"), "n_words", "n_removed", "kept_sha256", *["kept"] * with_text, *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)])
+    out = joined.select("nn", "did", "chk", "text", *kept, "spans", "carried").mapInArrow(apply, fields)
+    return out.select(anchors.public_id().alias("doc_id"), "n_words", "n_removed", "kept_sha256", *["kept"] * with_text, *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)])

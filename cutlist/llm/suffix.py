@@ -5,7 +5,9 @@ end to end and their suffixes sorted in two stages: a suffix smaller than its su
 sorted directly, by eight bytes at a time and to the depth that matters; the others follow
 by one scan over the buckets of first bytes, in which every suffix read places its
 predecessor. Common prefixes of neighbours in that order then group equal windows; the
-earliest of a group, by document and place, stays and the others are removed.
+earliest of a group, by document and place, stays and the others are removed. A segment that
+occurs more than once is laid out twice, and what the order says about its second copy is
+carried to all its later places.
 """
 
 from __future__ import annotations
@@ -14,10 +16,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from . import anchors
-from ._text import byte_symbols, flat, ragged, slices
+from ._text import byte_grams, flat, materialised, ragged, slices
 
 GRAM = 16
 
@@ -118,11 +120,14 @@ def alike(order: np.ndarray, text: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def repeats(table: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, end) of the bytes of each segment that lie in a window which also starts earlier."""
-    text, off = flat(table.column("data").combine_chunks())
-    n = table.column("n").to_numpy()
-    start, did, chk = (table.column(c).to_numpy() for c in ("start", "did", "chk"))
+def repeats(table: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of the bytes of each segment that lie in a window which also starts earlier, and which segments' later copies go."""
+    times = table.column("times").to_numpy()
+    # the second copy of a segment stands for all later ones
+    source = np.append(np.arange(len(times)), np.flatnonzero(times > 1))
+    text, off = flat(table.column("data").combine_chunks().take(pa.array(source)))
+    nn, did, chk, start, n = (table.column(c).to_numpy()[source] for c in ("nn", "did", "chk", "start", "n"))
+    copy = np.arange(len(source)) >= len(times)
     wanted = np.zeros(len(text), bool)
     wanted[ragged(off[:-1], n)] = True
     order = two_stage(text, wanted, window)
@@ -134,29 +139,25 @@ def repeats(table: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray, np.nd
     at = order[keep]
     row = np.searchsorted(off, at, "right") - 1
     place = start[row] + at - off[row]
-    o = np.lexsort((place, chk[row], did[row], group))
-    group, at, row, place = group[o], at[o], row[o], place[o]
-    head = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else group
-    lead = np.repeat(head, np.diff(np.append(head, len(group))))
-    later = (did[row] != did[row][lead]) | (chk[row] != chk[row][lead]) | (place != place[lead])
-    at, row = at[later], row[later]
-    o = np.argsort(at)
-    at, row = at[o], row[o]
+    o = np.lexsort((copy[row], place, chk[row], did[row], nn[row], group))
+    later = np.append(False, group[o][1:] == group[o][:-1]) if len(o) else np.zeros(0, bool)
+    at = np.sort(at[o][later])
+    row = np.searchsorted(off, at, "right") - 1
+    whole = np.bincount(row, minlength=len(source)) == n
+    again = np.zeros(len(times), bool)
+    again[source[copy]] = whole[copy]
+    at, row = at[~copy[row]], row[~copy[row]]
     # neighbouring windows of a segment make one interval
     new = np.append(True, (row[1:] != row[:-1]) | (at[1:] > at[:-1] + window)) if len(at) else np.zeros(0, bool)
     head = np.flatnonzero(new)
     last = np.append(head[1:], len(at)) - 1
-    return row[head], at[head] - off[row[head]], (at[last] - off[row[last]] + window) if len(at) else at
+    return row[head], at[head] - off[row[head]], (at[last] - off[row[last]] + window) if len(at) else at, again
 
 
 def _method(window: int) -> anchors.Method:
-    def payload(sym, buf, place, n):
-        raw = buf.tobytes()
-        return [raw[s : s + k + window - 1] for s, k in zip(place.tolist(), n.tolist())]
-
     if window < 8:
         raise ValueError("windows have at least eight bytes")
-    return anchors.Method(window=window, gram=max(min(GRAM, window // 2), window - anchors.MOST_WINDOWS + 1), symbols=lambda buf, off: (byte_symbols(buf), off), first_stays=True, payload=payload, compare=lambda t: repeats(t, window))
+    return anchors.Method(window=window, gram=max(min(GRAM, window // 2), window - anchors.MOST_WINDOWS + 1), units=lambda buf, off: anchors.Units(buf, off, buf.tobytes()), grams=byte_grams, compare=lambda t: repeats(t, window))
 
 
 def dedup(docs: DataFrame, *, window: int = 100, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
@@ -166,39 +167,44 @@ def dedup(docs: DataFrame, *, window: int = 100, id_col: str = "doc_id", text_co
     bytes is left out whole there, though not in the digest.
 
     Null text is empty. Rows that repeat an id are documents of their own, in order of a checksum of
-    their texts; of equal rows one stays. A null id stands before all others. Other columns are not read.
+    their texts; of rows equal in id and text one stays. A null id stands before all others. Other columns are not read.
     """
     rows = anchors.keyed(docs, id_col, text_col, keep)
-    found = anchors.find(rows, _method(window))
-    joined = rows.join(found, ["did", "chk"], "left")
     kept = [c for c in rows.columns if c.startswith("_keep_")]
-    fields = "did long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if with_text else "") + "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in kept)
+    fields = "nn int, did long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if with_text else "") + "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in kept)
+    # rows equal in id and text: the first is a document, what the others hold stands there already
+    twins = rows.groupBy(*anchors.KEY).count().where("count > 1").select(*anchors.KEY)
+    others = None
+    if not twins.isEmpty():
+        twins = materialised(twins, "suffix-twins")
+        numbered = materialised(rows.join(twins, anchors.KEY, "left_semi").withColumn("number", F.row_number().over(W.partitionBy(*anchors.KEY).orderBy("nn"))), "suffix-twin-rows")
+        others = numbered.where("number > 1").select(*rows.columns)
+        rows = rows.join(twins, anchors.KEY, "left_anti").select(*rows.columns).union(numbered.where("number = 1").select(*rows.columns))
+    joined = rows.join(anchors.find(rows, _method(window)), anchors.KEY, "left")
 
     def apply(batches):
-        known: set[tuple[int, int]] = set()
         for b in slices(batches, "text"):
             buf, off = flat(b.column("text"))
             raw = memoryview(buf.tobytes())
-            did, chk = b.column("did").to_pylist(), b.column("chk").to_pylist()
             rows_out = []
-            for r, (spans, twin) in enumerate(zip(b.column("spans").to_pylist(), b.column("twin").to_pylist())):
+            for r, (nn, did, spans, carried) in enumerate(zip(*(b.column(c).to_pylist() for c in ("nn", "did", "spans", "carried")))):
                 n = int(off[r + 1] - off[r])
-                s, e = anchors.intervals(spans)
-                if twin:
-                    if (did[r], chk[r]) in known and n >= window:
-                        s, e = np.array([0]), np.array([n])
-                    known.add((did[r], chk[r]))
+                s, e = anchors.intervals(spans, carried)
                 h, at, left = hashlib.sha256(), int(off[r]), []
                 for x, y in zip([*s.tolist(), n], [*e.tolist(), n]):
                     piece = raw[at : int(off[r]) + x]
                     h.update(piece)
                     left.append(piece)
                     at = int(off[r]) + y
-                rows_out.append((did[r], n, int((e - s).sum()), len(s), h.hexdigest(), *([b"".join(left).decode("utf-8", "ignore")] if with_text else [])))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = ["did", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text]
+                rows_out.append((nn, did, n, int((e - s).sum()), len(s), h.hexdigest(), *([b"".join(left).decode("utf-8", "ignore")] if with_text else [])))
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            names = ["nn", "did", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text]
             yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(zip(*rows_out), types)], *[b.column(c) for c in kept]], [*names, *kept])
 
-    out = joined.select("did", "chk", "text", *kept, "spans", "twin").mapInArrow(apply, fields)
-    doc_id = F.when(F.col("did") != anchors._NO_ID, F.col("did"))
-    return out.select(doc_id.alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text, *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)])
+    names = ["nn", "did", "chk", "text", *kept]
+    out = joined.select(*names, "spans", "carried").mapInArrow(apply, fields)
+    if others is not None:
+        gone = F.when(F.octet_length("text") >= window, F.octet_length("text")).otherwise(0).cast("long")
+        left = F.when(F.octet_length("text") >= window, "").otherwise(F.col("text"))
+        out = out.union(others.select("nn", "did", F.octet_length("text").cast("long"), gone, F.when(gone > 0, 1).otherwise(0).cast("long"), F.sha2(left.cast("binary"), 256), *[left] * with_text, *kept))
+    return out.select(anchors.public_id().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text, *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)])

@@ -7,87 +7,80 @@ moves on by a whole pattern length; where it ends a pattern, the block's hash se
 bucket of patterns, and comparing the words themselves confirms an occurrence. The
 search pointers of all stretches of a batch move at once, as one numpy array.
 
-The benchmark is read in blocks of a checked size, each one broadcast of its own, so
-its growth adds passes rather than memory. Documents are never shuffled.
+The benchmark is read in blocks of a checked size. One block is searched as documents are
+read, and they are not shuffled. Where there are more, each block is a pass of its own that
+writes its hits to a table, and documents then join their hits by a hash of their text, so
+that growth of the benchmark adds passes and no task or machine holds more than one block.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._text import ALNUM, LOWER, byte_symbols, covered, flat, mix, prefix, ragged, slices, span, words
+from ._text import ALNUM, LOWER, covered, flat, materialised, mix, pair, ragged, slices, spaced_words
 
 #: Stretches that one search pointer walks over, in words.
 LANE = 512
 _TABLE = 1 << 18
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix(a * np.uint64(0x9DDFEA08EB382D69) + (b ^ (b >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F))
-
-
 @dataclass
 class Length:
-    """Tables for patterns of one length."""
+    """Tables for patterns of one length, in order of the hashes of their last blocks."""
 
     m: int
     shift: np.ndarray
-    suffix: np.ndarray  # sorted hashes of the patterns' last blocks
-    hashes: np.ndarray  # (patterns, m) hashes of words, in that order
-    spelled: list[tuple[bytes, ...]]
-    items: list[tuple[int, ...]]
+    suffix: np.ndarray
+    start: np.ndarray  # a pattern's first word among all words
+    owner: np.ndarray  # its item
 
 
 @dataclass
 class Patterns:
-    lengths: list[Length] = field(default_factory=list)
+    """All patterns of a block of the benchmark as flat tables over its words."""
 
+    ids: list[str | None]
+    hashes: np.ndarray
+    text: bytes
+    begin: np.ndarray
+    end: np.ndarray
+    lengths: list[Length]
 
-def _normal(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    return flat(pa.array(texts, pa.large_string()))
 
+def _last(h: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
+    """Hash of the block of two words that ends at a place; of one word where patterns have no more."""
+    return pair(h[at - 1], h[at]) if m > 1 else mix(h[at].copy())
 
-def compile_patterns(items: list[tuple[int | None, str | None]], window: int) -> Patterns:
+
+def compile_patterns(items: list[tuple[str | None, str | None]], window: int) -> Patterns:
     """Tables of all windows of the given items; those without id own patterns that name no item."""
-    buf, off = _normal([t for _, t in items])
-    buf = LOWER[buf]
-    starts, ends, first = words(buf, off, ALNUM)
-    raw = buf.tobytes()
-    spelled = [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
-    owners: dict[tuple[bytes, ...], set[int]] = {}
-    for k, (item, _) in enumerate(items):
-        own = spelled[first[k] : first[k + 1]]
-        m = min(window, len(own))
-        for i in range(len(own) - m + 1 if m else 0):
-            known = owners.setdefault(tuple(own[i : i + m]), set())
-            if item is not None:
-                known.add(item)
-    out = Patterns()
-    for m in sorted({len(p) for p in owners}):
-        group = [p for p in owners if len(p) == m]
-        joined, joff = _normal([b"\n".join(p).decode("utf-8", "surrogateescape") for p in group])
-        ws, we, _ = words(joined, joff, ALNUM)
-        h = span(prefix(byte_symbols(joined)), ws, we).reshape(len(group), m)
-        block = _pair(h[:, -2], h[:, -1]) if m > 1 else mix(h[:, -1].copy())
+    buf, off = flat(pa.array([t for _, t in items], pa.large_string()))
+    h, first, text, begin, end = spaced_words(LOWER[buf], off, ALNUM)
+    n = np.diff(first)
+    out = Patterns([i for i, _ in items], h, text, begin.astype(np.int32), end.astype(np.int32), [])
+    for m in np.unique(np.minimum(n[n > 0], window)).tolist():
+        own = np.flatnonzero(np.minimum(n, window) == m)
+        start = ragged(first[:-1][own], n[own] - m + 1)
+        owner = np.repeat(own, n[own] - m + 1)
+        block = _last(h, start + m - 1, m)
         o = np.argsort(block, kind="stable")
-        shift = np.full(_TABLE, max(m - 1, 1), np.int64)
+        shift = np.full(_TABLE, max(m - 1, 1), np.int32)
         for j in range(1, m) if m > 1 else ():
-            at = (_pair(h[:, j - 1], h[:, j]) & np.uint64(_TABLE - 1)).astype(np.int64)
-            np.minimum.at(shift, at, m - 1 - j)
+            np.minimum.at(shift, (_last(h, start + j, m) & np.uint64(_TABLE - 1)).astype(np.int64), m - 1 - j)
         if m == 1:
             shift[(block & np.uint64(_TABLE - 1)).astype(np.int64)] = 0
-        out.lengths.append(Length(m, shift, block[o], h[o], [group[i] for i in o], [tuple(sorted(owners[group[i]])) for i in o]))
+        out.lengths.append(Length(m, shift, block[o], start[o].astype(np.int32), owner[o].astype(np.int32)))
     return out
 
 
-def occurrences(h: np.ndarray, first: np.ndarray, spell, tables: Length) -> tuple[np.ndarray, np.ndarray]:
-    """All (first word, pattern) of the documents whose words have hashes h; spell(i, m) gives words i to i+m."""
+def occurrences(h: np.ndarray, first: np.ndarray, text: bytes, begin: np.ndarray, end: np.ndarray, patterns: Patterns, tables: Length) -> tuple[np.ndarray, np.ndarray]:
+    """All (first word, item) of the patterns of one length in documents whose words have hashes h and stand in `text`."""
     m = tables.m
     places = np.maximum(np.diff(first) - m + 1, 0)
     lanes = (places + LANE - 1) // LANE
@@ -98,7 +91,7 @@ def occurrences(h: np.ndarray, first: np.ndarray, spell, tables: Length) -> tupl
     at, hi = lo + m - 1, hi + m - 1
     found = []
     while len(at):
-        block = _pair(h[at - 1], h[at]) if m > 1 else mix(h[at].copy())
+        block = _last(h, at, m)
         move = tables.shift[(block & np.uint64(_TABLE - 1)).astype(np.int64)]
         hit = np.flatnonzero(move == 0)
         if len(hit):
@@ -106,7 +99,7 @@ def occurrences(h: np.ndarray, first: np.ndarray, spell, tables: Length) -> tupl
             pattern, where = ragged(l, r - l), np.repeat(at[hit] - m + 1, r - l)
             ok = np.ones(len(where), bool)
             for j in range(m):
-                ok &= h[where + j] == tables.hashes[pattern, j]
+                ok &= h[where + j] == patterns.hashes[tables.start[pattern] + j]
             found.append(np.stack([where[ok], pattern[ok]]))
         at = at + np.maximum(move, 1)
         live = at < hi
@@ -114,77 +107,106 @@ def occurrences(h: np.ndarray, first: np.ndarray, spell, tables: Length) -> tupl
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     where, pattern = np.concatenate(found, 1)
-    sure = np.array([spell(int(w), m) == tables.spelled[p] for w, p in zip(where, pattern)], bool)
-    return where[sure], pattern[sure]
+    start = tables.start[pattern]
+    spans = (begin[where], end[where + m - 1], patterns.begin[start], patterns.end[start + m - 1])
+    sure = np.array([text[a:z] == patterns.text[p:q] for a, z, p, q in zip(*(x.tolist() for x in spans))], bool)
+    return where[sure], tables.owner[pattern[sure]].astype(np.int64)
 
 
-def _search(col: pa.Array, patterns: Patterns) -> tuple[np.ndarray, list[np.ndarray], list[set[int]]]:
-    """Words, hit words and items for each document of a slice."""
+def search(col: pa.Array, patterns: Patterns) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first word of each document and one more, first word, end and item of each occurrence) of a slice."""
     buf, off = flat(col)
-    buf = LOWER[buf]
-    starts, ends, first = words(buf, off, ALNUM)
-    n = len(off) - 1
-    h = span(prefix(byte_symbols(buf)), starts, ends)
-    raw = memoryview(buf.tobytes())
-
-    def spell(i: int, m: int) -> tuple[bytes, ...]:
-        return tuple(bytes(raw[s:e]) for s, e in zip(starts[i : i + m].tolist(), ends[i : i + m].tolist()))
-
-    spans: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-    items: list[set[int]] = [set() for _ in range(n)]
+    h, first, text, begin, end = spaced_words(LOWER[buf], off, ALNUM)
+    found = [np.zeros((3, 0), np.int64)]
     for tables in patterns.lengths:
-        where, pattern = occurrences(h, first, spell, tables)
-        doc = np.searchsorted(first, where, "right") - 1
-        for d, w, p in zip(doc.tolist(), where.tolist(), pattern.tolist()):
-            spans[d].append((w - int(first[d]), w - int(first[d]) + tables.m))
-            items[d].update(tables.items[p])
-    return np.diff(first), [np.array(s, np.int64).reshape(-1, 2) for s in spans], items
+        where, item = occurrences(h, first, text, begin, end, patterns, tables)
+        found.append(np.stack([where, where + tables.m, item]))
+    return first, *np.concatenate(found, 1)
 
 
-def blocks(benchmark: DataFrame, most_bytes: int, window: int) -> Iterator[Patterns]:
-    """The benchmark's patterns in blocks of about `most_bytes` of text; each block is collected for itself."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
+def blocks(benchmark: DataFrame, most_bytes: int) -> tuple[int, Iterator[list[tuple[str | None, str]]]]:
+    """The number of blocks of about `most_bytes` of text, or one item of more, and their items; each block is collected for itself."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-total // most_bytes))
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield compile_patterns([(r.item_id, r.text) for r in part.collect()], window)
+    part = lambda k: items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+    return n, ([(r.item_id, r.text) for r in part(k).collect()] for k in range(n))
+
+
+def _digest(ids: list[str]) -> str:
+    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+
+
+_RESULT = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+_KINDS = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
+
+
+def _rows(b: pa.RecordBatch, keep: tuple[str, ...], n_words: np.ndarray, n_hit: np.ndarray, items: list[list[str]]) -> pa.RecordBatch:
+    columns = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array([_digest(x) for x in items], pa.string()), pa.array(n_hit > 0)]
+    return pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *columns], [*keep, *_RESULT])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, most_bytes: int = 4 << 20, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns of `keep` with n_words, n_hit, n_items, items_sha256, contaminated: one row for each row of docs.
 
     Null and empty texts have no words and no hits. Benchmark rows without text or words
-    are no patterns; items that repeat an id count once, those without id count for n_hit and
-    contaminated only. Other columns are not read.
+    are no patterns; ids are of any type and compared as strings, items that repeat an id count
+    once, those without id count for n_hit and contaminated only. Texts of any length are searched
+    whole, rows that repeat each for itself. Other columns are not read.
     """
-    spark = docs.sparkSession
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    out = docs.select(*dict.fromkeys([*keep, "text"])) if "text" in keep else docs.select(*keep, "text")
-    names = list(out.columns)
-    cols = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    out = out.withColumns({"_hits": F.array().cast("array<bigint>"), "_items": F.array().cast("array<bigint>"), "_words": F.lit(0).cast("long")})
-    for patterns in blocks(benchmark, most_bytes, window):
-        shared = spark.sparkContext.broadcast(patterns)
-
-        def search(batches, shared=shared):
-            for b in slices(batches, "text"):
-                n_words, spans, items = _search(b.column("text"), shared.value)
-                hits = [[*(old or ()), *new.ravel().tolist()] for old, new in zip(b.column("_hits").to_pylist(), spans)]
-                both = [sorted({*(old or ()), *new}) for old, new in zip(b.column("_items").to_pylist(), items)]
-                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(hits, pa.list_(pa.int64())), pa.array(both, pa.list_(pa.int64())), pa.array(n_words, pa.int64())], [*names, "_hits", "_items", "_words"])
+    rows = docs.select(*dict.fromkeys([*keep, "text"]))
+    n, parts = blocks(benchmark, most_bytes)
+    if n == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(compile_patterns(next(parts), window))
 
-        out = out.mapInArrow(search, f"{cols}, _hits array<bigint>, _items array<bigint>, _words bigint")
+        def run(batches):
+            patterns = shared.value
+            for b in slices(batches, "text"):
+                first, where, upto, item = search(b.column("text"), patterns)
+                hit = np.append(0, np.cumsum(covered(where, upto, int(first[-1]))))
+                named: list[set[str]] = [set() for _ in range(b.num_rows)]
+                for d, i in np.unique(np.stack([np.searchsorted(first, where, "right") - 1, item]), axis=1).T.tolist():
+                    if patterns.ids[i] is not None:
+                        named[d].add(patterns.ids[i])
+                yield _rows(b, keep, np.diff(first), hit[first[1:]] - hit[first[:-1]], [list(x) for x in named])
+
+        return rows.mapInArrow(run, f"{fields}, {_KINDS}")
+    key = [F.xxhash64("text").alias("_k1"), F.xxhash64(F.lit(1), "text").alias("_k2")]
+    passes = []
+    for items in parts:
+        shared = docs.sparkSession.sparkContext.broadcast(compile_patterns(items, window))
+
+        def one(batches, shared=shared):
+            patterns = shared.value
+            for b in slices(batches, "text"):
+                first, where, upto, item = search(b.column("text"), patterns)
+                doc = np.searchsorted(first, where, "right") - 1
+                for d in np.unique(doc).tolist():
+                    k = doc == d
+                    spans = np.unique(np.stack([where[k], upto[k]], 1) - first[d], axis=0).astype("<i8")
+                    ids = sorted({patterns.ids[i] for i in np.unique(item[k]).tolist()} - {None})
+                    yield pa.RecordBatch.from_arrays([b.column("_k1").slice(d, 1), b.column("_k2").slice(d, 1), pa.array([spans.tobytes()], pa.binary()), pa.array([ids], pa.list_(pa.string()))], ["_k1", "_k2", "_spans", "_ids"])
+
+        texts = docs.where("text IS NOT NULL").select(*key, "text")
+        found = texts.mapInArrow(one, "_k1 long, _k2 long, _spans binary, _ids array<string>")
+        passes.append(materialised(found.groupBy("_k1", "_k2").agg(F.first("_spans").alias("_spans"), F.first("_ids").alias("_ids")), "decontaminate-hits"))
+        shared.unpersist()
+    hits = passes[0]
+    for more in passes[1:]:
+        hits = hits.union(more)
+    hits = hits.groupBy("_k1", "_k2").agg(F.collect_list("_spans").alias("_spans"), F.array_distinct(F.flatten(F.collect_list("_ids"))).alias("_ids"))
+    joined = rows.select("*", *key).join(hits, ["_k1", "_k2"], "left").select(*rows.columns, "_spans", "_ids")
 
     def finish(batches):
-        for b in batches:
-            n_words = b.column("_words").to_numpy(zero_copy_only=False)
-            n_hit = []
-            for spans, n in zip(b.column("_hits").to_pylist(), n_words.tolist()):
-                at = np.array(spans, np.int64).reshape(-1, 2)
-                n_hit.append(int(covered(at[:, 0], at[:, 1], n).sum()) if len(at) else 0)
-            items = b.column("_items").to_pylist()
-            digest = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digest), pa.array([x > 0 for x in n_hit])], [*keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-    return out.mapInArrow(finish, f"{fields}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
+        for b in slices(batches, "text"):
+            buf, off = flat(b.column("text"))
+            n_words = np.diff(spaced_words(LOWER[buf], off, ALNUM)[1])
+            n_hit = np.zeros(b.num_rows, np.int64)
+            for d, spans in enumerate(b.column("_spans").to_pylist()):
+                if spans:
+                    at = np.frombuffer(b"".join(spans), "<i8").reshape(-1, 2)
+                    n_hit[d] = covered(at[:, 0], at[:, 1], int(n_words[d])).sum()
+            yield _rows(b, keep, n_words, n_hit, [x or [] for x in b.column("_ids").to_pylist()])
+
+    return joined.mapInArrow(finish, f"{fields}, {_KINDS}")
