@@ -2,14 +2,17 @@
 
 Each source gets a target in words (weights shared over its sources, capped at a
 multiple of the source, the excess shared again). Of target / size, the whole part
-is that many certain copies of every document; the rest is a fixed-size sample: a
-document with uniform number u and inclusion odds f / (1 - f) has the Pareto rank
-(u / (1 - u)) / (f / (1 - f)), and documents are taken by rank until their words
-come as near to the remaining target as whole documents allow.
+is that many certain copies of every document. What remains of the target is drawn
+with unequal probabilities: a document's inclusion is in proportion to its words, so
+that the expected words are the remaining target; the longest ones, whose inclusion
+would pass 1, are certain and taken first. A document with uniform number u and
+inclusion f has the Pareto rank (u / (1 - u)) / (f / (1 - f)), and documents are taken
+by rank until their words come as near to what is left as whole documents allow.
 
 Ranks are summed in two levels, so a source that holds a third of all rows is never
 in one task: words are added up by (source, rank bucket) with partial aggregation,
-prefix sums run over buckets, then over the rows inside one bucket.
+prefix sums run over buckets, then over the rows of each bucket by itself. Inclusion is
+found from the number of documents of each size, one row for each size of a source.
 """
 
 from __future__ import annotations
@@ -31,9 +34,24 @@ def uniform(id_col: Column, seed: str) -> Column:
     return (F.conv(hexed, 16, 10).cast("double") + 0.5) / float(2**52)
 
 
-def bucket(u: Column, buckets: int) -> Column:
-    """Bucket of a row's rank, by its u: inside a source both have one order, and u fills all buckets alike whatever the odds."""
-    return F.floor(u * buckets).cast("int")
+def bucket(q: Column, part: Column, buckets: int) -> Column:
+    """Bucket of a rank, in order of q; q times the source's mean odds spreads over all buckets whatever the odds."""
+    scaled = q * part / (1 - part)
+    return F.least(F.floor(scaled / (1 + scaled) * buckets), F.lit(buckets - 1)).cast("int")
+
+
+def inclusion(sizes: DataFrame) -> DataFrame:
+    """(skey, size, n, need) -> (skey, pull, left): a document of size s is included with min(1, pull * s).
+
+    From the longest size on, documents are certain as long as the need that they leave, spread over the rest in
+    proportion to size, would include the next with 1 or more; `left` is what the others have to give.
+    """
+    down = W.partitionBy("skey").orderBy(F.desc("size"))
+    squares = F.col("size").cast("decimal(12,0)") * F.col("size").cast("decimal(12,0)") * F.col("n").cast("decimal(12,0)")
+    left = F.col("need") - F.coalesce(F.sum(F.col("size") * F.col("n")).over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    found = sizes.withColumn("left", left).withColumn("pull", left / F.sum(squares).over(down.rowsBetween(0, W.unboundedFollowing)).cast("double"))
+    open_ = F.col("pull") * F.col("size") < 1
+    return found.where(open_).groupBy("skey").agg(F.max_by("pull", "size").alias("pull"), F.max_by("left", "size").alias("left"))
 
 
 def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
@@ -74,12 +92,12 @@ def pareto_mix(
     """One row a document: doc_id, size, source_size, target, taken, copies, and the columns of `keep`.
 
     Null or empty text has size 0 and takes 0 words. A null source is a source of its own.
-    Rows that repeat an id are sampled each for itself, tied in rank; rows equal in id,
-    source and size are taken alike. A null id is drawn like any other value. No rows
-    give no rows. Columns other than the named ones are not read.
+    Rows that repeat an id have one u and ranks by their sizes; rows equal in id, source and
+    size are taken alike. A null id is drawn by the text. Texts of any length are counted whole.
+    No rows give no rows. Columns other than the named ones are not read.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)])
-    base = base.withColumn("skey", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))).withColumn("u", uniform(F.col("doc_id"), seed)).withColumn("did", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null "), F.md5(F.coalesce(F.col(text_col), F.lit(""))))).alias("did"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)])
+    base = base.withColumn("skey", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))).withColumn("u", uniform(F.col("did"), seed))
     narrow = materialised(base.select("doc_id", "source", "size", "skey", "u", "did"), "mix-sizes")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = source_targets(narrow.groupBy("skey", "source").agg(F.sum("size").alias("source_size")), weights, share, most)
@@ -88,17 +106,23 @@ def pareto_mix(
     few = plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     small = F.broadcast if few else (lambda df: df)
 
-    rank = (F.col("u") / (1 - F.col("u"))) * (1 - F.col("part")) / F.col("part")
-    rows = narrow.join(small(plan.where("part > 0").select("skey", "part")), "skey").withColumn("q", rank).withColumn("bucket", bucket(F.col("u"), buckets))
+    sizes = narrow.where("size > 0").groupBy("skey", "size").agg(F.count("*").alias("n")).join(small(plan.where("part > 0").select("skey", "need")), "skey")
+    plan = materialised(plan.join(inclusion(sizes), "skey", "left"), "mix-inclusion")
+    # null where a document is certain or has no words
+    f = F.col("pull") * F.col("size")
+    rank = F.when((f > 0) & (f < 1), F.col("u") / (1 - F.col("u")) * (1 - f) / f)
+    rows = narrow.join(small(plan.where("pull > 0").select("skey", "part", "pull")), "skey").withColumn("q", rank).where("q IS NOT NULL").withColumn("bucket", bucket(F.col("q"), F.col("part"), buckets))
     upto = W.partitionBy("skey").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = rows.groupBy("skey", "bucket").agg(F.sum("size").alias("words")).withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0)))
     inside = W.partitionBy("skey", "bucket").orderBy("q", "did", "size").rowsBetween(W.unboundedPreceding, -1)
-    ahead = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    taken = rows.join(sums.select("skey", "bucket", "before"), ["skey", "bucket"]).withColumn("ahead", ahead).join(small(plan.select("skey", "need")), "skey").where(F.col("ahead") + F.col("size") / 2.0 < F.col("need"))
+    # only the bucket in which the words run out has to be looked into
+    last = sums.join(small(plan.select("skey", "left")), "skey").where(F.col("before") < F.col("left")).groupBy("skey", "left").agg(F.max_by(F.struct("bucket", "before"), "bucket").alias("b")).select("skey", "left", "b.bucket", "b.before")
+    taken = rows.join(small(last), ["skey", "bucket"]).withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))).where(F.col("ahead") + F.col("size") / 2.0 < F.col("left"))
     cut = taken.groupBy("skey").agg(F.max(F.struct("q", "did", "size")).alias("cut"))
-    plan = materialised(plan.join(cut, "skey", "left"), "mix-cut")
+    plan = materialised(plan.join(last.select("skey", "bucket"), "skey", "left").join(cut, "skey", "left"), "mix-cut")
 
     source = base if keep else narrow
-    extra = (F.col("part") > 0) & F.col("cut").isNotNull() & (F.struct(rank.alias("q"), F.col("did"), F.col("size")) <= F.col("cut"))
-    out = source.join(small(plan), "skey").withColumn("copies", F.col("whole") + F.coalesce(extra, F.lit(False)).cast("long"))
+    by_rank = F.coalesce(bucket(F.col("q"), F.col("part"), buckets) < F.col("bucket"), F.lit(False)) | F.coalesce(F.struct("q", "did", "size") <= F.col("cut"), F.lit(False))
+    extra = F.when(F.col("q").isNotNull(), by_rank).otherwise(F.coalesce(f >= 1, F.lit(False)))
+    out = source.join(small(plan), "skey").withColumn("q", rank).withColumn("copies", F.col("whole") + extra.cast("long"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)])

@@ -118,9 +118,9 @@ ORACLE_SQL = {
         FROM d LEFT JOIN n USING (r) LEFT JOIN kept USING (r)""",
     "op6_mixing": r"""
         WITH sized AS (
-          SELECT doc_id, source, coalesce('s' || source, 'null') AS skey, coalesce(doc_id::VARCHAR, '') AS did,
+          SELECT doc_id, source, coalesce('s' || source, 'null') AS skey, coalesce(doc_id::VARCHAR, 'null ' || md5(coalesce(text, ''))) AS did,
                  coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-                 (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '|mix'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+                 (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null ' || md5(coalesce(text, ''))) || '|mix'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
           FROM documents),
         src AS (SELECT skey, source, sum(size)::BIGINT AS source_size FROM sized GROUP BY ALL),
         placed AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS place FROM src),
@@ -134,12 +134,17 @@ ORACLE_SQL = {
           SELECT skey, source_size, target, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS whole,
                  CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END - floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS part
           FROM (SELECT s.*, least(cap::DOUBLE, coalesce(lvl.level * weight, cap::DOUBLE)) AS target FROM ranked s CROSS JOIN lvl)),
-        q AS (SELECT d.*, p.source_size, p.target, p.whole, p.part, target - whole * source_size AS need,
-                     CASE WHEN part > 0 THEN (u / (1 - u)) * (1 - part) / part END AS q
-              FROM sized d JOIN plan p USING (skey)),
-        r AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY skey ORDER BY q, did, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM q)
+        need AS (SELECT *, target - whole * source_size AS need FROM plan),
+        lens AS (SELECT skey, size, count(*) AS n FROM sized WHERE size > 0 GROUP BY ALL),
+        lefts AS (SELECT skey, size, need - coalesce(sum(size * n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "left",
+                         sum(size::HUGEINT * size * n) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS squares
+                  FROM lens JOIN need USING (skey) WHERE part > 0 WINDOW w AS (PARTITION BY skey ORDER BY size DESC)),
+        pulls AS (SELECT skey, arg_max("left" / squares::DOUBLE, size) AS pull, arg_max("left", size) AS "left" FROM lefts WHERE "left" / squares::DOUBLE * size < 1 GROUP BY skey),
+        f AS (SELECT d.*, p.source_size, target, whole, "left", coalesce(pull * size, 0) AS f FROM sized d JOIN need p USING (skey) LEFT JOIN pulls USING (skey)),
+        q AS (SELECT *, CASE WHEN f > 0 AND f < 1 THEN u / (1 - u) * (1 - f) / f END AS q FROM f),
+        r AS (SELECT *, coalesce(sum(size) FILTER (WHERE q IS NOT NULL) OVER (PARTITION BY skey ORDER BY q NULLS LAST, did, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM q)
         SELECT doc_id, size, source_size, target,
-               ((whole + CASE WHEN part > 0 AND ahead + size / 2.0 < need THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+               ((whole + CASE WHEN f >= 1 OR (q IS NOT NULL AND ahead + size / 2.0 < "left") THEN 1 ELSE 0 END) * size)::BIGINT AS taken
         FROM r""",
     "op8_decontamination": r"""
         WITH lowered AS (SELECT doc_id, row_number() OVER () AS r, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),

@@ -229,21 +229,13 @@ def test_mixing(docs):
     assert mixing.pareto_mix(docs([])).count() == 0
 
 
-def test_mixing_spreads_a_source_with_a_small_share(docs, monkeypatch):
-    data = [(i, "a b c d", None, "big" if i % 100 else f"small{i // 100}", None) for i in range(4000)]
-    seen = []
-    floor = mixing.F.floor
-    monkeypatch.setattr(mixing.F, "floor", lambda c: seen.append(c) or floor(c))
-    out = mixing.pareto_mix(docs(data), weights=(1, 2000), most=50, buckets=64)
-    place = next(c for c in seen if "64" in str(c))
-    monkeypatch.undo()
-    part = 1.5 * 4 * 4000 / (21 * 1 + 20 * 2000) / (3960 * 4)
-    u = docs(data).where("source = 'big'").withColumn("u", mixing.uniform(mixing.F.col("doc_id"), "mix"))
-    q = mixing.F.col("u") / (1 - mixing.F.col("u")) * (1 - part) / part
-    counts = [r["count"] for r in u.withColumn("q", q).groupBy(floor(place).alias("b")).count().collect()]
-    assert len(counts) == 64 and max(counts) < 4 * 3960 / 64
-    big = [r for r in out.collect() if r.source_size == 3960 * 4]
-    assert len(big) == 3960 and abs(sum(r.taken for r in big) - big[0].target) <= 2
+def test_mixing_spreads_ranks_whatever_the_share(docs):
+    F = mixing.F
+    ids = docs([(i, "", None, None, None) for i in range(4000)]).withColumn("u", mixing.uniform(F.col("doc_id"), "mix"))
+    for part in (0.0005, 0.3, 0.9995):
+        q = F.col("u") / (1 - F.col("u")) * (1 - part) / part
+        counts = [r["count"] for r in ids.groupBy(mixing.bucket(q, F.lit(part), 64).alias("b")).count().collect()]
+        assert len(counts) == 64 and max(counts) < 4 * 4000 / 64
 
 
 def test_inclusion_follows_the_share(docs):
@@ -252,6 +244,30 @@ def test_inclusion_follows_the_share(docs):
     assert taken and set(taken) <= {0, 4, 8}
 
 
+def test_inclusion_follows_the_size_and_ranks_decide(docs):
+    """Long documents are taken in proportion to their words, the longest surely; by u alone others would be taken."""
+    size = {i: 5000 if i < 3 else 40 if i % 2 else 10 for i in range(3000)}
+    data = [(i, "w " * n, None, "a", None) for i, n in size.items()]
+    got = {r.doc_id: r for r in mixing.pareto_mix(docs(data), weights=(1,), share=0.4).collect()}
+    total, need = sum(size.values()), 0.4 * sum(size.values())
+    assert all(abs(r.target - need) < 1e-6 for r in got.values()) and abs(sum(r.taken for r in got.values()) - need) <= 20
+    assert all(got[i].taken == 5000 for i in range(3)) and total - need > 0
+    rate = {n: sum(got[i].taken > 0 for i in size if size[i] == n) / sum(v == n for v in size.values()) for n in (10, 40)}
+    left = need - 15000
+    pull = left / sum(n * n for n in size.values() if n < 5000)
+    assert abs(rate[40] - 40 * pull) < 0.03 and abs(rate[10] - 10 * pull) < 0.03
+    u = {r.doc_id: r.u for r in docs(data).select("doc_id", mixing.uniform(mixing.F.col("doc_id"), "mix").alias("u")).collect()}
+    rank = {i: u[i] / (1 - u[i]) * (1 - pull * size[i]) / (pull * size[i]) for i in size if size[i] < 5000}
+    out, words = set(), 0
+    for i in sorted(rank, key=rank.get):
+        if words + size[i] / 2 < left:
+            out.add(i)
+        words += size[i]
+    assert {i for i in rank if got[i].taken} == out
+    plain = sorted(rank, key=u.get)[: len(out)]
+    assert set(plain) != out
+
+
 def test_language_id_sums_all_segmentations(spark):
     voc = langid.Vocabulary({"▁a": 0, "▁": 1, "a": 2, "b": 3, "ab": 4, "▁ab": 5})
     import numpy as np
