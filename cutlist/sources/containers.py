@@ -302,3 +302,35 @@ def fragments(files: DataFrame) -> DataFrame:
     total = lambda f: F.aggregate("rows", F.lit(0).cast("bigint"), lambda a, r: a + r[f])
     problem = F.when(~F.coalesce("fits", F.lit(False)), "run").when(F.exists("rows", lambda r: r["f0"] <= 0), "duration").when(F.exists("rows", lambda r: r["f1"] <= 0), "size").when(F.col("decode_time").isNull(), "time")
     return out.select("path", "fragment", "decode_time", F.size("rows").alias("samples"), total("f0").alias("duration"), total("f1").alias("bytes"), problem.alias("problem"))
+
+
+def layouts(files: DataFrame) -> DataFrame:
+    """(path, boxes, starts_fast, is_fragment): names of the outermost boxes, and whether they begin with a movie's head or a fragment's."""
+    outer = boxes(files).where("box RLIKE '^/[^/]*$'")
+    names = F.transform(F.array_sort(F.collect_list(F.struct("place", F.regexp_extract("box", r"^/(.*)\.\d+$", 1).alias("name")))), lambda b: b["name"])
+    found = outer.groupBy("path").agg(names.alias("boxes"))
+    begins = lambda a, b: (F.size("boxes") >= 2) & (F.get("boxes", F.lit(0)) == a) & (F.get("boxes", F.lit(1)) == b)
+    return found.select("path", "boxes", begins("ftyp", "moov").alias("starts_fast"), begins("moof", "mdat").alias("is_fragment"))
+
+
+def checked_fragments(files: DataFrame) -> DataFrame:
+    """(path, problem, tracks, samples, bytes): totals of a file's fragment, and the first rule that it breaks.
+
+    Besides the rules of `fragments`, each track begins with a key sample, has no negative composition
+    offset, and its data lies inside the media data, behind that of the track before it.
+    """
+    b = boxes(files).withColumn("traf", F.regexp_extract("box", r"^/moof\.0/traf\.(\d+)/", 1)).withColumn("name", F.regexp_extract("box", r"/(\w+)\.\d+$", 1))
+    media = b.where("box = '/mdat.0'").select("path", (F.col("place") + 8).alias("media_start"), (F.col("place") + F.col("size")).alias("media_end"))
+    runs = b.where("traf <> '' AND name = 'trun'").groupBy("path", F.concat(F.lit("/moof.0/traf."), "traf").alias("fragment")).agg(F.first("payload").alias("run"), F.min("traf").cast("int").alias("k"))
+    n = uint(F.col("run"), 4, 4)
+    more = runs.select("path", "fragment", "k", uint(F.col("run"), 8, 4).alias("at"), uint(F.col("run"), 20, 4).alias("first_flags"), rows(F.col("run"), 12, n, (4, 4, 4, 4), signed=(3,)).alias("rows"))
+    t = fragments(files).join(more, ["path", "fragment"]).join(media, "path", "left")
+    end = F.col("at") + F.col("bytes")
+    before = F.lag(end).over(W.partitionBy("path").orderBy("k"))
+    problem = F.coalesce(
+        "problem",
+        F.when(F.col("samples") == 0, "run").when(F.col("first_flags").bitwiseAND(0x01000000) != 0, "key").when(F.exists("rows", lambda r: r["f3"] < 0), "offset")
+        .when(F.col("media_start").isNull() | (F.col("at") < F.col("media_start")) | (end > F.col("media_end")), "outside").when(F.col("at") < before, "overlap"),
+    )
+    found = t.withColumn("found", problem)
+    return found.groupBy("path").agg(F.min_by("found", F.when(F.col("found").isNotNull(), F.col("k"))).alias("problem"), F.count("*").alias("tracks"), F.sum("samples").alias("samples"), F.sum("bytes").alias("bytes"))

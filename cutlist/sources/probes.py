@@ -154,6 +154,29 @@ def tracks(files: DataFrame) -> DataFrame:
     return mp4.union(mkv).withColumnRenamed("path", "source")
 
 
+def probed(files: DataFrame) -> DataFrame:
+    """(path, container, duration_ms, tracks, chapters, attachments): one row a file; unknown and broken files have empty lists.
+
+    A file lasts as long as its packets do, by the latest end in milliseconds.
+    """
+    from .containers import matroska_packets, mp4_chapters, mp4_packets
+
+    named = sniffed(files)
+    kinds = named.join(files, "path")
+    mp4, mkv = kinds.where("container IN ('mp4', 'mov')"), kinds.where("container = 'matroska'")
+    found = matroska_elements(mkv)
+    listed = lambda df, name, *own: df.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ix", *own))).alias(name))
+    end = lambda c, scale: F.max(((c * 1000 - c * 1000 % scale) / scale).cast("bigint")).alias("duration_ms")
+    long = mp4_packets(mp4).groupBy("path").agg(end(F.col("pts") + F.col("duration"), F.col("scale"))).union(matroska_packets(mkv).groupBy("path").agg(F.max(F.col("pts") + F.col("duration")).alias("duration_ms")))
+    t = listed(tracks(files).withColumnRenamed("source", "path"), "tracks", "kind", "codec", "is_default", "language")
+    own = ("id", "start_ms", "end_ms", "title")
+    c = listed(mp4_chapters(mp4).select("path", "ix", *own).union(matroska_chapters(found).select("path", "ix", *own)), "chapters", *own)
+    a = listed(attachments(found), "attachments", "name", "mime", "size")
+    out = named.join(long, "path", "left").join(t, "path", "left").join(c, "path", "left").join(a, "path", "left")
+    full = lambda name, df: F.coalesce(name, F.array().cast(df.schema[name].dataType)).alias(name)
+    return out.select("path", "container", "duration_ms", full("tracks", t), full("chapters", c), full("attachments", a))
+
+
 def subtitle_blocks(files: DataFrame) -> DataFrame:
     """(path, track, codec, block, ticks, scale_ns, duration, source_offset, size) of subtitle tracks, for payload reads and cues."""
     return matroska_frames(files).where("kind = 17").select("path", "track", codecs.matroska_codec(F.col("codec")).alias("codec"), "block", "ticks", "scale_ns", "duration", "source_offset", "size")
