@@ -139,6 +139,11 @@ def fixed_point(value: Column) -> Column:
     return F.shiftright(value, 16)
 
 
+def sample_delta(a: Column, b: Column) -> Column:
+    """How far two sample counts are apart."""
+    return F.abs(a - b)
+
+
 def decode_window(start: Column, end: Column, rate: Column) -> tuple[Column, Column]:
     """What an audio decoder reads for a window: 34 frames of 1,024 samples and 250 ms before, four frames after; rates of 8 to 48 kHz."""
     r = F.least(F.greatest(rate, F.lit(8_000)), F.lit(48_000)).cast("bigint")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.timing import minus
+from .asof import latest
 from .fold import ordered_fold
 
 #: Fixed value: windows shorter than this many milliseconds merge into their neighbour.
@@ -152,31 +153,47 @@ def peak_bitrate(packets: DataFrame, plan: DataFrame) -> DataFrame:
     return plan.withColumn("span", span).join(sizes, ["track", "chunk"]).where("span > 0").groupBy("track").agg(F.max(whole(F.col("bytes") * 8000 + F.col("span") - 1, F.col("span"))).alias("peak"))
 
 
-def _before_first(packets: DataFrame, late: Column) -> Column:
-    """Whether no packet up to this one in decode order is late."""
-    return F.max(late.cast("int")).over(W.partitionBy("track", "request").orderBy("ix")) == 0
-
-
 def seek_anchors(packets: DataFrame, requests: DataFrame) -> DataFrame:
     """(track, request, target_ms) -> where to start reading: the last keyframe before the first later packet.
 
     The search stops at the first packet with a later pts, though earlier ones may follow it; without
-    a keyframe it is the last packet before that, and without any the first packet.
+    a keyframe it is the last packet before that, and without any the first packet. The latest pts so far
+    never falls, so that the first later packet is a lookup by it, and no request meets every packet.
     """
-    rows = packets.join(requests, "track").withColumn("early", _before_first(packets, F.col("pts") > F.col("target_ms")))
-    at = rows.groupBy("track", "request", "target_ms").agg(F.coalesce(F.max(F.when(F.col("early") & F.col("keyframe"), F.col("ix"))), F.max(F.when(F.col("early"), F.col("ix"))), F.min("ix")).alias("ix"))
-    found = at.join(packets.select("track", "ix", "pts", "keyframe"), ["track", "ix"])
-    return found.select("track", "request", "target_ms", F.col("pts").alias("anchor_ms"), F.col("ix").alias("packet_index"), minus(F.col("target_ms"), F.col("pts")).alias("preroll_ms"), F.col("keyframe").alias("key_aligned"))
+    by = W.partitionBy("track").orderBy("ix").rowsBetween(W.unboundedPreceding, 0)
+    own = F.struct("ix", "pts", "keyframe")
+    key = F.last(F.when(F.col("keyframe"), own), ignorenulls=True).over(by)
+    rows = packets.withColumns({"target_ms": F.max("pts").over(by), "value": F.coalesce(key, own)})
+    first = packets.groupBy("track").agg(F.min_by(own, "ix").alias("first"))
+    found = latest(rows, requests, ["track"], "target_ms", "ix", F.col("value")).join(first, "track").withColumn("at", F.coalesce("found", "first"))
+    return found.select("track", "request", "target_ms", F.col("at.pts").alias("anchor_ms"), F.col("at.ix").alias("packet_index"), minus(F.col("target_ms"), F.col("at.pts")).alias("preroll_ms"), F.col("at.keyframe").alias("key_aligned"))
+
+
+#: Packets whose latest end is kept as one number.
+_GROUP = 256
 
 
 def copy_seeks(packets: DataFrame, requests: DataFrame, window_ms: int) -> DataFrame:
-    """Anchors with the packets up to the first one at or beyond the window's end; the duration runs to the latest end."""
+    """Anchors with the packets up to the first one at or beyond the window's end; the duration runs to the latest end.
+
+    The end is a lookup by the latest pts so far, as in seek_anchors; the latest packet end of a range comes from
+    groups of packets that lie in it whole, and from the packets of the groups at its ends.
+    """
+    by = W.partitionBy("track").orderBy("ix").rowsBetween(W.unboundedPreceding, 0)
     anchors = seek_anchors(packets, requests)
-    rows = packets.join(anchors.select("track", "request", "target_ms", "anchor_ms", "packet_index"), "track").where("ix >= packet_index")
-    late = (F.col("ix") > F.col("packet_index")) & (F.col("pts") >= F.col("target_ms") + max(window_ms, 1))
-    rows = rows.withColumn("inside", _before_first(rows, late)).where("inside")
-    ends = rows.groupBy("track", "request").agg((F.max("ix") + 1).alias("packet_end"), F.max(F.col("pts") + F.col("duration")).alias("last"))
-    return anchors.join(ends, ["track", "request"]).select("track", "request", "target_ms", "anchor_ms", "packet_index", "packet_end", minus(F.col("last"), F.col("anchor_ms")).alias("duration_ms"), "key_aligned")
+    # the first packet of a track ends no range, whatever its time
+    inner = F.when(F.row_number().over(W.partitionBy("track").orderBy("ix")) > 1, F.col("pts"))
+    rows = packets.withColumn("limit_ms", F.coalesce(F.max(inner).over(by), F.lit(-(2**62)).cast("bigint")))
+    asked = anchors.withColumn("limit_ms", F.col("target_ms") + max(window_ms, 1) - 1)
+    ranges = latest(rows, asked, ["track"], "limit_ms", "ix", F.col("ix")).withColumnRenamed("found", "last_ix").drop("limit_ms")
+    ends = packets.select("track", F.col("ix").alias("at"), (F.col("pts") + F.col("duration")).alias("end"), F.floor(F.col("ix") / _GROUP).alias("part"))
+    groups = ends.groupBy("track", "part").agg(F.max("end").alias("end"))
+    low, high = F.floor(F.col("packet_index") / _GROUP), F.floor(F.col("last_ix") / _GROUP)
+    keys = ranges.select("track", "request", "packet_index", "last_ix", low.alias("low"), high.alias("high"))
+    edges = keys.withColumn("part", F.explode(F.array_distinct(F.array("low", "high")))).join(ends, ["track", "part"]).where("at BETWEEN packet_index AND last_ix")
+    middle = keys.where("high > low + 1").withColumn("part", F.explode(F.sequence(F.col("low") + 1, F.col("high") - 1))).join(groups, ["track", "part"])
+    last = edges.select("track", "request", "end").union(middle.select("track", "request", "end")).groupBy("track", "request").agg(F.max("end").alias("last"))
+    return ranges.join(last, ["track", "request"]).select("track", "request", "target_ms", "anchor_ms", "packet_index", (F.col("last_ix") + 1).alias("packet_end"), minus(F.col("last"), F.col("anchor_ms")).alias("duration_ms"), "key_aligned")
 
 
 def video_window(packets: DataFrame, start_ms: int, end_ms: int) -> DataFrame:

@@ -102,12 +102,23 @@ def display_cues(displays: DataFrame) -> DataFrame:
     return rows.where("error IS NULL AND objects > 0 AND end_ms > time_ms").select("track", "ix", F.col("time_ms").alias("start_ms"), "end_ms", "objects")
 
 
-def plain_text(text: Column, depth: int = 4) -> Column:
-    """Text without {...} groups, nested up to `depth`, and <...> tags; trimmed lines, blank ones left out."""
-    out = text
-    for _ in range(depth):
-        out = F.regexp_replace(out, r"\{[^{}]*\}", "")
-    out = F.regexp_replace(out, r"<[^>]*(>|$)", "")
+def plain_text(text: Column) -> Column:
+    """Text without {...} groups, nested to any depth, and <...> tags; trimmed lines, blank ones left out.
+
+    A fold over the pieces between braces and angles: an open group or tag that never closes takes all
+    that follows, and a tag inside a group is part of it.
+    """
+
+    def step(s: Column, piece: Column) -> Column:
+        deep, tag = s["deep"], s["tag"]
+        opens, closes = (piece == "{") & ~tag, (piece == "}") & ~tag & (deep > 0)
+        begins, ends = (piece == "<") & ~tag & (deep == 0), (piece == ">") & tag
+        stays = ~(tag | opens | closes | begins) & (deep == 0)
+        return F.struct((deep + F.when(opens, 1).when(closes, -1).otherwise(0)).alias("deep"), ((tag | begins) & ~ends).alias("tag"), F.when(stays, F.concat(s["out"], piece)).otherwise(s["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).alias("deep"), F.lit(False).alias("tag"), F.lit("").alias("out"))
+    pieces = F.regexp_extract_all(text, F.lit(r"([{}<>]|[^{}<>]+)"), F.lit(1))
+    out = F.when(F.regexp_like(text, F.lit("[{}<>]")), F.aggregate(pieces, start, step, lambda s: s["out"])).otherwise(text)
     lines = F.filter(F.transform(F.split(F.regexp_replace(out, "\r\n", "\n"), "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
     return F.array_join(lines, "\n")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.timing import minus
+from .asof import overlapping
 from .fold import ordered_fold
 
 #: Fixed values of the rules, in milliseconds and shares.
@@ -19,22 +20,29 @@ def eligible(prints: DataFrame) -> DataFrame:
     return prints.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct(F.when(F.col("voiced"), F.col("bits"))).alias("d")).where((F.col("n") <= MOST_FRAMES) & (F.col("d") >= MIN_DISTINCT)).select("source")
 
 
-def align(left: DataFrame, right: DataFrame, bits: int = 12, top: int = 8, smooth: int = 4) -> DataFrame:
+def align(left: DataFrame, right: DataFrame, bits: int = 12, top: int | None = None, smooth: int = 4, often: float | None = None) -> DataFrame:
     """(source, peer, start_ms, end_ms, quality): stretches of a series that a peer repeats.
 
-    Frames that agree in their upper `bits` bits vote for the offset between them; for the `top`
-    offsets of a pair, frames are compared along the diagonal, and runs whose mean difference over
+    Frames that agree in their upper `bits` bits vote for the offset between them; for every offset of a pair
+    with two votes, frames are compared along the diagonal, and runs whose mean difference over
     a few frames stays small are matches. Of 32 bits, a match differs in 3.2 on average at most, and
-    lasts 15 to 300 seconds. Hashes of more than a hundredth of a series vote for nothing, as
-    constant sound repeats everywhere.
+    lasts 15 to 300 seconds. `top` looks at the offsets with most votes only, and `often` leaves hashes of more
+    than that share of a series without votes; both save work and may lose matches, so neither is set by default.
     """
     a = left.join(eligible(left), "source")
     b = right.join(eligible(right), "source").select(F.col("source").alias("peer"), F.col("ix").alias("jx"), F.col("bits").alias("other"))
     key = lambda c: F.shiftright(c, 32 - bits)
-    rare = lambda df, s, k: df.withColumn("often", F.count("*").over(W.partitionBy(s, "key")) * 100).withColumn("size", F.count("*").over(W.partitionBy(s))).where((F.col("often") <= F.col("size")) | (F.col("often") <= 200)).drop("often", "size")
-    va, vb = rare(a.withColumn("key", key("bits")), "source", "ix").select("source", "ix", "key"), rare(b.withColumn("key", key("other")), "peer", "jx").select("peer", "jx", "key")
-    votes = va.join(vb, "key").where("source <> peer").groupBy("source", "peer", (F.col("jx") - F.col("ix")).alias("shift")).agg(F.count("*").alias("n"))
-    best = votes.withColumn("rank", F.row_number().over(W.partitionBy("source", "peer").orderBy(F.desc("n"), "shift"))).where((F.col("rank") <= top) & (F.col("n") > 1)).drop("rank")
+
+    def voting(df: DataFrame, series: str) -> DataFrame:
+        if often is None:
+            return df
+        share = F.count("*").over(W.partitionBy(series, "key")) / F.count("*").over(W.partitionBy(series))
+        return df.withColumn("share", share).where(F.col("share") <= often)
+
+    va, vb = voting(a.withColumn("key", key("bits")), "source").select("source", "ix", "key"), voting(b.withColumn("key", key("other")), "peer").select("peer", "jx", "key")
+    best = va.join(vb, "key").where("source <> peer").groupBy("source", "peer", (F.col("jx") - F.col("ix")).alias("shift")).agg(F.count("*").alias("n")).where("n > 1")
+    if top is not None:
+        best = best.withColumn("rank", F.row_number().over(W.partitionBy("source", "peer").orderBy(F.desc("n"), "shift"))).where(F.col("rank") <= top).drop("rank")
     pairs = a.join(best, "source").withColumn("jx", F.col("ix") + F.col("shift")).join(b, ["peer", "jx"])
     diag = W.partitionBy("source", "peer", "shift").orderBy("ix")
     near = pairs.withColumn("d", F.bit_count(F.col("bits").bitwiseXOR(F.col("other")))).withColumn("mean", F.avg("d").over(diag.rowsBetween(-smooth, smooth)))
@@ -84,10 +92,10 @@ def evidence_windows(durations: DataFrame) -> DataFrame:
     return d.select("source", F.explode(each).alias("w")).select("source", "w.*").where("start_ms < end_ms")
 
 
-def in_windows(packets: DataFrame, windows: DataFrame) -> DataFrame:
+def in_windows(packets: DataFrame, windows: DataFrame, bucket_ms: int = 60_000) -> DataFrame:
     """Packets of each window that they overlap."""
-    p = packets.withColumnRenamed("track", "source")
-    return p.join(windows, "source").where("pts < end_ms AND pts + duration > start_ms")
+    p = packets.withColumnRenamed("track", "source").withColumn("until", F.col("pts") + F.col("duration"))
+    return overlapping(p, windows, ["source"], ("pts", "until"), ("start_ms", "end_ms"), bucket_ms).drop("until")
 
 
 def islands(samples: DataFrame, gap: int = ROLL_GAP, least: int = MIN_ROLL, count: int = MIN_ROLL_SAMPLES) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .asof import latest, overlapping
 from .chunks import whole
 from .fold import ordered_fold
 
@@ -11,16 +14,27 @@ from .fold import ordered_fold
 def published(df: DataFrame, path: str) -> str:
     """Writes rows to a path once: 'written', or 'same' where equal rows stand there; other rows are an error.
 
-    What is there is never replaced. Rows compare as a multiset.
+    What is there is never replaced. Rows compare as a multiset. They are written under a name that no other
+    writer uses, and take the path by a rename that fails where it exists, so that of two writers one wins.
     """
     spark = df.sparkSession
-    try:
-        there = spark.read.parquet(path)
-    except Exception as error:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        df.write.mode("errorifexists").parquet(path)
-        return "written"
+    jvm = spark._jvm
+    hadoop = jvm.org.apache.hadoop.fs
+    place = hadoop.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(place):
+        own = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+        df.write.mode("errorifexists").parquet(own)
+        try:
+            at = store.makeQualified(hadoop.Path(own))
+            names = hadoop.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration())
+            names.rename(at, store.makeQualified(place), spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0))
+            return "written"
+        except Exception as error:  # noqa: BLE001
+            store.delete(hadoop.Path(own), True)
+            if "AlreadyExists" not in str(error):
+                raise
+    there = spark.read.parquet(path)
     new = df.select(*there.columns) if sorted(df.columns) == sorted(there.columns) else None
     if new is None or not new.exceptAll(there).isEmpty() or not there.exceptAll(new).isEmpty():
         raise FileExistsError(path)
@@ -86,9 +100,8 @@ def cue_chunks(cues: DataFrame, target_ms: int) -> DataFrame:
 
 def latest_cue(cues: DataFrame, requests: DataFrame) -> DataFrame:
     """(track, request, position): the latest seek point at or before a time, the last of equals; null without one."""
-    c = cues.select("track", "ix", F.col("time_ms").alias("t"), "position")
-    rows = requests.join(c, "track", "left").where("t IS NULL OR t <= target_ms").groupBy("track", "request").agg(F.max_by("position", F.struct("t", "ix")).alias("position"))
-    return requests.select("track", "request").join(rows, ["track", "request"], "left")
+    rows = cues.withColumnRenamed("time_ms", "target_ms")
+    return latest(rows, requests, ["track"], "target_ms", "ix", F.col("position")).select("track", "request", F.col("found").alias("position"))
 
 
 def codec_sessions(requests: DataFrame) -> DataFrame:
@@ -112,13 +125,13 @@ def bounds(windows: DataFrame) -> DataFrame:
     return windows.groupBy("track").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
 
 
-def clipped(frames: DataFrame, windows: DataFrame) -> DataFrame:
+def clipped(frames: DataFrame, windows: DataFrame, bucket: int = 480_000) -> DataFrame:
     """Samples of frames (track, start, samples) that lie in a window (track, n, from_sample, to_sample), and the silence before the first.
 
     Silence fills at most two seconds at 48 kHz; more is an error, marked by `broken`.
     """
     f = frames.withColumn("stop", F.col("start") + F.col("samples"))
-    rows = windows.join(f, "track").where("start < to_sample AND stop > from_sample")
+    rows = overlapping(f, windows, ["track"], ("start", "stop"), ("from_sample", "to_sample"), bucket)
     got = rows.groupBy("track", "n", "from_sample").agg(F.sum(F.least("stop", "to_sample") - F.greatest("start", "from_sample")).alias("kept"), F.min(F.greatest("start", "from_sample")).alias("first"))
     out = got.withColumn("silence", F.col("first") - F.col("from_sample"))
     return out.select("track", "n", "kept", "silence", (F.col("silence") > 96_000).alias("broken"))

@@ -77,24 +77,16 @@ def display_cues(spark, d):
 
 
 
-@query("SELECT track, row_number() OVER (PARTITION BY track ORDER BY ix) - 1 AS ix, start_ms, end_ms, regexp_replace(text, chr(10) || '+', chr(10), 'g') AS text FROM cues WHERE end_ms > start_ms AND trim(text) <> '' AND NOT contains(text, chr(10) || chr(10)) AND regexp_matches(text, '^[^\\s].*[^\\s]$') AND NOT regexp_matches(text, '\\s\\n|\\r')", "cues")
-def subrip_round_trip(spark, d):
-    """Cues written as SubRip, with carriage returns, and parsed again."""
-    from ..functions.timing import clock
-
-    c = A.cues(spark, d).where(r"end_ms > start_ms AND trim(text) <> '' AND NOT contains(text, '\n\n') AND text RLIKE '^[^\\s].*[^\\s]$' AND NOT text RLIKE '\\s\n|\r'")
-    block = F.concat((F.col("ix") + 1).cast("string"), F.lit("\r\n"), clock(F.col("start_ms"), ","), F.lit(" --> "), clock(F.col("end_ms"), ","), F.lit("\r\n"), F.regexp_replace("text", "\n", "\r\n"))
-    files = c.groupBy("track").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ix", block.alias("b")))), lambda x: x["b"]), "\r\n\r\n").alias("text"))
-    return U.parse_subrip(files)
-
-
 @query("""WITH l AS (SELECT track, ix, start_ms, end_ms, array_to_string(list_filter(list_transform(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: regexp_replace(x, '\\s+$', '')), lambda x: x <> ''), chr(10)) AS text FROM cues WHERE end_ms > start_ms)
     SELECT track, row_number() OVER (PARTITION BY track ORDER BY ix) - 1 AS ix, start_ms, end_ms, text FROM l WHERE trim(text) <> ''""", "cues")
-def whole_subrip_round_trip(spark, d):
-    """J01, I11 over all cues; as a blank line would end a cue, the file has a text's other lines only."""
+def subrip_round_trip(spark, d):
+    """J01, I11; as a blank line would end a cue, the file has a text's other lines only."""
     from ..functions.timing import clock
 
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\r\n|\r|\n"), lambda x: F.regexp_like(x, F.lit(r"\S")))
     block = F.concat((F.col("ix") + 1).cast("string"), F.lit("\r\n"), clock(F.col("start_ms"), ","), F.lit(" --> "), clock(F.col("end_ms"), ","), F.lit("\r\n"), F.array_join(lines, "\r\n"))
     files = A.cues(spark, d).groupBy("track").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ix", block.alias("b")))), lambda x: x["b"]), "\r\n\r\n").alias("text"))
     return U.parse_subrip(files)
+
+
+REGISTRY.also("subrip_round_trip", "whole_subrip_round_trip")

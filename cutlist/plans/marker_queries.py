@@ -40,7 +40,7 @@ def first_candidates(spark, d):
     return M.first_candidates(M.islands(_samples(spark, d), gap=DAY), 2)
 
 
-_MATCHES = """m AS (SELECT user_id % 20 AS source, event_id % 2 AS peer, event_id AS ix, (event_id * 7919) % 100000 AS start_ms, (event_id * 7919) % 100000 + 20000 + (event_id * 31) % 60000 AS end_ms, 0.85::DOUBLE + (event_id % 15) / 100.0::DOUBLE AS quality FROM events WHERE event_id % 5 = 0)"""
+_MATCHES = """m AS (SELECT user_id AS source, event_id % 2 AS peer, event_id AS ix, (event_id * 7919) % 100000 AS start_ms, (event_id * 7919) % 100000 + 20000 + (event_id * 31) % 60000 AS end_ms, 0.85::DOUBLE + (event_id % 15) / 100.0::DOUBLE AS quality FROM events)"""
 _CONSENSUS = f"""{_MATCHES}, pairs AS (SELECT a.source, greatest(a.start_ms, b.start_ms) AS start_ms, least(a.end_ms, b.end_ms) AS end_ms, greatest(a.end_ms - a.start_ms, b.end_ms - b.start_ms) AS long, least(a.quality, b.quality) AS quality, a.ix AS i, b.ix AS j FROM m a JOIN m b USING (source) WHERE a.peer = 0 AND b.peer = 1),
     agreed AS (SELECT source, start_ms, end_ms, round(arg_max(quality, [i, j]), 9) AS quality FROM pairs WHERE end_ms - start_ms >= 15000 AND (end_ms - start_ms) / long::DOUBLE >= 0.8 AND quality >= 0.9 GROUP BY ALL)"""
 
@@ -51,11 +51,11 @@ def peer_consensus(spark, d):
     return _agreed(spark, d)
 
 
-def _agreed(spark, d, whole=False):
+def _agreed(spark, d):
     e = F.col("event_id")
     start = (e * 7919) % 100_000
     ev = A.table(spark, d, "events")
-    rows = (ev if whole else ev.where("event_id % 5 = 0")).select((F.col("user_id") if whole else F.col("user_id") % 20).alias("source"), (e % 2).alias("peer"), e.alias("ix"), start.alias("start_ms"), (start + 20_000 + (e * 31) % 60_000).alias("end_ms"), (F.lit(0.85) + (e % 15) / F.lit(100.0)).alias("quality"))
+    rows = ev.select(F.col("user_id").alias("source"), (e % 2).alias("peer"), e.alias("ix"), start.alias("start_ms"), (start + 20_000 + (e * 31) % 60_000).alias("end_ms"), (F.lit(0.85) + (e % 15) / F.lit(100.0)).alias("quality"))
     return M.consensus(rows.where("peer = 0"), rows.where("peer = 1")).withColumn("quality", F.round("quality", 9))
 
 
@@ -65,19 +65,8 @@ def best_match(spark, d):
     return M.best_match(_agreed(spark, d))
 
 
-_WHOLE_CONSENSUS = _CONSENSUS.replace("user_id % 20", "user_id").replace(" WHERE event_id % 5 = 0", "")
-
-
-@query(f"WITH {_WHOLE_CONSENSUS} SELECT * FROM agreed")
-def whole_peer_consensus(spark, d):
-    """D09 over all rows, a source a user."""
-    return _agreed(spark, d, whole=True)
-
-
-@query(f"""WITH {_WHOLE_CONSENSUS} SELECT source, start_ms, end_ms, quality FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY end_ms - start_ms DESC, quality DESC, start_ms, end_ms) AS k FROM agreed) WHERE k = 1""")
-def whole_best_match(spark, d):
-    """G05 over all rows."""
-    return M.best_match(_agreed(spark, d, whole=True))
+REGISTRY.also("peer_consensus", "whole_peer_consensus")
+REGISTRY.also("best_match", "whole_best_match")
 
 
 @query("""WITH o AS (SELECT o_orderkey AS source, o_custkey * 1000 AS s, o_custkey * 1000 + 60000 AS e, o_custkey * 1000 + (o_orderkey % 300) * 1000 AS z FROM orders)
@@ -97,21 +86,21 @@ def evidence_windows(spark, d):
     """Packets that overlap the head or the tail of their track."""
     p = A.packets(spark, d).withColumn("pts", F.col("pts") - F.min("pts").over(W.partitionBy("track")))
     dur = p.groupBy(F.col("track").alias("source")).agg(F.max("pts").alias("duration_ms"))
-    return M.in_windows(p.select("track", "ix", "pts", "duration"), M.evidence_windows(dur)).select("source", "ix", "pts", "window", "start_ms", "end_ms")
+    return M.in_windows(p.select("track", "ix", "pts", "duration"), M.evidence_windows(dur), DAY).select("source", "ix", "pts", "window", "start_ms", "end_ms")
 
 
-_MARKERS = "mk AS (SELECT user_id % 20 AS source, event_id AS ix, (event_id * 7919) % 1000000 AS start_ms, (event_id * 7919) % 1000000 + (event_id % 13 - 1) * 9000 AS end_ms, 0.85::DOUBLE + (event_id % 17) / 100.0::DOUBLE AS confidence, event_id % 3 AS reference_count FROM events WHERE event_id % 4 = 0)"
+_MARKERS = "mk AS (SELECT user_id AS source, event_id AS ix, (event_id * 7919) % 1000000 AS start_ms, (event_id * 7919) % 1000000 + (event_id % 13 - 1) * 9000 AS end_ms, 0.85::DOUBLE + (event_id % 17) / 100.0::DOUBLE AS confidence, event_id % 3 AS reference_count FROM events)"
 
 
-def _markers(spark, d, whole=False):
+def _markers(spark, d):
     e = F.col("event_id")
     start = (e * 7919) % 1_000_000
     ev = A.table(spark, d, "events")
-    return (ev if whole else ev.where("event_id % 4 = 0")).select((F.col("user_id") if whole else F.col("user_id") % 20).alias("source"), e.alias("ix"), start.alias("start_ms"), (start + (e % 13 - 1) * 9000).alias("end_ms"), (F.lit(0.85) + (e % 17) / F.lit(100.0)).alias("confidence"), (e % 3).alias("reference_count"))
+    return ev.select(F.col("user_id").alias("source"), e.alias("ix"), start.alias("start_ms"), (start + (e % 13 - 1) * 9000).alias("end_ms"), (F.lit(0.85) + (e % 17) / F.lit(100.0)).alias("confidence"), (e % 3).alias("reference_count"))
 
 
-def _valid(spark, d, whole=False):
-    m = _markers(spark, d, whole)
+def _valid(spark, d):
+    m = _markers(spark, d)
     return M.valid_markers(m, m.select("source").distinct().withColumn("duration_ms", F.lit(1_000_000)))
 
 
@@ -134,19 +123,8 @@ def markers_without_overlaps(spark, d):
     return M.without_overlaps(_valid(spark, d)).withColumn("confidence", F.round("confidence", 9))
 
 
-_all_rows = lambda sql: sql.replace("user_id % 20", "user_id").replace(" WHERE event_id % 4 = 0", "")
-
-
-@query(f"WITH {_all_rows(_MARKERS)} SELECT source, ix, start_ms, end_ms, round(confidence, 9) AS confidence, reference_count FROM mk WHERE confidence BETWEEN 0.9 AND 1.0 AND start_ms < end_ms AND end_ms <= 1000000")
-def whole_valid_markers(spark, d):
-    """C17 over all rows, a source a user."""
-    return _valid(spark, d, whole=True).withColumn("confidence", F.round("confidence", 9))
-
-
-@query(_all_rows(_WITHOUT_OVERLAPS))
-def whole_markers_without_overlaps(spark, d):
-    """G07 over all rows."""
-    return M.without_overlaps(_valid(spark, d, whole=True)).withColumn("confidence", F.round("confidence", 9))
+REGISTRY.also("valid_markers", "whole_valid_markers")
+REGISTRY.also("markers_without_overlaps", "whole_markers_without_overlaps")
 
 
 @query(f"WITH {_NUMBERED}, {_DURATION}, o AS (SELECT source, coalesce(time_ms > lag(time_ms) OVER (PARTITION BY source ORDER BY ix), true) AS ok, time_ms, duration_ms FROM samples JOIN durations USING (source)) SELECT source, bool_and(ok AND time_ms < duration_ms) AS valid FROM o GROUP BY source", "observations")
@@ -197,12 +175,18 @@ def eligible_fingerprints(spark, d):
     return M.eligible(A.fingerprints(spark, d))
 
 
+@query("""WITH ev AS (SELECT * FROM fingerprints UNION ALL SELECT source + 1000, ix + 100, (ix + 100) * 400, bits, voiced FROM fingerprints WHERE ix < 48),
+    el AS (SELECT source FROM ev GROUP BY source HAVING count(*) <= 8000 AND count(DISTINCT bits) FILTER (voiced) >= 32),
+    g AS (SELECT * FROM ev JOIN el USING (source)),
+    votes AS (SELECT a.source, b.source AS peer, b.ix - a.ix AS shift FROM g a JOIN g b ON a.bits >> 20 = b.bits >> 20 AND a.source <> b.source GROUP BY ALL HAVING count(*) > 1),
+    diag AS (SELECT v.source, v.peer, v.shift, a.ix, a.t_ms, bit_count(xor(a.bits, b.bits)) AS d FROM votes v JOIN g a ON a.source = v.source JOIN g b ON b.source = v.peer AND b.ix = a.ix + v.shift),
+    near AS (SELECT *, avg(d) OVER (PARTITION BY source, peer, shift ORDER BY ix ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS mean FROM diag),
+    runs AS (SELECT *, ix - row_number() OVER (PARTITION BY source, peer, shift ORDER BY ix) AS run FROM near WHERE mean <= 6.4),
+    found AS (SELECT source, peer, min(t_ms) AS start_ms, max(t_ms) AS end_ms, avg(d) AS score FROM runs GROUP BY source, peer, shift, run)
+    SELECT source, peer, start_ms, end_ms, round(1 - score / 32, 6) AS quality FROM found WHERE end_ms - start_ms BETWEEN 15000 AND 300000 AND score <= 3.2""", "fingerprints")
 def repeated_intro(spark, d):
     """All series with each other, and with copies of each one's first 48 frames planted a hundred frames later in another source."""
     p = A.fingerprints(spark, d)
     planted = p.where("ix < 48").select((F.col("source") + 1000).alias("source"), (F.col("ix") + 100).alias("ix"), ((F.col("ix") + 100) * 400).alias("t_ms"), "bits", "voiced")
     every = p.select(*planted.columns).unionByName(planted)
     return M.align(every, every).withColumn("quality", F.round("quality", 6))
-
-
-REGISTRY.queries["repeated_intro"] = repeated_intro

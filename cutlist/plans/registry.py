@@ -23,6 +23,12 @@ class Registry:
 
         return file
 
+    def also(self, name: str, other: str) -> None:
+        """Files a query under a second name."""
+        self.queries[other] = self.queries[name]
+        if name in self.sql:
+            self.sql[other] = self.sql[name]
+
 
 def with_views(sql: str, *views: str) -> str:
     ctes = ", ".join(f"{'packets' if v == 'reordered' else v} AS ({SQL[v]})" for v in views)

@@ -174,29 +174,22 @@ def timed_text_samples(spark, d):
     return c.select("conv_id", "turn", "text", U.mov_text(F.col("text")).alias("sample"))
 
 
-@query(r"""WITH t AS (SELECT conv_id, turn, text, string_split(coalesce(text, ''), ' ') AS w FROM conversations)
-    SELECT conv_id, turn, trim(array_to_string(w[1:3], ' ')) || CASE WHEN len(w) > 3 AND trim(array_to_string(w[4:], ' ')) <> '' THEN chr(10) || trim(array_to_string(w[4:], ' ')) ELSE '' END AS plain FROM t WHERE text IS NOT NULL AND NOT regexp_matches(text, '[{}<>\n\r\t]') AND trim(array_to_string(w[1:3], ' ')) <> ''""")
+@query(r"""WITH t AS (SELECT conv_id, turn, row_number() OVER () AS r, '<i>' || text || '</i>{\pos{1}(2,3)}' || chr(10) || '  ' || text || ' <b' AS m FROM conversations),
+    p AS (SELECT r, regexp_extract_all(m, '[{}<>]|[^{}<>]+') AS p FROM t WHERE m IS NOT NULL),
+    f AS (SELECT r, 1 AS k, 0 AS deep, false AS tag, '' AS out FROM p
+      UNION ALL SELECT f.r, k + 1, deep + CASE WHEN tag THEN 0 WHEN p[k] = '{' THEN 1 WHEN p[k] = '}' AND deep > 0 THEN -1 ELSE 0 END, CASE WHEN tag THEN p[k] <> '>' ELSE p[k] = '<' AND deep = 0 END,
+        CASE WHEN NOT tag AND deep = 0 AND p[k] NOT IN ('{', '<') THEN out || p[k] ELSE out END FROM f JOIN p ON p.r = f.r AND k <= len(p)),
+    e AS (SELECT r, arg_max(out, k) AS out FROM f GROUP BY r)
+    SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split(replace(out, chr(13) || chr(10), chr(10)), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10)) AS plain FROM t LEFT JOIN e USING (r)""")
 def plain_texts(spark, d):
-    """Words between tags, groups and a line end."""
-    w = F.split("text", " ")
-    marked = F.concat(F.lit("<i>"), F.array_join(F.slice(w, 1, 3), " "), F.lit("</i>{\\pos{1}(2,3)}\n  "), F.coalesce(F.array_join(F.slice(w, 4, F.greatest(F.size(w), F.lit(1))), " "), F.lit("")), F.lit(" <b"))
-    c = A.table(spark, d, "conversations").where(r"text IS NOT NULL AND NOT text RLIKE '[{}<>\n\r\t]'").where("trim(array_join(slice(split(text, ' '), 1, 3), ' ')) <> ''")
-    return c.select("conv_id", "turn", U.plain_text(marked).alias("plain"))
-
-
-_GROUPS = "m"
-for _ in range(4):
-    _GROUPS = f"regexp_replace({_GROUPS}, '\\{{[^{{}}]*\\}}', '', 'g')"
-
-
-@query(rf"""WITH t AS (SELECT conv_id, turn, '<i>' || text || '</i>{{\pos{{1}}(2,3)}}' || chr(10) || '  ' || text || ' <b' AS m FROM conversations)
-    SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split(replace(regexp_replace({_GROUPS}, '<[^>]*(>|$)', '', 'g'), chr(13) || chr(10), chr(10)), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10)) AS plain FROM t""")
-def whole_plain_texts(spark, d):
     """J02, J05 over all texts, with their own lines, tags and groups."""
     marked = F.concat(F.lit("<i>"), "text", F.lit("</i>{\\pos{1}(2,3)}\n  "), "text", F.lit(" <b"))
     return A.table(spark, d, "conversations").select("conv_id", "turn", U.plain_text(marked).alias("plain"))
 
 
+REGISTRY.also("plain_texts", "whole_plain_texts")
+
+
 @query(f"""WITH {_T}, c AS (SELECT source, id, k AS chunk, k * 4000 AS s, 4000 AS d FROM t, range(0, 2) g(k) WHERE kind <> 'subtitle'),
     j AS (SELECT source, id, '[' || string_agg('{{"index":' || chunk || ',"startMs":' || s || ',"durationMs":' || d || '}}', ',' ORDER BY chunk) || ']' AS cs FROM c GROUP BY ALL)
     SELECT source, '{{"schemaVersion":2,"tracks":[' || string_agg('{{"id":"' || t.id || '","kind":"' || kind || '","codec":"' || family || '","chunks":' || coalesce(cs, '[]') || '}}', ',' ORDER BY ix) || ']}}' AS manifest FROM t LEFT JOIN j USING (source, id) GROUP BY source""", "tracks")
@@ -215,42 +208,23 @@ def requested_tracks(spark, d):
     return S.requested(t, t.select("source").distinct().withColumn("id", F.when(F.col("source") % 2 == 0, "a1").otherwise("v0")))
 
 
-@query("""WITH m AS (SELECT user_id AS source, event_id, event_id * 10 AS start_ms, event_id * 10 + 500 AS end_ms, 0.9::DOUBLE AS confidence, event_id % 3 AS reference_count, event_id % 2 AS seen FROM events WHERE event_id % 50 < 2)
+@query("""WITH m AS (SELECT user_id AS source, event_id, event_id * 10 AS start_ms, event_id * 10 + 500 AS end_ms, 0.9::DOUBLE AS confidence, event_id % 3 AS reference_count, event_id % 2 AS seen FROM events)
     SELECT source, start_ms, end_ms, confidence, reference_count, row_number() OVER (PARTITION BY source ORDER BY seen, event_id) - 1 AS ix FROM m""")
 def all_markers(spark, d):
     """H01."""
     from ..operators import markers as M
 
-    e = F.col("event_id")
-    m = A.table(spark, d, "events").where("event_id % 50 < 2").select(F.col("user_id").alias("source"), e.alias("ix"), (e * 10).alias("start_ms"), (e * 10 + 500).alias("end_ms"), F.lit(0.9).alias("confidence"), (e % 3).alias("reference_count"))
-    return M.all_markers(m.where("ix % 2 = 0"), m.where("ix % 2 = 1"))
-
-
-@query("""WITH m AS (SELECT user_id AS source, event_id, event_id * 10 AS start_ms, event_id * 10 + 500 AS end_ms, 0.9::DOUBLE AS confidence, event_id % 3 AS reference_count, event_id % 2 AS seen FROM events)
-    SELECT source, start_ms, end_ms, confidence, reference_count, row_number() OVER (PARTITION BY source ORDER BY seen, event_id) - 1 AS ix FROM m""")
-def whole_all_markers(spark, d):
-    """H01 over all rows."""
-    from ..operators import markers as M
-
     e = F.col("event_id")
     m = A.table(spark, d, "events").select(F.col("user_id").alias("source"), e.alias("ix"), (e * 10).alias("start_ms"), (e * 10 + 500).alias("end_ms"), F.lit(0.9).alias("confidence"), (e % 3).alias("reference_count"))
     return M.all_markers(m.where("ix % 2 = 0"), m.where("ix % 2 = 1"))
 
 
 @query("SELECT o_custkey AS source, count(*) <= 2 AND count(*) = count(DISTINCT o_orderkey % 50) AND NOT bool_or(o_orderkey % 50 = o_custkey) AS usable FROM orders GROUP BY o_custkey")
-def whole_usable_references(spark, d):
-    """H07 over all rows."""
-    from ..operators import markers as M
-
-    return M.usable_references(A.table(spark, d, "orders").select(F.col("o_custkey").alias("source"), (F.col("o_orderkey") % 50).alias("reference")))
-
-
-@query("SELECT o_custkey AS source, count(*) <= 2 AND count(*) = count(DISTINCT o_orderkey % 50) AND NOT bool_or(o_orderkey % 50 = o_custkey) AS usable FROM orders WHERE o_orderkey % 3 = 0 GROUP BY o_custkey")
 def usable_references(spark, d):
     """H07."""
     from ..operators import markers as M
 
-    return M.usable_references(A.table(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("source"), (F.col("o_orderkey") % 50).alias("reference")))
+    return M.usable_references(A.table(spark, d, "orders").select(F.col("o_custkey").alias("source"), (F.col("o_orderkey") % 50).alias("reference")))
 
 
 @query(f"WITH w AS (SELECT min(pts) + {2 * DAY} AS lo FROM packets) SELECT track, ix, pts, size FROM packets, w WHERE pts >= lo AND pts < lo + {DAY}", "reordered")
@@ -259,3 +233,7 @@ def packets_in_window(spark, d):
     p = A.packets(spark, d, reordered=True)
     first = p.agg(F.min("pts")).first()[0] + 2 * DAY
     return p.where((F.col("pts") >= first) & (F.col("pts") < first + DAY)).select("track", "ix", "pts", "size")
+
+
+REGISTRY.also("all_markers", "whole_all_markers")
+REGISTRY.also("usable_references", "whole_usable_references")

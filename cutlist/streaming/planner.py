@@ -7,7 +7,8 @@ ordered by ix; an ix at or below the last one seen is a repeat and is ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -77,3 +78,29 @@ def stream_new(samples: DataFrame) -> DataFrame:
         yield rows[["source", "time_ms", "text_like"]]
 
     return samples.select("source", "time_ms", "text_like").groupBy("source").applyInPandasWithState(step, "source long, time_ms long, text_like boolean", "latest long", "append", GroupStateTimeout.NoTimeout)
+
+
+def replayed(rows: DataFrame, lot: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a streaming form gives out for a table that arrives lot by lot, each lot a file and a batch of its own.
+
+    Input, checkpoint and results lie below spark.checkpoint.dir, which all machines share; a session on
+    one machine may do without.
+    """
+    spark = rows.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        import tempfile
+
+        base = "file://" + tempfile.mkdtemp(prefix="cutlist-")
+    top = f"{base.rstrip('/')}/replayed-{uuid.uuid4().hex}"
+    kept = rows.persist()
+    for k in sorted(r[0] for r in kept.select(lot).distinct().collect()):  # a few numbers: the lots
+        kept.where(kept[lot] == k).drop(lot).coalesce(1).write.mode("append").parquet(f"{top}/in")
+    kept.unpersist()
+    source = spark.readStream.schema(rows.drop(lot).schema).option("maxFilesPerTrigger", 1).parquet(f"{top}/in")
+    out = make(source)
+    run = out.writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/state").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{top}/out")
