@@ -46,6 +46,8 @@ SAMPLE, FREQUENT, MOST_FREQUENT = 64, 12, 1 << 16
 SHARES = 32
 #: Windows of a segment are counted in eight bits, so a gram is never more than so many symbols shorter than a window.
 MOST_WINDOWS = 255
+#: In place of an equal segment: what was decided on a content, that its other places go or not.
+AGAIN, NOTHING = -1, -2
 KEY = ["did", "chk"]
 
 
@@ -106,7 +108,7 @@ class Method:
     #: from the segment's start, and for each row whether the other places of its content go as well.
     compare: Callable
     #: Bytes of segments that are compared at a time.
-    most: int = 2 << 20
+    most: int = 4 << 20
 
 
 def segments(units: Units, method: Method, frequent: Frequent | None = None):
@@ -144,7 +146,7 @@ def segments(units: Units, method: Method, frequent: Frequent | None = None):
         d = doc[head]
         fresh = np.ones(len(head), bool)
         fresh[1:] = (d[1:] != d[:-1]) | (start[1:] != start[:-1] + n[:-1]) | (n[1:] != n[:-1]) | (h[1:] != h[:-1])
-        lead = np.flatnonzero(fresh)
+        lead = np.flatnonzero(fresh)  # at most BLOCK windows are one row
         found.append((d[lead], start[lead] + at - first[d[lead]], n[lead], grams[anchor[head]][lead], h[lead], np.diff(np.append(lead, len(head)))))
     if not found:
         none = np.zeros(0, np.int64)
@@ -155,14 +157,16 @@ def segments(units: Units, method: Method, frequent: Frequent | None = None):
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """nn, did, chk, text and the columns of `keep` under their places' names.
 
-    A document's key is its id and 64 bits of its text's hash, or 128 bits of that hash where the
-    id is null, so rows that repeat an id are documents of their own, and so are those without
-    one. nn is 0 without an id and 1 with one: null ids stand before all others.
+    A document's key is its id, with 64 bits of its text's hash if any id stands twice, or 128 bits of that
+    hash where the id is null; so rows that repeat an id are documents of their own, and so are
+    those without one. nn is 0 without an id and 1 with one: null ids stand before all others.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = F.col(id_col).cast("long")
     did = F.coalesce(own, F.xxhash64(F.lit("a document without id"), text))
-    return docs.select(own.isNotNull().cast("int").alias("nn"), did.alias("did"), F.xxhash64(text).alias("chk"), text.alias("text"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)])
+    unique = docs.select(own.alias("did")).where("did IS NOT NULL").groupBy("did").count().where("count > 1").isEmpty()
+    chk = F.when(own.isNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("long")) if unique else F.xxhash64(text)
+    return docs.select(own.isNotNull().cast("int").alias("nn"), did.alias("did"), chk.alias("chk"), text.alias("text"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)])
 
 
 def public_id(nn: str = "nn", did: str = "did"):
@@ -240,7 +244,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Iter
 def find(rows: DataFrame, method: Method) -> DataFrame:
     """(did, chk, spans, carried): for documents with something to remove, its intervals of symbols.
 
-    `spans` are lists of packed int64 pairs from comparisons, `carried` (start, end) of equal segments. `rows`
+    `spans` are lists of packed int64 pairs from comparisons, `carried` starts and lengths of equal segments. `rows`
     are keyed(); they are shuffled by key here, and a caller that joins them with the result by
     key reads the same exchange.
     """
@@ -252,20 +256,21 @@ def find(rows: DataFrame, method: Method) -> DataFrame:
     seen = _occurrences(rows, method, frequent).repartition("g", "share").withColumn("c", F.sum("reps").over(here)).where("c > 1 OR share > 0")
     seen = seen.withColumns({"place": F.row_number().over(by), "times": F.sum("reps").over(same)})
     start, n = F.shiftright("at", 8).bitwiseAND((1 << 36) - 1), F.col("at").bitwiseAND(255)
+    content = F.xxhash64("g", "h", "share")
     # the first of each content is compared; the others, and repeats in a row, follow what is decided on it
     size = F.sum(F.when(F.col("place") == 1, n + (window - 1 + 64))).over(here)
     lead = seen.withColumn("blocks", F.when(F.col("share") == 0, F.ceil(size / F.lit(method.most))).otherwise(F.lit(0)).cast("int")).where("place = 1")
-    lists = lead.groupBy("did", "chk").agg(F.collect_list(F.struct("g", "h", start.alias("start"), n.alias("n"), F.least("times", F.lit(2)).cast("int").alias("times"), "share", "blocks")).alias("own"))
+    lists = lead.groupBy("did", "chk").agg(F.collect_list(F.struct("g", content.alias("content"), start.alias("start"), n.alias("n"), F.least("times", F.lit(2)).cast("int").alias("times"), "share", "blocks")).alias("own"))
     wanted = rows.select("nn", "did", "chk", "text", *[c for c in rows.columns if c.startswith("_keep_")]).join(lists, KEY)
-    names = ["key", "g", "h", "share", "nn", "did", "chk", "start", "n", "times", "data"]
-    schema = "key long, g long, h long, share long, nn long, did long, chk long, start long, n long, times long, data binary"
+    names = ["key", "content", "nn", "did", "chk", "start", "n", "times", "data"]
+    schema = ", ".join(f"{c} long" for c in names[:-1]) + ", data binary"
 
     def fetch(batches):
         for b in slices(batches, "text"):
             units = method.units(*flat(b.column("text")))
             own = b.column("own")
             item, count = own.flatten(), np.diff(own.offsets.to_numpy())
-            g, h, start, n, times, share, cuts = (item.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(7))
+            g, content, start, n, times, share, cuts = (item.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(7))
             row = np.repeat(np.arange(b.num_rows), count)
             nn, did, chk = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[row] for c in ("nn", "did", "chk"))
             place = units.first[row] + start
@@ -281,12 +286,12 @@ def find(rows: DataFrame, method: Method) -> DataFrame:
             key = np.where(cuts[each] == 1, g[each], mix(g[each].view(np.uint64) ^ mix((low << 32 | high).astype(np.uint64))).view(np.int64))
             for k in range(0, len(each), 4096):
                 at = each[k : k + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 4096]), *[pa.array(c[at]) for c in (g, h, share, nn, did, chk, start, n, times)], data.take(pa.array(at))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 4096]), *[pa.array(c[at]) for c in (content, nn, did, chk, start, n, times)], data.take(pa.array(at))], names)
 
     fetched = wanted.mapInArrow(fetch, schema)
 
     def compare(batches):
-        out = ["g", "h", "share", "did", "chk", "again", "data"]
+        out = ["content", "did", "chk", "span", "data"]
         for t in whole_groups(batches, "key", method.most):
             t = t.combine_chunks()
             row, s, e, again = method.compare(t)
@@ -296,20 +301,20 @@ def find(rows: DataFrame, method: Method) -> DataFrame:
             cuts = np.searchsorted(row, told), np.searchsorted(row, told, "right")
             data = [pairs[a:z].tobytes() if z > a else None for a, z in zip(*(c.tolist() for c in cuts))]
             if len(told):
-                yield pa.RecordBatch.from_arrays([*[pa.array(t.column(c).to_numpy()[told]) for c in out[:5]], pa.array(again[told]), pa.array(data, pa.binary())], out)
+                yield pa.RecordBatch.from_arrays([*[pa.array(t.column(c).to_numpy()[told]) for c in out[:3]], pa.array(np.where(again[told], AGAIN, NOTHING)), pa.array(data, pa.binary())], out)
 
-    compared = fetched.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "g long, h long, share long, did long, chk long, again boolean, data binary")
-    none = lambda kind: F.lit(None).cast(kind)
+    compared = fetched.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "content long, did long, chk long, span long, data binary")
+    # where an equal segment lies: its start above the lower 28 bits, which hold its length
     begin = F.when(F.col("place") > 1, start).otherwise(start + n)
-    others = seen.where("place > 1 OR reps > 1").select("g", "h", F.col("share").cast("long").alias("share"), "did", "chk", none("boolean").alias("again"), none("binary").alias("data"), F.struct(begin.alias("s"), (start + n * F.col("reps") + (window - 1)).alias("e")).alias("span"))
-    both = compared.withColumn("span", none("struct<s:bigint,e:bigint>")).unionByName(others)
-    decided = both.withColumn("gone", F.max("again").over(W.partitionBy("g", "h", "share"))).where("data IS NOT NULL OR (span IS NOT NULL AND gone)")
+    others = seen.where("place > 1 OR reps > 1").select(content.alias("content"), "did", "chk", (F.shiftleft(begin, 28) + (start + n * F.col("reps") + (window - 1)) - begin).alias("span"), F.lit(None).cast("binary").alias("data"))
+    both = compared.unionByName(others).withColumn("gone", F.max(F.col("span") == AGAIN).over(W.partitionBy("content")))
+    decided = both.where("data IS NOT NULL OR (span >= 0 AND gone)").withColumn("span", F.when(F.col("span") >= 0, F.col("span")))
     return decided.groupBy("did", "chk").agg(F.collect_list("data").alias("spans"), F.collect_list("span").alias("carried"))
 
 
-def intervals(spans: list[bytes] | None, carried: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
+def intervals(spans: list[bytes] | None, carried: list[int] | None) -> tuple[np.ndarray, np.ndarray]:
     """Union of a document's lists of intervals."""
     raw = np.frombuffer(b"".join(spans or ()), "<i8").reshape(-1, 2)
-    more = np.array([(x["s"], x["e"]) for x in carried or ()], np.int64).reshape(-1, 2)
-    both = np.concatenate([raw, more])
-    return union(both[:, 0], both[:, 1])
+    more = np.array(carried or (), np.int64)
+    start = more >> 28
+    return union(np.append(raw[:, 0], start), np.append(raw[:, 1], start + (more & ((1 << 28) - 1))))

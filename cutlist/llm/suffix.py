@@ -27,10 +27,7 @@ GRAM = 16
 def words_of(text: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on, as one big-endian number; zeros follow the end."""
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    out = np.zeros(len(text), np.uint64)
-    for k in range(8):
-        out = (out << np.uint64(8)) | padded[k : k + len(text)]
-    return out
+    return np.ndarray((len(text),), ">u8", padded, strides=(1,)).astype(np.uint64)
 
 
 def smaller_than_next(text: np.ndarray) -> np.ndarray:
@@ -58,15 +55,24 @@ def _direct(at: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
             break
         place = at[live] + k
         key = np.where(place <= last, words[np.minimum(place, last)], 0)
-        o = np.lexsort((key, group[live]))
-        at[live] = at[live][o]
-        key, g = key[o], group[live]
+        g = group[live]
+        # groups that differ here have to be ordered; equal ones stay as they are
+        uneven = (g[1:] == g[:-1]) & (key[1:] != key[:-1])
+        if not uneven.any():
+            continue
+        new = np.append(0, np.cumsum(g[1:] != g[:-1]))
+        differs = np.zeros(new[-1] + 1, bool)
+        differs[new[1:][uneven]] = True
+        own = np.flatnonzero(differs[new])
+        o = own[np.lexsort((key[own], g[own]))]
+        at[live[own]] = at[live[o]]
+        key[own] = key[o]
         group[live] = np.cumsum(np.append(0, (key[1:] != key[:-1]) | (g[1:] != g[:-1])))
     return at
 
 
-def two_stage(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
-    """The wanted suffixes (a mask) in order of their first `depth` bytes."""
+def two_stage(text: np.ndarray, wanted: np.ndarray, depth: int, words: np.ndarray) -> np.ndarray:
+    """The wanted suffixes (a mask) in order of their first `depth` bytes; `words` are words_of(text)."""
     n = len(text)
     rises = smaller_than_next(text)
     # a suffix that is not smaller than its successor is placed by it, so its whole chain is needed
@@ -77,7 +83,6 @@ def two_stage(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
         run = run[~need[run]]
         need[run] = True
         run = run[~rises[run]]
-    words = words_of(text)
     direct = _direct(np.flatnonzero(need & rises), words, depth)
     cut = np.searchsorted(text[direct], np.arange(257))
     placed: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -109,9 +114,8 @@ def two_stage(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
     return order[wanted[order]]
 
 
-def alike(order: np.ndarray, text: np.ndarray, depth: int) -> np.ndarray:
+def alike(order: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
     """For each suffix but the first, whether its common prefix with the one before is `depth` bytes or more."""
-    words = words_of(text)
     live = np.arange(1, len(order))
     for k in [*range(0, depth - 7, 8), depth - 8]:
         live = live[words[order[live] + k] == words[order[live - 1] + k]]
@@ -130,18 +134,20 @@ def repeats(table: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray, np.nd
     copy = np.arange(len(source)) >= len(times)
     wanted = np.zeros(len(text), bool)
     wanted[ragged(off[:-1], n)] = True
-    order = two_stage(text, wanted, window)
-    same = alike(order, text, window)
+    words = words_of(text)
+    order = two_stage(text, wanted, window, words)
+    same = alike(order, words, window)
     keep = np.zeros(len(order), bool)
     keep[1:] |= same
     keep[:-1] |= same
-    group = np.cumsum(np.append(0, ~same))[keep] if len(order) else np.zeros(0, np.int64)
     at = order[keep]
     row = np.searchsorted(off, at, "right") - 1
-    place = start[row] + at - off[row]
-    o = np.lexsort((copy[row], place, chk[row], did[row], nn[row], group))
-    later = np.append(False, group[o][1:] == group[o][:-1]) if len(o) else np.zeros(0, bool)
-    at = np.sort(at[o][later])
+    # windows in order of documents and places, a copy behind its original
+    _, doc = np.unique(np.rec.fromarrays([nn, did, chk]), return_inverse=True)
+    rank = (doc[row] << 37) | ((start[row] + at - off[row]) << 1) | copy[row]
+    head = np.flatnonzero(np.append(True, ~same)[keep])
+    least = np.repeat(np.minimum.reduceat(rank, head), np.diff(np.append(head, len(rank)))) if len(rank) else rank
+    at = np.sort(at[rank != least])
     row = np.searchsorted(off, at, "right") - 1
     whole = np.bincount(row, minlength=len(source)) == n
     again = np.zeros(len(times), bool)

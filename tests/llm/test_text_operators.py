@@ -92,7 +92,7 @@ def test_two_stage_order():
     for alphabet in (b"ab", b"abc\x00\xff", bytes(range(256))):
         raw = bytes(rng.choice(alphabet) for _ in range(700)) + b"aaaa" * 40
         text = np.frombuffer(raw, np.uint8)
-        got = suffix.two_stage(text, np.ones(len(raw), bool), 200).tolist()
+        got = suffix.two_stage(text, np.ones(len(raw), bool), 200, suffix.words_of(text)).tolist()
         pad = raw + bytes(0)
         assert [pad[i : i + 200] for i in got] == sorted(pad[i : i + 200] for i in range(len(raw)))
 
