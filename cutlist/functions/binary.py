@@ -102,3 +102,30 @@ def aac_config(data: Column) -> Column:
 def ac3_config(data: Column) -> Column:
     """Struct sample_rate, channels, kbps, bsid of a dac3 box; null parts where a code is reserved."""
     return F.struct(_nth(AC3_RATES, bits(data, 0, 2)).alias("sample_rate"), (_nth(AC3_CHANNELS, bits(data, 10, 3)) + bits(data, 13, 1)).cast("int").alias("channels"), _nth(AC3_KBPS, bits(data, 14, 5)).alias("kbps"), bits(data, 2, 5).cast("int").alias("bsid"))
+
+
+#: Half rates of E-AC-3, blocks by code, DTS rates and bit rates by code, and channels by arrangement.
+HALF_RATES, EAC3_BLOCKS = (24000, 22050, 16000), (1, 2, 3, 6)
+DTS_RATES = (None, 8000, 16000, 32000, None, None, 11025, 22050, 44100, None, None, 12000, 24000, 48000, None, None)
+DTS_CHANNELS = (1, 2, 2, 2, 2, 3, 3, 4, 4, 5, 6, 6, 6, 7, 8, 8)
+
+
+def eac3_header(frame: Column) -> Column:
+    """Struct frame_type, substream, frame_bytes, sample_rate, blocks, channels of an E-AC-3 frame; null without its sync word.
+
+    A rate code of 3 means half of a second code's rate, and always six blocks.
+    """
+    half = bits(frame, 32, 2) == 3
+    rate = F.when(half, _nth(HALF_RATES, bits(frame, 34, 2))).otherwise(_nth(AC3_RATES, bits(frame, 32, 2)))
+    blocks = F.when(half, 6).otherwise(_nth(EAC3_BLOCKS, bits(frame, 34, 2)))
+    channels = _nth(AC3_CHANNELS, bits(frame, 36, 3)) + bits(frame, 39, 1)
+    made = F.struct(bits(frame, 16, 2).cast("int").alias("frame_type"), bits(frame, 18, 3).cast("int").alias("substream"), ((bits(frame, 21, 11) + 1) * 2).cast("int").alias("frame_bytes"), rate.cast("int").alias("sample_rate"), blocks.cast("int").alias("blocks"), channels.cast("int").alias("channels"))
+    return F.when((bits(frame, 0, 16) == 0x0B77) & bits(frame, 32, 8).isNotNull(), made)
+
+
+def dts_header(frame: Column) -> Column:
+    """Struct blocks, frame_bytes, arrangement, sample_rate, lfe, channels of a DTS core frame; null without its sync word or cut short."""
+    lfe = bits(frame, 85, 2) > 0
+    rate = F.element_at(F.array(*[F.lit(v).cast("int") for v in DTS_RATES]), bits(frame, 66, 4).cast("int") + 1)
+    made = F.struct((bits(frame, 39, 7) + 1).cast("int").alias("blocks"), (bits(frame, 46, 14) + 1).cast("int").alias("frame_bytes"), bits(frame, 60, 6).cast("int").alias("arrangement"), rate.alias("sample_rate"), lfe.alias("lfe"), (_nth(DTS_CHANNELS, bits(frame, 60, 6)) + lfe.cast("int")).cast("int").alias("channels"))
+    return F.when((uint(frame, 0, 4) == 0x7FFE8001) & (F.octet_length(frame) >= 12), made)

@@ -127,3 +127,10 @@ def mov_text(text: Column) -> Column:
     """A timed-text sample in hex: two bytes of length, then UTF-8; null for empty text or more than 65,535 bytes."""
     n = F.octet_length(text)
     return F.when((n > 0) & (n <= 65_535), F.concat(F.lpad(F.hex(n.cast("bigint")), 4, "0"), F.hex(F.encode(text, "UTF-8"))))
+
+
+def color_classes(cues: DataFrame, most: int = 4096) -> DataFrame:
+    """(track, colors): the different colours that a track's cues name by class, in order; null where they are more than `most`."""
+    named = cues.select("track", F.explode(F.regexp_extract_all("text", F.lit(r"<c\.ttmlc([0-9a-f]{6})>"), F.lit(1))).alias("color"))
+    got = named.groupBy("track").agg(F.array_sort(F.collect_set("color")).alias("colors"))
+    return got.select("track", F.when(F.size("colors") <= most, F.col("colors")).alias("colors"))

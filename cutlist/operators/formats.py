@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import timing
+from ..functions.binary import rows, uint
 from .cues import plain_text
 
 
@@ -163,3 +164,95 @@ def sami(files: DataFrame) -> DataFrame:
     cues = cues.where(F.trim(F.regexp_replace("text", r"&nbsp;|&#160;|\s", "")) != "")
     ix = F.row_number().over(W.partitionBy("track", "class").orderBy("k")) - 1
     return cues.select("track", "class", ix.cast("bigint").alias("ix"), "start_ms", "end_ms", F.trim("text").alias("text"))
+
+
+def sami_classes(files: DataFrame) -> DataFrame:
+    """(track, class, language, name): what the style sheets of SAMI files say about each class; the last rule of a class counts."""
+    sheet = F.array_join(F.regexp_extract_all("text", F.lit(r"(?is)<style\b[^>]*>(.*?)</style>"), F.lit(1)), "\n")
+    rules = files.select("track", F.posexplode(F.regexp_extract_all(sheet, F.lit(r"\.([A-Za-z0-9_-]+\s*\{[^}]*)\}"), F.lit(1))).alias("k", "rule"))
+    said = lambda name: F.nullif(F.trim(F.regexp_extract("rule", rf"""(?i)[{{;]\s*{name}\s*:\s*['"]?([^;'"}}]*)""", 1)), F.lit(""))
+    parts = rules.select("track", "k", F.trim(F.regexp_extract("rule", r"^([^{\s]*)", 1)).alias("class"), said("lang").alias("language"), said("name").alias("name"))
+    return parts.groupBy("track", "class").agg(F.max_by("language", "k").alias("language"), F.max_by("name", "k").alias("name"))
+
+
+#: What the bits of a face mean, from the inside out.
+FACES = ((4, "u"), (2, "i"), (1, "b"))
+
+
+def _faced(text: Column, face: Column) -> Column:
+    for code, sign in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(code), F.lit(sign))
+    for bit, tag in FACES:
+        text = F.when(face.bitwiseAND(bit) > 0, F.concat(F.lit(f"<{tag}>"), text, F.lit(f"</{tag}>"))).otherwise(text)
+    return text
+
+
+def styled_text(payload: Column, face: Column | int = 0) -> Column:
+    """Text of a timed-text sample with its runs of bold, italic and underlined characters; null where the sample is broken.
+
+    Runs come out of a `styl` box right behind the text: first and last character, font, face, size and colour.
+    They must not overlap, and lie within the text; what they leave has the face given. Places count
+    characters, so that texts beyond the basic plane, where they count halves, have no runs here.
+    """
+    face = F.lit(face) if isinstance(face, int) else face
+    length = uint(payload, 0, 2)
+    text = F.when(F.octet_length(payload) >= length + 2, F.substring(payload, F.lit(3), length.cast("int")).cast("string"))
+    box = F.substring(payload, (length + 3).cast("int"), F.octet_length(payload))
+    styled = (F.substring(box, 5, 4).cast("string") == "styl") & (uint(box, 0, 4) == F.octet_length(box)) & (F.octet_length(box) == 10 + uint(box, 8, 2) * 12)
+    runs = F.array_sort(F.when(styled, rows(box, 10, uint(box, 8, 2), (2, 2, 2, 1, 1, 4))))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"), F.lit(True).alias("good"))
+
+    def step(s: Column, r: Column) -> Column:
+        fits = s["good"] & (r["f0"] >= s["at"]) & (r["f1"] > r["f0"]) & (r["f1"] <= F.length(text)) & (r["f3"] < 8)
+        piece = lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))
+        between = F.when(r["f0"] > s["at"], _faced(piece(s["at"], r["f0"]), face)).otherwise("")
+        return F.struct(r["f1"].alias("at"), F.concat(s["out"], between, _faced(piece(r["f0"], r["f1"]), r["f3"])).alias("out"), fits.alias("good"))
+
+    def done(s: Column) -> Column:
+        rest = F.when(s["at"] < F.length(text), _faced(F.substring(text, (s["at"] + 1).cast("int"), F.length(text)), face)).otherwise("")
+        return F.when(s["good"], F.concat(s["out"], rest))
+
+    plain = F.when(F.octet_length(box) == 0, _faced(text, face))
+    return F.nullif(F.coalesce(plain, F.aggregate(runs, start, step, done)), F.lit(""))
+
+
+def webvtt_samples(samples: DataFrame) -> DataFrame:
+    """(track, ix, start_ms, end_ms, payload) -> (track, ix, k, start_ms, end_ms, id, settings, text): the cues of MP4 samples of WebVTT.
+
+    A sample is a list of boxes: `vttc` holds a cue's text, settings and identifier, `vtte` says that nothing is
+    shown. A cue without text, or a sample that a box leads out of, gives nothing.
+    """
+
+    def boxes(data: memoryview):
+        at = 0
+        while at + 8 <= len(data):
+            size = int.from_bytes(data[at : at + 4], "big")
+            if size < 8 or at + size > len(data):
+                break
+            yield bytes(data[at + 4 : at + 8]), data[at + 8 : at + size]
+            at += size
+        if at != len(data):
+            raise ValueError("a box leads out of its sample")
+
+    def cues(raw: bytes):
+        out = []
+        for name, body in boxes(memoryview(raw)):
+            if name == b"vttc":
+                parts = {k: bytes(v).decode() for k, v in boxes(body)}
+                out.append((parts.get(b"iden"), parts.get(b"sttg"), parts.get(b"payl")))
+        return out
+
+    def run(batches):
+        for b in batches:
+            made = []
+            for row in b.to_pylist():
+                try:
+                    found = cues(row["payload"] or b"")
+                except ValueError:
+                    continue
+                made += [{**{c: row[c] for c in ("track", "ix", "start_ms", "end_ms")}, "k": k, "id": i, "settings": s, "text": t} for k, (i, s, t) in enumerate(found) if t]
+            if made:
+                yield pa.RecordBatch.from_pylist(made, schema=wanted)
+
+    wanted = pa.schema([("track", pa.int64()), ("ix", pa.int64()), ("k", pa.int64()), ("start_ms", pa.int64()), ("end_ms", pa.int64()), ("id", pa.string()), ("settings", pa.string()), ("text", pa.string())])
+    return samples.select("track", "ix", "start_ms", "end_ms", "payload").mapInArrow(run, "track long, ix long, k long, start_ms long, end_ms long, id string, settings string, text string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.timing import minus
-from .asof import overlapping
+from .asof import latest, overlapping
 from .fold import ordered_fold
 
 #: Fixed values of the rules, in milliseconds and shares.
@@ -209,6 +209,46 @@ def nearest_frame(frames: DataFrame, requests: DataFrame, reach: int = 200) -> D
     return near.groupBy("source", "time_ms").agg(F.min_by(F.struct("ix", "frame_ms"), F.struct("d", "ix")).alias("f")).select("source", "time_ms", "f.ix", "f.frame_ms")
 
 
+def decoded_frame(frames: DataFrame, requests: DataFrame, reach: int = 200) -> DataFrame:
+    """As nearest_frame, over frames that a reader has who starts at the last keyframe at or before the request.
+
+    Frames carry `keyframe`; a request before every keyframe starts at the first frame.
+    """
+    begun = latest(frames.where("keyframe"), requests.select("source", "time_ms"), ["source"], "time_ms", "ix", F.col("ix")).select("source", "time_ms", F.coalesce("found", F.lit(0)).alias("first_ix")).distinct()
+    f = frames.select("source", "ix", F.col("time_ms").alias("frame_ms"), F.floor(F.col("time_ms") / reach).alias("bucket"))
+    r = begun.withColumn("b", F.floor(F.col("time_ms") / reach)).withColumn("bucket", F.explode(F.sequence(F.col("b") - 1, F.col("b") + 1)))
+    near = r.join(f, ["source", "bucket"]).withColumn("d", F.abs(F.col("frame_ms") - F.col("time_ms"))).where((F.col("d") <= reach) & (F.col("ix") >= F.col("first_ix")))
+    return near.groupBy("source", "time_ms").agg(F.min_by(F.struct("ix", "frame_ms"), F.struct("d", "ix")).alias("f")).select("source", "time_ms", "f.ix", "f.frame_ms")
+
+
+def peer_windows(found: DataFrame, windows: DataFrame) -> DataFrame:
+    """(source, window, start_ms, end_ms, quality): for each window of a source, the best stretch that both peers repeat.
+
+    `found` are matches (source, window, side, peer, peer_window, start_ms, end_ms, quality, ix) of a source's window with
+    each window of its two peers, sides 0 and 1. Outside a peer's first window or the source's own a match
+    counts only if it lies where credits do; `windows` (source, window, end_ms) say where each ends.
+    """
+    ends = windows.select(F.col("source").alias("peer"), F.col("window").alias("peer_window"), F.col("end_ms").alias("peer_end"))
+    own = windows.select("source", "window", F.col("end_ms").alias("own_end"))
+    late = lambda end: terminal(F.col("start_ms"), F.col("end_ms"), F.col(end))
+    good = found.join(ends, ["peer", "peer_window"]).join(own, ["source", "window"]).where(((F.col("peer_window") == 0) | late("peer_end")) & ((F.col("window") == 0) | late("own_end")))
+    key = good.withColumn("whose", F.struct("source", "window")).select(F.col("whose").alias("source"), "side", "start_ms", "end_ms", "quality", F.struct("peer_window", "ix").alias("ix"))
+    both = consensus(key.where("side = 0").drop("side"), key.where("side = 1").drop("side"))
+    return best_match(both).select("source.source", "source.window", "start_ms", "end_ms", "quality")
+
+
+def print_gaps(prints: DataFrame, most: int = 150) -> DataFrame:
+    """(source, packets, broken): whether each packet of samples (source, ix, pts, samples, rate) begins where those before it end, within `most` ms.
+
+    `broken` is the first that does not. What is expected counts from the first packet on, so that packets may be cut anywhere.
+    """
+    by = W.partitionBy("source").orderBy("ix")
+    before = F.coalesce(F.sum("samples").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    expected = F.first("pts").over(by) + (before * 1000 - before * 1000 % F.col("rate")) / F.col("rate")
+    rows = prints.withColumn("bad", F.abs(expected - F.col("pts")) > most)
+    return rows.groupBy("source").agg(F.count("*").alias("packets"), F.min(F.when(F.col("bad"), F.col("ix"))).alias("broken"))
+
+
 def all_markers(heard: DataFrame, seen: DataFrame) -> DataFrame:
     """Markers of both detectors, those of sound first, numbered by `ix` within their source."""
     cols = ("source", "start_ms", "end_ms", "confidence", "reference_count")

@@ -265,3 +265,110 @@ def resumed_scan(spark, d):
     o = o.withColumn("k", F.ntile(3).over(by) - 1)
     lots = o.withColumn("lot", F.explode(F.sequence(F.col("k"), F.lit(2)))).drop("k")
     return planner.replayed(lots, "lot", planner.stream_new)
+
+
+@query(f"""WITH {M.ITEMS} SELECT o, ix, (step % 3)::INT AS frame_type, (ix % 8)::INT AS substream, (size * 20)::INT AS frame_bytes, CASE WHEN o % 4 = 3 THEN [24000, 22050, 16000][shift + 1] ELSE [48000, 44100, 32000][o % 4 + 1] END AS sample_rate,
+    CASE WHEN o % 4 = 3 THEN 6 ELSE [1, 2, 3, 6][shift + 1] END AS blocks, ([2, 1, 2, 3, 3, 4, 4, 5][step % 8 + 1] + ix % 2)::INT AS channels FROM items""")
+def eac3_headers(spark, d):
+    """K11, E-AC-3."""
+    i = M.items(spark, d)
+    word = F.col("step") % 3 * 2**14 + F.col("ix") % 8 * 2**11 + F.col("size") * 10 - 1
+    second = F.col("o") % 4 * 64 + F.col("shift") * 16 + F.col("step") % 8 * 2 + F.col("ix") % 2
+    frame = F.unhex(F.concat(F.lit("0B77"), M.num(word, 2), M.num(second, 1)))
+    return i.select("o", "ix", B.eac3_header(frame).alias("h")).select("o", "ix", "h.*")
+
+
+@query(f"""WITH {M.ITEMS} SELECT o, ix, (size + 1)::INT AS blocks, (size * 100 + 1)::INT AS frame_bytes, (step % 16)::INT AS arrangement, [NULL, 8000, 16000, 32000, NULL, NULL, 11025, 22050, 44100, NULL, NULL, 12000, 24000, 48000, NULL, NULL][o % 16 + 1] AS sample_rate,
+    shift > 0 AS lfe, ([1, 2, 2, 2, 2, 3, 3, 4, 4, 5, 6, 6, 6, 7, 8, 8][step % 16 + 1] + (shift > 0)::INT)::INT AS channels FROM items""")
+def dts_headers(spark, d):
+    """K11, DTS."""
+    i = M.items(spark, d)
+    # 7 bits of head, 7 of blocks, 14 of bytes, 6 of arrangement, 4 of rate, 15 others, 2 of the bass channel and 9 to fill
+    low = ((((F.lit(0) * 128 + F.col("size")) * 2**14 + F.col("size") * 100) * 64 + F.col("step") % 16) * 16 + F.col("o") % 16).cast("bigint")
+    frame = F.unhex(F.concat(F.lit("7FFE8001"), M.num(low * 4, 5), M.num(F.col("shift") * 2**9, 3)))
+    return i.select("o", "ix", B.dts_header(frame).alias("h")).select("o", "ix", "h.*")
+
+
+@query(f"""WITH {_SAID} SELECT track, ix, CASE track % 4 WHEN 0 THEN t WHEN 1 THEN '<b>' || t[1:1] || '</b>' || t[2:] WHEN 2 THEN t[1:1] || '<i><u>' || t[2:2] || '</u></i>' || CASE WHEN length(t) > 2 THEN t[3:] ELSE '' END END AS text FROM said""", "cues")
+def styled_texts(spark, d):
+    """Runs of faces in timed text; a quarter of the tracks have runs that overlap."""
+    k = F.col("track") % 4
+    run = lambda a, b, face: F.concat(M.num(a, 2), M.num(b, 2), F.lit("0001"), M.num(face, 1), F.lit("12FFFFFFFF"))
+    runs = F.when(k == 1, run(0, 1, 1)).when(k == 2, run(1, 2, 6)).otherwise(F.concat(run(0, 2, 1), run(1, 2, 2)))
+    count = F.when(k == 3, 2).otherwise(1)
+    box = F.when(k == 0, F.lit("")).otherwise(F.concat(M.num(F.length(runs) / 2 + 10, 4), M.text("styl"), M.num(count, 2), runs))
+    payload = F.unhex(F.concat(M.num(F.octet_length("t"), 2), M.text(F.col("t")), box))
+    return _said(spark, d).select("track", "ix", O.styled_text(payload).alias("text"))
+
+
+@query(f"WITH {_SAID} SELECT track, ix, k::BIGINT AS k, s AS start_ms, e AS end_ms, CASE WHEN k = 0 THEN ix::VARCHAR END AS id, CASE WHEN track % 2 = 0 THEN 'line:1' END AS settings, t || CASE WHEN k = 1 THEN ' b' ELSE '' END AS text FROM said, range(0, 2) g(k) WHERE ix % 4 < 2 OR (ix % 4 = 2 AND k = 0)", "cues")
+def webvtt_sample_cues(spark, d):
+    """MP4 samples of WebVTT with two cues, one cue, or a box too long."""
+    raw = lambda name, body: M.box(name, M.text(body))
+    settings = F.when(F.col("track") % 2 == 0, raw("sttg", "line:1")).otherwise("")
+    one = M.box("vttc", raw("iden", F.col("ix").cast("string")), settings, raw("payl", F.col("t")))
+    two = M.box("vttc", settings, raw("payl", F.concat("t", F.lit(" b"))))
+    body = F.when(F.col("ix") % 4 < 2, F.concat(one, two)).when(F.col("ix") % 4 == 2, F.concat(one, M.box("vtte"), M.box("vttc", settings))).otherwise(F.concat(one, F.lit("000000FF76747465")))
+    rows = _said(spark, d).select("track", "ix", F.col("s").alias("start_ms"), F.col("e").alias("end_ms"), F.unhex(body).alias("payload"))
+    return O.webvtt_samples(rows)
+
+
+@query("SELECT o_custkey AS track, list_sort(list_distinct(array_agg(printf('%06x', o_orderkey % 16777216)))) AS colors FROM orders WHERE o_orderkey % 5 > 0 GROUP BY o_custkey")
+def color_classes(spark, d):
+    """A cue in five names no colour."""
+    from ..operators import cues as U
+
+    o = F.col("o_orderkey")
+    tag = F.when(o % 5 > 0, F.concat(F.lit("<c.ttmlc"), F.lower(F.lpad(F.hex(o % 16777216), 6, "0")), F.lit(">x</c> y"))).otherwise("<i>x</i>")
+    return U.color_classes(A.table(spark, d, "orders").select(F.col("o_custkey").alias("track"), tag.alias("text")))
+
+
+@query("SELECT s_suppkey AS track, c AS class, CASE WHEN c = 'ENCC' THEN 'en-US' ELSE 'ja' END AS language, CASE WHEN c = 'ENCC' THEN s_name END AS name FROM supplier, (VALUES ('ENCC'), ('JPCC')) v(c)")
+def sami_styles(spark, d):
+    """Languages and names of classes."""
+    sheet = F.concat(F.lit('<SAMI><HEAD><STYLE TYPE="text/css"><!--\nP {color: white}\n.ENCC { Name: "'), "s_name", F.lit('"; lang: en-US; SAMIType: CC; }\n.JPCC {lang:ja}\n--></STYLE></HEAD><BODY></BODY></SAMI>'))
+    return O.sami_classes(A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("track"), sheet.alias("text")))
+
+
+@query("""WITH f AS (SELECT l_orderkey AS source, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax) - 1 AS ix FROM lineitem),
+    g AS (SELECT source, ix, ix * 150 AS time_ms, (ix + source) % 3 = 0 AS keyframe FROM f), r AS (SELECT DISTINCT source, k * 190 + 20 AS time_ms FROM g, range(0, 4) x(k)),
+    b AS (SELECT r.source, r.time_ms, coalesce(max(g.ix), 0) AS first_ix FROM r LEFT JOIN g ON g.source = r.source AND g.keyframe AND g.time_ms <= r.time_ms GROUP BY ALL),
+    n AS (SELECT b.source, b.time_ms, g.ix, g.time_ms AS frame_ms, row_number() OVER (PARTITION BY b.source, b.time_ms ORDER BY abs(g.time_ms - b.time_ms), g.ix) AS k FROM b JOIN g ON g.source = b.source AND g.ix >= first_ix AND abs(g.time_ms - b.time_ms) <= 200)
+    SELECT source, time_ms, ix, frame_ms FROM n WHERE k = 1""")
+def decoded_frames(spark, d):
+    """The nearest frame behind the last keyframe at or before a time."""
+    i = M.items(spark, d).select(F.col("o").alias("source"), "ix", (F.col("ix") * 150).alias("time_ms"), ((F.col("ix") + F.col("o")) % 3 == 0).alias("keyframe"))
+    k = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint")))
+    r = i.select("source").distinct().withColumn("k", k).select("source", (F.col("k") * 190 + 20).alias("time_ms"))
+    return R.decoded_frame(i, r)
+
+
+@query("""WITH p AS (SELECT track AS source, ix, pts, 400 + ix % 7 AS samples FROM (SELECT track, ix, ix * 50 + CASE WHEN track % 3 = 0 AND ix > 9 THEN 300 ELSE 0 END AS pts FROM packets)),
+    e AS (SELECT *, first(pts) OVER w + coalesce(sum(samples) OVER (PARTITION BY source ORDER BY ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 1000 // 8000 AS expected FROM p WINDOW w AS (PARTITION BY source ORDER BY ix))
+    SELECT source, count(*) AS packets, min(ix) FILTER (abs(expected - pts) > 150) AS broken FROM e GROUP BY source""", "packets")
+def print_gaps(spark, d):
+    """Packets of samples on one clock, with a gap in a third of the sources."""
+    p = A.packets(spark, d)
+    pts = F.col("ix") * 50 + F.when((F.col("track") % 3 == 0) & (F.col("ix") > 9), 300).otherwise(0)
+    return R.print_gaps(p.select(F.col("track").alias("source"), "ix", pts.alias("pts"), (F.lit(400) + F.col("ix") % 7).alias("samples"), F.lit(8000).alias("rate")))
+
+
+_SIDES = """w AS (SELECT c_custkey AS source, k AS "window", 300000 + c_custkey % 5 * 1000 + k * 400000 AS end_ms FROM customer, range(0, 2) g(k)),
+    f AS (SELECT w.source, w."window", side, (w.source + side + 1) % (SELECT count(*) FROM customer) AS peer, pw AS peer_window, w.end_ms - 240000 + (w.source * 7 + pw) % 9 * 20000 AS start_ms, w.end_ms - 240000 + (w.source * 7 + pw) % 9 * 20000 + 100000 + side * 5000 AS end_ms, 0.9::DOUBLE + (w.source % 10) / 100.0::DOUBLE AS quality, 0::BIGINT AS ix FROM w, range(0, 2) s(side), range(0, 2) p(pw)),
+    good AS (SELECT f.* FROM f JOIN w p ON p.source = f.peer AND p."window" = f.peer_window JOIN w o ON o.source = f.source AND o."window" = f."window"
+        WHERE (f.peer_window = 0 OR (f.start_ms >= greatest(p.end_ms - 240000, 0) AND f.end_ms >= greatest(p.end_ms - 90000, 0) AND f.end_ms <= p.end_ms)) AND (f."window" = 0 OR (f.start_ms >= greatest(o.end_ms - 240000, 0) AND f.end_ms >= greatest(o.end_ms - 90000, 0) AND f.end_ms <= o.end_ms))),
+    pairs AS (SELECT a.source, a."window", greatest(a.start_ms, b.start_ms) AS start_ms, least(a.end_ms, b.end_ms) AS end_ms, greatest(a.end_ms - a.start_ms, b.end_ms - b.start_ms) AS long, least(a.quality, b.quality) AS quality FROM good a JOIN good b ON a.source = b.source AND a."window" = b."window" AND a.side = 0 AND b.side = 1 WHERE b.start_ms < a.end_ms AND b.end_ms > a.start_ms),
+    agreed AS (SELECT source, "window", start_ms, end_ms, max(quality) AS quality FROM pairs WHERE end_ms - start_ms >= 15000 AND (end_ms - start_ms) / long::DOUBLE >= 0.8 AND quality >= 0.9 GROUP BY ALL)"""
+
+
+@query(f"""WITH {_SIDES} SELECT source, "window", start_ms, end_ms, round(quality, 9) AS quality FROM (SELECT *, row_number() OVER (PARTITION BY source, "window" ORDER BY end_ms - start_ms DESC, quality DESC, start_ms, end_ms) AS k FROM agreed) WHERE k = 1""")
+def peer_windows(spark, d):
+    """Windows of two peers, and what both repeat."""
+    c = A.table(spark, d, "customer").select(F.col("c_custkey").alias("source"))
+    n = c.count()
+    each = lambda name: F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias(name)
+    w = c.select("source", each("window")).withColumn("end_ms", F.lit(300_000) + F.col("source") % 5 * 1000 + F.col("window") * 400_000)
+    f = w.select("*", each("side")).select("*", each("peer_window"))
+    start = F.col("end_ms") - 240_000 + (F.col("source") * 7 + F.col("peer_window")) % 9 * 20_000
+    f = f.select("source", "window", "side", ((F.col("source") + F.col("side") + 1) % n).alias("peer"), "peer_window", start.alias("start_ms"), (start + 100_000 + F.col("side") * 5000).alias("end_ms"), (F.lit(0.9) + F.col("source") % 10 / F.lit(100.0)).alias("quality"), F.lit(0).cast("bigint").alias("ix"))
+    return R.peer_windows(f, w).withColumn("quality", F.round("quality", 9))
