@@ -57,6 +57,29 @@ def locate(text: str, width: int, phrases: list[str]) -> tuple[np.ndarray, np.nd
     return got[:, 0], got[:, 1] // width
 
 
+def chains(ids: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows that only ever occur together: (first, length) of one run of windows for each such group.
+
+    `ids` numbers the windows in order of place, and `follows` says which stand right behind the one before them.
+    Two neighbours belong together if each stands beside the other wherever it occurs.
+    """
+    n = int(ids.max()) + 1 if len(ids) else 0
+    after, before = np.full(len(ids), -1), np.full(len(ids), -1)
+    k = np.flatnonzero(follows)
+    after[k - 1], before[k] = ids[k], ids[k - 1]
+    always = []
+    for side in (after, before):
+        low, high = np.full(n, n), np.full(n, -2)
+        np.minimum.at(low, ids, side)
+        np.maximum.at(high, ids, side)
+        always.append(np.where(low == high, low, -1))
+    glued = np.zeros(len(ids), bool)  # with the one before
+    glued[k] = (always[0][ids[k - 1]] == ids[k]) & (always[1][ids[k]] == ids[k - 1])
+    head = np.flatnonzero(~glued)
+    _, one = np.unique(ids[head], return_index=True)
+    return head[one], np.diff(np.append(head, len(ids)))[one]
+
+
 def recurring(table: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, end) of the words in recurring windows of segments, and which segments recur whole."""
     n, times = table.column("n").to_numpy(), table.column("times").to_numpy()
@@ -74,18 +97,23 @@ def recurring(table: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray, np.
     h = windows(mixed(ids), window)[at]
     _, back = np.unique(h, return_inverse=True)
     maybe = np.flatnonzero(np.bincount(back, times[row])[back] > 1)
+    at = at[maybe]
+    head, long = chains(back[maybe], np.append(False, (at[1:] == at[:-1] + 1) & (row[maybe][1:] == row[maybe][:-1])) if len(at) else np.zeros(0, bool))
     text, width = spell(ids, len(numbers) + 1)
-    phrases = sorted({text[a * width : (a + window) * width] for a in at[maybe].tolist()})
+    phrases = sorted({text[a * width : (a + k + window - 1) * width] for a, k in zip(at[head].tolist(), long.tolist())})
     phrase, place = locate(text, width, phrases)
+    words_in = np.array([len(x) // width for x in phrases], np.int64)
     own = np.searchsorted(first, place, "right") - 1
     k = np.flatnonzero(np.bincount(phrase, times[own], len(phrases))[phrase] > 1)
-    again = (np.bincount(own[k], minlength=len(n)) == n) & (times > 1)
     k = k[np.argsort(place[k], kind="stable")]
-    row, place = own[k], place[k] - first[own[k]]
-    new = np.append(True, (row[1:] != row[:-1]) | (place[1:] > place[:-1] + window)) if len(k) else np.zeros(0, bool)
-    head = np.flatnonzero(new)
-    last = np.append(head[1:], len(k)) - 1
-    return row[head], place[head], (place[last] + window) if len(k) else place, again
+    row, start, end = own[k], place[k] - first[own[k]], place[k] - first[own[k]] + words_in[phrase[k]]
+    # windows of a row that are found: those of its occurrences, each counted once
+    done = np.zeros(len(ids) + 1, np.int32)
+    np.add.at(done, place[k], 1)
+    np.add.at(done, place[k] + words_in[phrase[k]] - window + 1, -1)
+    found = np.append(0, np.cumsum(np.cumsum(done[:-1]) > 0))
+    again = (found[first + n] - found[first] == n) & (times > 1)
+    return row, start, end, again
 
 
 def mixed(ids: np.ndarray) -> np.ndarray:
