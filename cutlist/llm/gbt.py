@@ -182,7 +182,10 @@ def learn(docs: DataFrame, labels: DataFrame, *, most_rows: int = 20_000, **opti
 
 
 def score(docs: DataFrame, trees: Trees, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of `keep` with score, 0 to 1: one row for each row, null text as empty text."""
+    """The columns of `keep` with score, 0 to 1: one row for each row, null text as empty text, texts of any length whole.
+
+    Equal texts have equal scores, whatever their ids; no rows give no rows. Other columns are not read.
+    """
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     model = docs.sparkSession.sparkContext.broadcast(trees)
 

@@ -398,7 +398,7 @@ def identify(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id"
     """Columns of `keep` with lang_pred and score, the posterior of that language; one row for each row.
 
     `und` with score 0 where the text is null or has no letter, or nothing was learned; ties go to
-    the first language in order. Other columns are not read.
+    the first language in order. Equal texts are predicted alike, texts of any length whole. Other columns are not read.
     """
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -17,46 +17,66 @@ def residue(modulus: int):
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; learned from those whose crc32 of the id mod 4 is not 2, by text and non-null lang.
+
+    Null or letterless texts are `und` with score 0. Repeated rows are predicted each for itself and count each in training; ties
+    go to the first language by name. No documents give no rows; other columns are not read.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", residue(4) == 2)
     model = langid.train(docs.where(~F.col("held_out")))
     return langid.identify(docs, model, keep=("doc_id", "held_out"))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives as a WARC record and read back; see warc.write_archives for null html, urls and ids, ties and repeated rows.
+
+    Payloads of any length are written whole; no pages give no rows.
+    """
     return warc.archive_and_read(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "digest_ok")
 
 
 def op3_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 35-word windows that occur twice; see phrases.dedup for nulls, short texts and repeated rows."""
     return phrases.dedup(table(spark, sf_dir, "documents"))
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles, component and whether it stays for every document; see minhash.near_duplicates for nulls, empty texts and repeated rows."""
     return minhash.public(minhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
 def op5_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector; see ego.epsilon_join for null, zero, non-finite and repeated vectors."""
     return ego.epsilon_join(table(spark, sf_dir, "embeddings"))
 
 
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 100-byte strings that also start earlier; see suffix.dedup for nulls, short texts and repeated rows."""
     return suffix.dedup(table(spark, sf_dir, "documents"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document; see mixing.pareto_mix for nulls, ties and repeated rows."""
     return mixing.pareto_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in benchmark windows, and their items; see wumanber.decontaminate for nulls and repeated items."""
     return wumanber.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; learned from labels of ids whose crc32 mod 3 is not 1.
+
+    Null text counts as empty and is scored too; repeated rows are scored alike; a score of 0.5 is predicted 1. No documents give no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", residue(3) == 1)
     trees = gbt.learn(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels").where(residue(3) != 1))
     return gbt.score(docs, trees, keep=("doc_id", "held_out")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license that every document holds; see licenses.scan for nulls, ties and repeated rows."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
