@@ -113,7 +113,7 @@ def output_stages(spark, d):
     return S.output_stages(S.playback_plan(A.tracks(spark, d)))
 
 
-@query(f"""WITH {_T}, {_SELECTED}, {_STAGES}, o AS (SELECT source, target, id, arg_max(stage, ordinal) AS stage FROM st WHERE ordinal IN (1, 3) AND id NOT LIKE 's%' GROUP BY ALL)
+@query(f"""WITH {_T}, {_SELECTED}, {_STAGES}, o AS MATERIALIZED (SELECT source, target, id, arg_max(stage, ordinal) AS stage FROM st WHERE ordinal IN (1, 3) AND id NOT LIKE 's%' GROUP BY ALL)
     SELECT a.source, a.target, a.id AS audio_id, a.stage AS audio_stage, v.id AS video_id, v.stage AS video_stage FROM o a LEFT JOIN o v ON v.source = a.source AND v.target = a.target AND v.id LIKE 'v%' WHERE a.id LIKE 'a%'""", "tracks")
 def audio_outputs(spark, d):
     """D14, M03."""
