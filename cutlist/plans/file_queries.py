@@ -164,3 +164,11 @@ def media_probes(spark, d):
     found = P.probed(M.stored(named(M.mp4_files(spark, d), "m").union(named(M.matroska_files(spark, d), "k"))))
     tracks = F.array_join(F.transform("tracks", lambda t: F.concat_ws(":", t["kind"], t["codec"])), ",")
     return found.select("path", "container", "duration_ms", tracks.alias("tracks"), F.size("chapters").cast("bigint").alias("chapters"), F.size("attachments").cast("bigint").alias("attachments"))
+
+
+@query(f"""WITH {M.ITEMS}, f AS (SELECT o, count(*) AS n FROM items GROUP BY o)
+    SELECT {M.PATH} AS path, CASE WHEN o % 5 = 4 THEN 1 ELSE 6 END::BIGINT AS depth, CASE WHEN o % 5 = 4 THEN 1 ELSE 26 - (o % 3 = 1)::INT - (o % 3 = 2)::INT END::BIGINT AS boxes, CASE WHEN o % 5 = 4 THEN 0 ELSE 2 END::BIGINT AS tracks,
+           CASE WHEN o % 5 = 4 THEN 0 ELSE n END::BIGINT AS samples, CASE WHEN o % 5 = 4 THEN NULL WHEN o % 3 = 0 THEN 'boxes' WHEN n > 4 THEN 'samples' END AS problem FROM f""")
+def parser_budgets(spark, d):
+    """O03, with limits of 25 boxes and 4 samples."""
+    return C.work(M.mp4_files(spark, d), most_boxes=25, most_samples=4)

@@ -11,7 +11,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.binary import rows, uint
 from ..functions.timing import minus
@@ -23,12 +23,16 @@ SEGMENT, CLUSTER, TIMECODE, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE, DURATIO
 INFO, SCALE, TRACKS, TRACK, NUMBER, KIND, CODEC, FRAME_NS, LANGUAGE = 0x1549A966, 0x2AD7B1, 0x1654AE6B, 0xAE, 0xD7, 0x83, 0x86, 0x23E383, 0x22B59C
 
 
-def sniffed(files: DataFrame) -> DataFrame:
-    """(path, container): by the first bytes; an EBML head is matroska, whatever its document type."""
-    head = F.hex(F.substring("content", 1, 12))
-    brand = F.substring(F.col("content"), 9, 4).cast("string")
+def container_of(content: Column) -> Column:
+    """Kind of a file by its first bytes; an EBML head is matroska, whatever its document type."""
+    head, brand = F.hex(F.substring(content, 1, 12)), F.substring(content, 9, 4).cast("string")
     isobmff = F.substring(head, 9, 8) == "66747970"
-    return files.select("path", F.when(isobmff & (brand == "qt  "), "mov").when(isobmff, "mp4").when(F.substring(head, 1, 8) == "1A45DFA3", "matroska").otherwise("unknown").alias("container"))
+    return F.when(isobmff & (brand == "qt  "), "mov").when(isobmff, "mp4").when(F.substring(head, 1, 8) == "1A45DFA3", "matroska").otherwise("unknown")
+
+
+def sniffed(files: DataFrame) -> DataFrame:
+    """(path, container) of each file."""
+    return files.select("path", container_of(F.col("content")).alias("container"))
 
 
 def walk_boxes(data: memoryview, start: int, end: int, parent: str, depth: int = 0) -> Iterator[tuple]:
@@ -334,3 +338,15 @@ def checked_fragments(files: DataFrame) -> DataFrame:
     )
     found = t.withColumn("found", problem)
     return found.groupBy("path").agg(F.min_by("found", F.when(F.col("found").isNotNull(), F.col("k"))).alias("problem"), F.count("*").alias("tracks"), F.sum("samples").alias("samples"), F.sum("bytes").alias("bytes"))
+
+
+def work(files: DataFrame, most_depth: int = 32, most_boxes: int = 100_000, most_tracks: int = 256, most_samples: int = 2_000_000) -> DataFrame:
+    """(path, depth, boxes, tracks, samples, problem): what reading each MP4 file costs, and the first budget that it breaks."""
+    b = boxes(files)
+    name, own = F.regexp_extract("box", r"/(\w+)\.\d+$", 1), F.size(F.split("box", "/")) - 1
+    samples = F.when(name == "stsz", uint(F.col("payload"), 8, 4))
+    got = b.groupBy("path").agg(F.max(own).cast("bigint").alias("depth"), F.count("*").alias("boxes"), F.count(F.when(F.regexp_like("box", F.lit(r"^/moov\.0/trak\.\d+$")), 1)).alias("tracks"), F.coalesce(F.sum(samples), F.lit(0)).alias("samples"))
+    problem = F.lit(None).cast("string")
+    for column, most in reversed((("depth", most_depth), ("boxes", most_boxes), ("tracks", most_tracks), ("samples", most_samples))):
+        problem = F.when(F.col(column) > most, column).otherwise(problem)
+    return got.withColumn("problem", problem)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import codecs, names
 from ..functions.binary import uint
-from .containers import boxes, elements, matroska_frames, sniffed
+from .containers import boxes, container_of, elements, matroska_frames
 
 #: Elements that hold elements, by name.
 MASTERS = {0x18538067: "Segment", 0x1549A966: "Info", 0x1654AE6B: "Tracks", 0xAE: "Track", 0xE0: "Video", 0xE1: "Audio", 0x1043A770: "Chapters", 0x45B9: "Edition", 0xB6: "Atom", 0x80: "Display", 0x1941A469: "Attachments", 0x61A7: "Attached", 0x1C53BB6B: "Cues", 0xBB: "Point", 0xB7: "Position", 0x6D80: "Encodings", 0x6240: "Encoding", 0x5034: "Compression"}
@@ -147,7 +147,7 @@ def tracks(files: DataFrame) -> DataFrame:
 
     `source` is the path; operators.selection plans on these rows.
     """
-    kinds = sniffed(files).join(files, "path")
+    kinds = files.withColumn("container", container_of(F.col("content")))
     own = ("path", "ix", "kind", "codec", "is_default", "language")
     mp4 = mp4_tracks(kinds.where("container IN ('mp4', 'mov')")).select(*own)
     mkv = matroska_tracks(matroska_elements(kinds.where("container = 'matroska'"))).select(*own)
@@ -161,8 +161,8 @@ def probed(files: DataFrame) -> DataFrame:
     """
     from .containers import matroska_packets, mp4_chapters, mp4_packets
 
-    named = sniffed(files)
-    kinds = named.join(files, "path")
+    kinds = files.withColumn("container", container_of(F.col("content")))
+    named = kinds.select("path", "container")
     mp4, mkv = kinds.where("container IN ('mp4', 'mov')"), kinds.where("container = 'matroska'")
     found = matroska_elements(mkv)
     listed = lambda df, name, *own: df.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ix", *own))).alias(name))
@@ -204,7 +204,7 @@ def text_cues(files: DataFrame) -> DataFrame:
     from ..operators.formats import payload_text
     from .containers import matroska_packets, mp4_packets
 
-    kinds = sniffed(files).join(files, "path")
+    kinds = files.withColumn("container", container_of(F.col("content")))
     mp4, mkv = kinds.where("container IN ('mp4', 'mov')"), kinds.where("container = 'matroska'")
     ms = lambda c: ((F.col(c) * 1000 - F.col(c) * 1000 % F.col("scale")) / F.col("scale")).cast("bigint")
     own = ("path", "track", "ix", "source_offset", "size", "start_ms", "end_ms", "codec")
