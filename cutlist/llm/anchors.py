@@ -14,7 +14,7 @@ their anchors' hashes and 64 bits of BLAKE2 of their text are.
 Grams that a small sample of documents shows to be frequent come last in the order of
 hashes, so that a very common passage anchors only windows wholly inside it, which are
 equal and collapse. The sample changes which anchors are chosen, never the result. Segments
-of a frequent gram are dealt out by documents as well, and each share has its own
+of grams that are frequent even then are dealt out by documents as well, and each share has its own
 representatives, so that no task sees all of them. Where the different segments of one anchor
 are more than a table holds, they are cut into blocks, and each pair of blocks is compared
 on its own.
@@ -70,22 +70,20 @@ class Units:
 
 
 @dataclass(frozen=True)
-class Frequent:
-    """Frequent grams in order, and how many blocks the segments of each are compared in."""
+class Grams:
+    """A set of grams, each with its place in order."""
 
     grams: np.ndarray
-    blocks: np.ndarray
     low: np.ndarray
 
     @classmethod
-    def of(cls, grams: np.ndarray, blocks: np.ndarray) -> Frequent:
+    def of(cls, grams: np.ndarray) -> Grams:
         low = np.zeros(1 << 20, bool)
         low[(grams & np.uint64(0xFFFFF)).astype(np.int64)] = True
-        o = np.argsort(grams)
-        return cls(grams[o], blocks[o], low)
+        return cls(np.sort(grams), low)
 
     def place(self, grams: np.ndarray) -> np.ndarray:
-        """Place of each gram among the frequent ones, or -1."""
+        """Place of each gram in the set, or -1."""
         out = np.full(len(grams), -1, np.int64)
         if len(self.grams):
             maybe = np.flatnonzero(self.low[(grams & np.uint64(0xFFFFF)).astype(np.int64)])
@@ -94,6 +92,15 @@ class Frequent:
         return out
 
 
+@dataclass(frozen=True)
+class Frequent:
+    """Grams that come last in order, those that anchor very many segments even so, and in how many blocks the segments of each are compared."""
+
+    last: Grams
+    hot: Grams
+    blocks: np.ndarray
+
+
 @dataclass(frozen=True)
 class Method:
     """What an operator adds: how texts become symbols and grams, and how segments with a common anchor are compared."""
@@ -125,7 +132,7 @@ def segments(units: Units, method: Method, frequent: Frequent | None = None):
         n_windows, n_grams = len(part) - window + 1, len(grams)
         order = grams >> np.uint64(1)
         if frequent is not None:
-            order[frequent.place(grams) >= 0] |= np.uint64(1 << 63)
+            order[frequent.last.place(grams) >= 0] |= np.uint64(1 << 63)
         place = (sliding_min((order & ~_POS) | np.arange(n_grams, dtype=np.uint64), window - gram + 1) & _POS).astype(np.int64)
         d0, d1 = max(int(np.searchsorted(first, at, "right")) - 1, 0), int(np.searchsorted(first, at + n_windows, "left"))
         lo = np.clip(first[d0:d1] - at, 0, n_windows)
@@ -174,7 +181,7 @@ def public_id(nn: str = "nn", did: str = "did"):
 
 
 def _occurrences(rows: DataFrame, method: Method, frequent) -> DataFrame:
-    """(g, share, h, did, chk, at, reps): `at` holds nn, the first window in 36 bits and the windows in 8; share is 0 but for frequent grams."""
+    """(g, share, h, did, chk, at, reps): `at` holds nn, the first window in 36 bits and the windows in 8; share is 0 but for hot grams."""
 
     def run(batches):
         known = frequent.value if frequent else None
@@ -184,21 +191,37 @@ def _occurrences(rows: DataFrame, method: Method, frequent) -> DataFrame:
             at = (nn[doc].astype(np.int64) << 44) | (start << 8) | n
             share = np.zeros(len(g), np.int64)
             if known is not None:
-                k = np.flatnonzero(known.place(g) >= 0)
+                k = np.flatnonzero(known.hot.place(g) >= 0)
                 share[k] = 1 + (mix((did[doc[k]] ^ chk[doc[k]]).astype(np.uint64)) % np.uint64(SHARES)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(share.astype(np.int32)), pa.array(h), pa.array(did[doc]), pa.array(chk[doc]), pa.array(at), pa.array(reps.astype(np.int32))], ["g", "share", "h", "did", "chk", "at", "reps"])
 
     return rows.select("nn", "did", "chk", "text").mapInArrow(run, "g long, share int, h long, did long, chk long, at long, reps int")
 
 
-def frequent_grams(rows: DataFrame, method: Method) -> tuple[np.ndarray, np.ndarray]:
-    """Anchors that a sample shows to be frequent, at most MOST_FREQUENT numbers, and in how many blocks to compare their segments."""
+def frequent_grams(rows: DataFrame, method: Method) -> Frequent:
+    """What a sample of documents shows about anchors, in two passes over it: at most MOST_FREQUENT numbers each.
+
+    Anchors that are frequent at first come last from then on; those that are frequent in that order are hot.
+    """
+    spark = rows.sparkSession
     sample = rows.where(F.pmod(F.xxhash64("did", "chk"), F.lit(SAMPLE)) == 0)
     size = F.col("at").bitwiseAND(255) + method.window - 1
-    contents = _occurrences(sample, method, None).groupBy("g", "h").agg(F.count("*").alias("n"), F.max(size).alias("size"))
-    seen = contents.groupBy("g").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") < FREQUENT, F.col("size") * F.col("n") * SAMPLE).otherwise(F.col("size") * SHARES)).alias("size")).where(F.col("n") >= FREQUENT)
-    got = seen.orderBy(F.desc("n"), "g").limit(MOST_FREQUENT).toPandas()
-    return got["g"].to_numpy(np.int64).view(np.uint64), np.ceil(got["size"].to_numpy(float) / method.most).astype(np.int64).clip(1)
+
+    def often(known) -> tuple[np.ndarray, np.ndarray]:
+        contents = _occurrences(sample, method, known).groupBy("g", "h").agg(F.count("*").alias("n"), F.max(size).alias("size"))
+        # a content that is frequent itself has a representative a share, others stand for as many as the sample leaves out
+        bytes_ = F.when(F.col("n") < FREQUENT, F.col("size") * F.col("n") * SAMPLE).otherwise(F.col("size") * SHARES)
+        got = contents.groupBy("g").agg(F.sum("n").alias("n"), F.sum(bytes_).alias("size")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "g").limit(MOST_FREQUENT).toPandas().sort_values("g")
+        grams = got["g"].to_numpy(np.int64).view(np.uint64)
+        o = np.argsort(grams)
+        return grams[o], np.ceil(got["size"].to_numpy(float)[o] / method.most).astype(np.int64).clip(1)
+
+    none = np.zeros(0, np.uint64)
+    first = often(None)[0]
+    if not len(first):
+        return Frequent(Grams.of(none), Grams.of(none), none.astype(np.int64))
+    hot, blocks = often(spark.sparkContext.broadcast(Frequent(Grams.of(first), Grams.of(none), none.astype(np.int64))))
+    return Frequent(Grams.of(first), Grams.of(hot), blocks)
 
 
 def _row_bytes(t: pa.Table) -> np.ndarray:
@@ -249,8 +272,8 @@ def find(rows: DataFrame, method: Method) -> DataFrame:
     key reads the same exchange.
     """
     window = method.window
-    grams, blocks = frequent_grams(rows, method)
-    frequent = rows.sparkSession.sparkContext.broadcast(Frequent.of(grams, blocks)) if len(grams) else None
+    known = frequent_grams(rows, method)
+    frequent = rows.sparkSession.sparkContext.broadcast(known) if len(known.last.grams) else None
     here, same = W.partitionBy("g", "share"), W.partitionBy("g", "share", "h")
     by = same.orderBy(F.shiftright("at", 44), "did", "chk", "at")
     seen = _occurrences(rows, method, frequent).repartition("g", "share").withColumn("c", F.sum("reps").over(here)).where("c > 1 OR share > 0")
@@ -276,7 +299,7 @@ def find(rows: DataFrame, method: Method) -> DataFrame:
             place = units.first[row] + start
             if frequent is not None:
                 k = np.flatnonzero(share)
-                cuts[k] = frequent.value.blocks[frequent.value.place(g[k].view(np.uint64))]
+                cuts[k] = frequent.value.blocks[frequent.value.hot.place(g[k].view(np.uint64))]
             data = pa.array(units.cut(place, place + n + window - 1), pa.binary())
             # a segment of an anchor in several blocks goes to every pair of blocks that holds its own
             own_block = (mix((did ^ chk ^ start).astype(np.uint64)) % np.maximum(cuts, 1).astype(np.uint64)).astype(np.int64)
