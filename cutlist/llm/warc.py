@@ -125,7 +125,7 @@ def read_archives(manifest: DataFrame, path_col: str = "path") -> DataFrame:
     """One row a record of all archives named by the manifest: ids, type, digests and lengths.
 
     A response's payload digest is computed from what was read and compared with the header;
-    a revisit's length is the one its HTTP header states. A null path gives no rows.
+    a revisit's digest and length are those its headers state, see archive_and_read. A null path gives no rows.
     """
     schema = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, digest_ok boolean"
     names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "digest_ok"]
@@ -225,33 +225,29 @@ def _record(page: int | None, url: str | None, digest: str, size: int, payload:
     return gzip.compress(raw, level, mtime=0)
 
 
+#: At most so many revisits (some 70 bytes each) are broadcast to the pages; beyond it pages are shuffled by id.
+BROADCAST_REVISITS = 300_000
 _URL = ":/?#[]@!$&'()*+,;=%~"
 
 
 def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 1000, roll_bytes: int = 64 << 20, level: int = 1, wide: bool = False) -> DataFrame:
     """Writes a record for each row and returns the manifest (path, records, bytes), a table in the shared folder.
 
-    Payloads are compressed before the shuffle. Of equal payloads of at least `least` bytes the
-    one with the largest id is a response and the others revisit it; rows that share that
-    largest id are all responses. Null html is an empty payload; a null url leaves its field
-    out; a null id is written as such and is never the one referred to, unless all are null.
+    What revisits what is decided on ids and digests alone, so that payloads meet nothing and only
+    responses are written with one. Of equal payloads of at least `least` bytes the one with the
+    largest id is a response and the others revisit it; rows that share that largest id are all
+    responses. Null html is an empty payload, texts of any length are written whole; a null url leaves its
+    field out; a null id is written as such and is never the one referred to, unless all are null.
     """
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    size, digest = F.octet_length("html").cast("long"), F.sha1(F.encode("html", "UTF-8"))
-    groups = base.select("page_id", size.alias("size"), digest.alias("digest")).where(F.col("size") >= least).groupBy(F.col("digest").alias("key")).agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-
-    def pack(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                html = [x.encode() for x in part.column("html").to_pylist()]
-                ids, urls, digests = part.column("page_id").to_pylist(), part.column("url").to_pylist(), [hashlib.sha1(x).hexdigest() for x in html]
-                packed = [_record(i, u, d, len(x), x, None, level) for i, u, d, x in zip(ids, urls, digests, html)]
-                keys = [d if len(x) >= least else f"~{i}" for i, d, x in zip(ids, digests, html)]  # small pages group with nothing
-                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(digests), pa.array([len(x) for x in html], pa.int64()), pa.array(packed, pa.binary()), pa.array(keys)], ["page_id", "url", "digest", "size", "packed", "key"])
-
-    rows = base.mapInArrow(pack, "page_id bigint, url string, digest string, size bigint, packed binary, key string")
-    rows = rows.join(groups.select("key", "first"), "key", "left").select("page_id", "url", "digest", "size", "first", F.when(F.col("first").isNull() | F.col("page_id").eqNullSafe(F.col("first")), F.col("packed")).alias("packed"))
+    base = base.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
+    narrow = base.where(F.octet_length("html") >= least).select("page_id", "digest")
+    groups = narrow.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    later = materialised(narrow.join(groups, "digest").where("NOT page_id <=> first").select(F.col("page_id").alias("own"), F.col("digest").alias("same"), "first").distinct(), "warc-revisits")
+    few = later.limit(BROADCAST_REVISITS + 1).count() <= BROADCAST_REVISITS
+    joined = base.join(F.broadcast(later) if few else later, F.col("page_id").eqNullSafe(F.col("own")) & (F.col("digest") == F.col("same")), "left")
+    plain = F.when(F.col("same").isNull(), F.col("html"))
+    rows = joined.select("page_id", "url", "digest", F.octet_length("html").cast("long").alias("size"), "first", plain.alias("html"))
 
     def write(batches):
         store, top = open_path(folder)
@@ -278,9 +274,9 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
 
         path, index, n, z = "", [], 0, None
         for b in batches:
-            for page, url, dig, size, first, packed in zip(*[c.to_pylist() for c in b.columns]):
+            for page, url, dig, size, first, html in (r for k in range(0, b.num_rows, 200) for r in zip(*[c.to_pylist() for c in b.slice(k, 200).columns])):
                 z = z or begin()
-                raw = packed if packed is not None else _record(page, url, dig, size, None, first, level)
+                raw = _record(page, url, dig, size, None if html is None else html.encode(), first, level)
                 index.append(f"{quote(url or '-', safe=_URL)} 19700101000000 {json.dumps({'offset': z.size, 'length': len(raw), 'id': page})}\n".encode())
                 z.write(raw)
                 n += 1
@@ -294,7 +290,14 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
 
 
 def archive_and_read(pages: DataFrame, **options) -> DataFrame:
-    """Writes all pages and reads them back; archives are dealt out one by one."""
+    """Writes all pages and reads them back; archives are dealt out one by one.
+
+    `digest_ok` of a revisit says whether the response that it refers to was read, with that digest and length.
+    """
     manifest = write_archives(pages, shared_dir(pages.sparkSession, "warc"), **options)
     n = max(1, min(manifest.count(), 10_000))
-    return read_archives(manifest.repartition(n))
+    read = materialised(read_archives(manifest.repartition(n)), "warc-records")
+    found = read.where("record_type = 'response' AND digest_ok").select(F.col("page_id").alias("to"), F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("n")).distinct()
+    same = F.col("refers_to").eqNullSafe(F.col("to")) & (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") == F.col("n"))
+    revisits = read.where("record_type = 'revisit'").drop("digest_ok").join(found, same, "left").withColumn("digest_ok", F.col("d").isNotNull())
+    return read.where("record_type <> 'revisit'").unionByName(revisits.select(*read.columns))
