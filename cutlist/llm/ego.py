@@ -189,23 +189,39 @@ def epsilon_join(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     pairs = left.join(right, ["cell", "d"]).where(F.col("a") <= F.col("b")).where(near).select("a", "b").distinct()
     pairs = materialised(pairs, "ego-pairs")
     n_pairs = max(1, min(pairs.count(), 100_000))
-    both = pairs.join(blocks.select(F.col("block").alias("a"), "d", F.col("ids").alias("ida"), F.col("weight").alias("wa"), F.col("x").alias("xa")), "a").join(blocks.select(F.col("block").alias("b"), F.col("ids").alias("idb"), F.col("weight").alias("wb"), F.col("x").alias("xb")), "b").repartition(n_pairs)
+    # each pair's blocks meet by the pair, so that vectors are shuffled once, and one of a pair with itself once only
+    ends = pairs.withColumn("pair", F.xxhash64("a", "b")).withColumn("block", F.explode(F.array_distinct(F.array("a", "b"))))
+    both = ends.join(blocks.select("block", "d", "ids", "weight", "x"), "block").select("pair", "a", "b", "block", "d", "ids", "weight", "x").repartition(n_pairs, "pair").sortWithinPartitions("pair", "a", "b", "block")
+
+    def linked(one: list[dict]) -> pa.RecordBatch | None:
+        first, last, d = one[0], one[-1], one[0]["d"]
+        x, y = (np.frombuffer(r["x"], "<f8").reshape(-1, d) for r in (first, last))
+        own, v = len(one) == 1, shared.value[d]
+        ids, weight = (np.frombuffer(b"".join(r[c] for r in one), "<i8") for c in ("ids", "weight"))
+        found = list(join_intervals(x, y, x @ v, y @ v, eps, least, own))
+        if not found:
+            return None
+        i, j = (np.concatenate(z) for z in zip(*found))
+        j = j if own else j + len(x)
+        links = np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))
+        root = _components(i, j, len(ids))
+        k = np.flatnonzero(links)
+        return pa.RecordBatch.from_arrays([pa.array(ids[k]), pa.array(links[k].astype(np.int64)), pa.array(ids[root[k]])], ["cid", "links", "to"])
 
     def compare(batches):
+        held: list[dict] = []
         for t in batches:
-            for a, b, d, ida, wa, xa, idb, wb, xb in zip(*[t.column(c).to_pylist() for c in ("a", "b", "d", "ida", "wa", "xa", "idb", "wb", "xb")]):
-                x, y = np.frombuffer(xa, "<f8").reshape(-1, d), np.frombuffer(xb, "<f8").reshape(-1, d)
-                own, v = a == b, shared.value[d]
-                ids, weight = (np.frombuffer(p if own else p + q, "<i8") for p, q in ((ida, idb), (wa, wb)))
-                found = list(join_intervals(x, y, x @ v, y @ v, eps, least, own))
-                if not found:
-                    continue
-                i, j = (np.concatenate(z) for z in zip(*found))
-                j = j if own else j + len(x)
-                links = np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))
-                root = _components(i, j, len(ids))
-                k = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[k]), pa.array(links[k].astype(np.int64)), pa.array(ids[root[k]])], ["cid", "links", "to"])
+            for k in range(t.num_rows):
+                row = t.slice(k, 1).to_pylist()[0]
+                if held and (held[0]["a"], held[0]["b"]) != (row["a"], row["b"]):
+                    made = linked(held)
+                    if made is not None:
+                        yield made
+                    held = []
+                held.append(row)
+        made = linked(held) if held else None
+        if made is not None:
+            yield made
 
     found = materialised(both.mapInArrow(compare, "cid long, links long, to long"), "ego-links")
     parts = graph.components(found.select(F.col("cid").alias("a"), F.col("to").alias("b")))
