@@ -296,7 +296,8 @@ def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col
     """The rows of docs, all columns, that are the first of their component; of equal rows one stays."""
     found = materialised(near_duplicates(docs, id_col=id_col, text_col=text_col, **options).select("did", "chk", "first"), "minhash-kept")
     rows = keyed(docs, id_col, text_col, keep=tuple(docs.columns)).drop("text")
-    kept = rows.join(found.where("first").select(*KEY).distinct(), KEY, "left_semi")
+    # merged at every size, as the keys that stay grow with the documents
+    kept = rows.join(found.where("first").select(*KEY).distinct().hint("merge"), KEY, "left_semi")
     if not found.groupBy(*KEY).count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(KEY)
     return kept.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(docs.columns)])
