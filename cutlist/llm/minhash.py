@@ -10,9 +10,10 @@ lies more than five standard deviations above what a pair of the wanted similari
 
 Buckets with the same members count once. Pairs within the threshold join classes into
 regions; inside a bucket, members are paired with leaders and regions with regions, never
-all with all. The members of a region are then compared on their full sets, block by
-block, and only links that connect something leave a block, so that rows grow with the
-members and not with their pairs.
+all with all. Each member is then compared with one leader on their full sets; where that
+leaves a region in several parts, the members of all but the largest are compared with
+those of the other parts, block by block, and only links that connect something leave a
+block, so that rows grow with the members and not with their pairs.
 """
 
 from __future__ import annotations
@@ -156,6 +157,8 @@ def across(batches, similarity: float):
 
 #: Members and bytes of a block; a region of more is compared block by block.
 BLOCK_ROWS, BLOCK_BYTES = 1024, 2 << 20
+#: Regions in several parts are broadcast up to so many (some 32 bytes each); beyond it members are joined with them by region.
+BROADCAST_REGIONS = 500_000
 
 
 def similar(sets: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -186,20 +189,57 @@ def similar(sets: list[np.ndarray], percent: int, left: np.ndarray | None = None
     return np.nonzero(good)
 
 
-def confirmed(regions: DataFrame, classes: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b): links of the full sets of the members of each region (node, component), enough of them to connect what is linked.
+def linked_to_leaders(star: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): the pairs of a leader and a member that are similar on their full sets.
 
-    All members of a region are compared. A region is cut into blocks of bounded rows and bytes, and
-    each pair of blocks is a group of its own; it gives at most one link a member, to the first
-    of those that it is connected with there. Rows that share a key and so a set give the same
-    node twice, which links with itself and changes nothing.
+    A member's set meets its leader's only; the leader's text goes to every task that has members of it.
     """
-    members = regions.join(classes.select(F.col("cid").alias("node"), "did", "chk"), "node").join(rows.select("did", "chk", "text"), KEY).select("component", "node", "text")
-    members = materialised(members, "minhash-members")
-    sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias("blocks"))
-    placed = members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = placed.withColumn("other", other).select(F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", (F.col("own") == F.col("other")).alias("same"), (F.col("own") < F.col("other")).alias("first"), "text")
+    mine = star.join(members.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    lead = star.select("a").distinct().join(members.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+
+    def run(batches):
+        for t in slices(batches, "tb"):
+            a, b = t.column("a").to_numpy(), t.column("b").to_numpy()
+            one, which = np.unique(a, return_index=True)
+            own, first = shingle_sets(*flat(t.column("tb")), size)
+            theirs, at = shingle_sets(*flat(t.column("ta").take(pa.array(which))), size)
+            good = []
+            for k, j in enumerate(np.searchsorted(one, a).tolist()):
+                x, y = own[first[k] : first[k + 1]], theirs[at[j] : at[j + 1]]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(100 * both >= percent * (len(x) + len(y) - both))
+            k = np.flatnonzero(good)
+            if len(k):
+                yield pa.RecordBatch.from_arrays([pa.array(a[k]), pa.array(b[k])], ["a", "b"])
+
+    return mine.join(lead, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def across_parts(parts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): links of the full sets between the parts of each region (component, node, text, part), enough of them to connect what is linked.
+
+    A region's largest part is linked already, so its members are compared with those of the others only; these
+    are compared with each other as well. Both are cut into blocks of bounded rows and bytes, and each pair of
+    blocks is a group of its own, which gives at most one link a member. Rows that share a key and so
+    a set give the same node twice, which links with itself and changes nothing.
+    """
+    counts = parts.groupBy("component", "part").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    each = counts.groupBy("component").agg(F.max_by(F.struct("part", "n", "bytes"), F.struct("n", "part")).alias("m"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+    plan = each.select("component", F.col("m.part").alias("main"), blocks(F.col("m.n"), F.col("m.bytes")).alias("mains"), blocks(F.col("n") - F.col("m.n"), F.col("bytes") - F.col("m.bytes")).alias("others"))
+    plan = materialised(plan, "minhash-parts")
+    # a region's members are spread over many tasks unless there are too many open regions to tell each of them
+    few = plan.limit(BROADCAST_REGIONS + 1).count() <= BROADCAST_REGIONS
+    rows = parts.join(F.broadcast(plan) if few else plan, "component").withColumn("is_main", F.col("part") == F.col("main"))
+    placed = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    pair = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+    own = F.col("own")
+    with_mains = F.when(F.col("is_main"), F.transform(upto("others"), lambda j: pair(0, own, j))).otherwise(F.transform(upto("mains"), lambda i: pair(0, i, own)))
+    with_others = F.when(~F.col("is_main"), F.transform(upto("others"), lambda j: pair(1, F.least(own, j), F.greatest(own, j))))
+    dealt = placed.withColumn("p", F.explode(F.when(F.col("is_main"), with_mains).otherwise(F.concat(with_mains, with_others))))
+    inner = F.col("p.kind") == 1
+    dealt = dealt.select(F.xxhash64("component", "p.kind", "p.x", "p.y").alias("key"), "node", (inner & (F.col("p.x") == F.col("p.y"))).alias("same"), F.when(inner, own == F.col("p.x")).otherwise(F.col("is_main")).alias("first"), "text")
 
     def run(batches):
         from .anchors import whole_groups
@@ -224,6 +264,20 @@ def confirmed(regions: DataFrame, classes: DataFrame, rows: DataFrame, size: int
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
+def confirmed(star: DataFrame, regions: DataFrame, classes: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): links of the full sets of the members of each region (node, component), enough of them to connect what is linked.
+
+    Leaders come first: each member is compared with one leader, and what that leaves of a region in
+    several parts is compared between them. A group of near copies thus costs as much as it has members.
+    """
+    members = regions.join(classes.select(F.col("cid").alias("node"), "did", "chk"), "node").join(rows.select("did", "chk", "text"), KEY).select("component", "node", "text")
+    members = materialised(members, "minhash-members")
+    links = materialised(linked_to_leaders(star, members, size, percent), "minhash-led")
+    parts = graph.components(links)
+    parted = members.join(parts.select("node", F.col("component").alias("part")), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    return links.union(across_parts(parted.select("component", "node", "text", "part"), size, percent))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
     """nn, did, chk, n_shingles, low, first: one row for each row of docs; see anchors.keyed for nn, did and chk.
 
@@ -274,7 +328,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     more = materialised(two.mapInArrow(lambda it: across(it, similarity), "a long, b long").distinct(), "minhash-near")
     if not more.isEmpty():
         regions = graph.components(pairs.union(more))
-    parts = graph.components(confirmed(regions, classes, rows, size, percent))
+    star = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    parts = graph.components(confirmed(star, regions, classes, rows, size, percent))
     known = classes.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     lowest = known.groupBy("component").agg(F.min(F.struct("nn", "did", "chk")).alias("lowest"))
     known = known.join(lowest, "component").select("cid", "lowest")
